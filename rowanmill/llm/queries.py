@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import tokenizing
+from . import media, mixing, tokenizing
 from .common import documents
 
 ORACLE_SQL: dict[str, str] = {}
@@ -18,10 +19,22 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(documents(spark, sf_dir)).taken()
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_media(media.encode_media(documents(spark, sf_dir)))
+    starts = F.array_join(F.transform("clips", lambda c: c["first_frame"].cast("string")), ",")
+    return read.withColumn("feature", F.concat(F.lit("shots:"), starts)).withColumn("n_shots", F.size("clips")).drop("clips")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.tokenize(documents(spark, sf_dir), tokenizer_file(), keep_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op3_media": op3_media,
     "op9_sentencepiece": op9_sentencepiece,
 }
