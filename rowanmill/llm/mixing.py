@@ -151,7 +151,7 @@ class Mix:
         low = F.greatest(F.col("start"), F.col("block") * b)
         block_end = F.least((F.col("block") + 1) * b, F.col("source_size")) - F.col("take.cut")
         high = F.greatest(F.least(F.col("start") + F.col("size"), block_end), low)
-        d = d.withColumns({"first": low - F.col("start"), "n": F.coalesce(high - low, F.lit(0)).cast("long"), "pass": F.col("take.pass")})
+        d = d.withColumns({"first": low - F.col("start"), "n": F.when(F.col("take").isNotNull(), high - low).otherwise(0).cast("long"), "pass": F.col("take.pass")})
         totals = F.array(*[F.lit(max(t, 1)) for t in self.totals]).cast("array<bigint>")
         group_size = F.element_at(totals, (F.col("grp") + 1).cast("int"))
         d = d.withColumn("place", permuted(F.col("take.drawn"), group_size, F.xxhash64(F.lit(self.seed + 1), "grp"))).drop("take")
