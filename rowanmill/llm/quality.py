@@ -16,9 +16,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import WORD, text_of
 
-BLANK = r"[\x20\x09-\x0D]+"
+PLACE_BITS = 21
+PLACES = (1 << PLACE_BITS) - 1
 #: Frequent short words of English, German, French and Spanish.
 STOP_WORDS = (
     "the of and to in is that it for on was as with be by this are at an from or not have he "
@@ -43,27 +44,34 @@ RULES = (
     Rule("symbol_ratio", None, 0.4),
     Rule("stop_word_ratio", 0.01, None),
     Rule("dup_line_ratio", None, 0.5),
-    Rule("alpha_word_ratio", 0.5, None),
 )
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """``docs`` with the counts and ratios of its texts."""
     text, words = text_of(), F.col("_words")
-    df = docs.withColumn("_words", F.filter(F.split(text, BLANK), lambda w: w != ""))
+    df = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     n = F.size(words)
-    # windows of three words in order of their words: equal ones are neighbours, the smaller position first
-    window = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    windows = F.when(n >= 3, F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(window(i).alias("w"), i.alias("i"))))).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
-    df = df.withColumn("_sorted", windows)
-    s = F.col("_sorted")
-    word_at = lambda k: F.get(s, k)["w"]
-    repeated = F.array_sort(F.transform(F.filter(F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), ((x["w"] == word_at(k - 1)) | (x["w"] == word_at(k + 1))).alias("dup"))), lambda x: x["dup"]), lambda x: x["i"]))
-    df = df.withColumn("_repeated", repeated)
+    places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    window = lambda i: F.array(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    # windows as longs of hash and place, sorted: equal windows are neighbours
+    key = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(-1 - PLACES)).bitwiseOR(i.cast("long"))
+    df = df.withColumn("_keys", F.array_sort(F.transform(places, key)))
+    keys = F.col("_keys")
+    run = lambda x: F.shiftright(x, PLACE_BITS)
+    place = lambda x: x.bitwiseAND(F.lit(PLACES)).cast("int")
+    df = df.withColumn("_found", F.filter(keys, lambda x, k: (run(x) == run(F.get(keys, k - 1))) | (run(x) == run(F.get(keys, k + 1)))))
+    found = F.col("_found")
+    mixed = F.exists(F.transform(found, lambda x, k: (run(x) == run(F.get(found, k - 1))) & (window(place(x)) != window(place(F.get(found, k - 1))))), lambda x: x)
+    # where two different windows share a hash, or places don't fit, sort the windows themselves
+    exact = F.array_sort(F.transform(places, lambda i: F.struct(window(i).alias("w"), i.alias("i"))))
+    df = df.withColumn("_exact", F.when((n > PLACES) | F.coalesce(mixed, F.lit(False)), exact))
+    e = F.col("_exact")
+    twice = F.filter(e, lambda x, k: (x["w"] == F.get(e, k - 1)["w"]) | (x["w"] == F.get(e, k + 1)["w"]))
+    df = df.withColumn("_repeated", F.array_sort(F.when(e.isNotNull(), F.transform(twice, lambda x: x["i"])).otherwise(F.transform(found, place))))
     r = F.col("_repeated")
     covered = F.aggregate(F.transform(r, lambda p, k: F.least(F.lit(3), F.coalesce(p - F.get(r, k - 1), F.lit(3)))), F.lit(0), lambda a, x: a + x)
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     df = df.withColumns({"_lines": lines, "n_words": n.cast("long"), "word_chars": F.length(F.array_join(words, "")).cast("long")})
     df = df.withColumns(
         {
@@ -71,8 +79,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": covered.cast("long"),
             "n_lines": F.size("_lines").cast("long"),
-            "n_stop_words": F.size(F.filter(words, lambda w: F.array_contains(stop, F.lower(w)))).cast("long"),
-            "n_alpha_words": F.size(F.filter(words, lambda w: F.regexp_like(w, F.lit(r"\p{L}")))).cast("long"),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(sorted(set(STOP_WORDS))))).cast("long"),
         }
     )
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
@@ -83,9 +90,8 @@ def measures(docs: DataFrame) -> DataFrame:
             "symbol_ratio": share("n_symbols", "n_words"),
             "stop_word_ratio": share("n_stop_words", "n_words"),
             "dup_line_ratio": share("n_dup_lines", "n_lines"),
-            "alpha_word_ratio": share("n_alpha_words", "n_words"),
         }
-    ).drop("_words", "_sorted", "_repeated", "_lines")
+    ).drop("_words", "_keys", "_found", "_exact", "_repeated", "_lines")
 
 
 def compiled(rules: tuple[Rule, ...]) -> Column:

@@ -7,12 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, tokenizing
+from . import media, mixing, quality, tokenizing
 from .common import documents
 
 ORACLE_SQL: dict[str, str] = {}
 
 
+def quality_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+    measures = {
+        "n_words": "m.n_words", "mean_word_chars": "word_chars / greatest(m.n_words, 1)", "symbol_ratio": "n_symbols / greatest(m.n_words, 1)",
+        "stop_word_ratio": "n_stop_words / greatest(m.n_words, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+    }
+    met = " AND ".join(f"{measures[r.measure]} {op} {v}" for r in quality.RULES for op, v in ((">=", r.least), ("<=", r.most)) if v is not None)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, string_split(text, chr(10)) AS lines, text FROM d),
+tri AS (SELECT rid, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM tri) WHERE n > 1),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+m AS (SELECT w.rid, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS full_lines,
+  len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS n_stop_words FROM w),
+r AS (SELECT d.doc_id, m.n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+  len(full_lines)::BIGINT AS n_lines, n_stop_words::BIGINT AS n_stop_words
+  FROM d JOIN m USING (rid) LEFT JOIN cov USING (rid))
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {met} AS kept FROM r m
+"""
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -29,6 +55,14 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumn("feature", F.concat(F.lit("shots:"), starts)).withColumn("n_shots", F.size("clips")).drop("clips")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judge(documents(spark, sf_dir)).select(*columns, "n_lines", "n_stop_words")
+
+
+ORACLE_SQL["op6_quality"] = quality_sql()
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.tokenize(documents(spark, sf_dir), tokenizer_file(), keep_ids=False)
 
@@ -36,5 +70,6 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_media": op3_media,
+    "op6_quality": op6_quality,
     "op9_sentencepiece": op9_sentencepiece,
 }
