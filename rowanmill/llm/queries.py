@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality, tokenizing
+from . import media, mixing, near_duplicates, quality, tokenizing
 from .common import documents
 
 ORACLE_SQL: dict[str, str] = {}
@@ -55,6 +55,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumn("feature", F.concat(F.lit("shots:"), starts)).withColumn("n_shots", F.size("clips")).drop("clips")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.groups(documents(spark, sf_dir), shingle=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.judge(documents(spark, sf_dir)).select(*columns, "n_lines", "n_stop_words")
@@ -70,6 +75,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_media": op3_media,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_quality": op6_quality,
     "op9_sentencepiece": op9_sentencepiece,
 }
