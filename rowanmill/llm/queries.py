@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, near_duplicates, quality, tokenizing
+from . import media, mixing, near_duplicates, quality, substrings, tokenizing
 from .common import documents
 
 ORACLE_SQL: dict[str, str] = {}
@@ -68,6 +68,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op6_quality"] = quality_sql()
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_duplicates(documents(spark, sf_dir))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.tokenize(documents(spark, sf_dir), tokenizer_file(), keep_ids=False)
 
@@ -77,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": op3_media,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_quality": op6_quality,
+    "op7_substrings": op7_substrings,
     "op9_sentencepiece": op9_sentencepiece,
 }
