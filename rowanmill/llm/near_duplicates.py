@@ -8,9 +8,10 @@ Candidates.  The 64 bits are cut in three segments, each a word of the perfect [
 The codes of a segment are the indices of the codewords to which it and its one-bit changes decode (one
 or six).  Segments one bit apart: the codes of either hold the nearest code of the other.  Two bits apart:
 their codes share one, that of the word between them.  Four errors in three segments leave two segments
-with at most two errors in all, so with (0, 2), (1, 1) or less each; keys are therefore, for each pair of
-segments, one segment unchanged with the codes of the other (both ways), and the codes of both, of which
-only the pair of nearest codes need be on one side.  No link is missed; all are verified.
+with (0, 2), (1, 1) or fewer errors.  For the first kind, keys are one segment unchanged with the codes of
+the other.  For the second, one side gives the codes of the first segment with the nearest code of the
+second, the other side the reverse; the third segment then has two errors at most, so one of its three
+pieces is the same on both sides and goes into the key.  No link is missed; all are verified.
 
 Groups.  What is asked for are components, so links inside a group need not be listed.  In each bucket
 all rows are first compared with two pivots only, which gives at most two links a row.  The buckets that
@@ -117,35 +118,43 @@ def codes(words: np.ndarray, bits: int) -> np.ndarray:
 
 
 def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, key and whether either side of a link may hold it (else only one of the two) for unsigned fingerprints."""
+    """Row number, key and side (bits 1 and 2; a link needs both) of unsigned fingerprints."""
     parts = [((fps >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     found = [codes(p, n) for p, (_, n) in zip(parts, SEGMENTS, strict=True)]
-    rows, values, open_ = [], [], []
+    rows, values, sides = [], [], []
+
+    def add(tag: int, head: np.ndarray, row: np.ndarray, side: np.ndarray) -> None:
+        rows.append(row)
+        values.append(tag << 36 | head)
+        sides.append(side)
+
     for tag, (i, j) in enumerate(PAIRS):
+        third = 3 - i - j
         for x, y in ((i, j), (j, i)):  # x unchanged, y up to two errors
             row, col = np.nonzero(found[y] >= 0)
-            rows.append(row)
-            values.append((((2 * tag + (x > y)) << 34) | (parts[x][row] << 12) | found[y][row, col]))
-            open_.append(np.ones(len(row), bool))
-        row, a, b = np.nonzero((found[i] >= 0)[:, :, None] & (found[j] >= 0)[:, None, :])
-        rows.append(row)
-        values.append(((8 + tag) << 34) | (found[i][row, a] << 12) | found[j][row, b])
-        open_.append((a == 0) & (b == 0))
-    return np.concatenate(rows), np.concatenate(values), np.concatenate(open_)
+            add(2 * tag + (x > y), parts[x][row] << 12 | found[y][row, col], row, np.full(len(row), 3, np.int8))
+            for piece in range(3):
+                same = parts[third] >> (7 * piece) & (127 if piece < 2 else 255)
+                use = np.ones(len(row), bool) if x > y else col > 0  # the nearest codes of both are listed once
+                r, c = row[use], col[use]
+                pair = (found[i][r, 0] << 12 | found[j][r, c]) if x < y else (found[i][r, c] << 12 | found[j][r, 0])
+                side = np.where(c == 0, 3, 1 if x < y else 2).astype(np.int8)
+                add(6 + 3 * tag + piece, same[r] << 24 | pair, r, side)
+    return np.concatenate(rows), np.concatenate(values), np.concatenate(sides)
 
 
 def keyed(distinct: DataFrame) -> DataFrame:
-    kept = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("own", pa.bool_())])
+    kept = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("side", pa.int8())])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 fps = batch.column("fp").slice(at, 2000).to_numpy()
                 n = batch.column("n").slice(at, 2000).to_numpy()
-                row, key, own = keys(fps.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row]), pa.array(n[row]), pa.array(own)], schema=kept)
+                row, key, side = keys(fps.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row]), pa.array(n[row]), pa.array(side)], schema=kept)
 
-    return distinct.select("fp", "n").mapInArrow(expand, "key long, fp long, n int, own boolean")
+    return distinct.select("fp", "n").mapInArrow(expand, "key long, fp long, n int, side byte")
 
 
 def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -156,9 +165,9 @@ def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     bucket = Window.partitionBy("key")
     full = keyed(distinct).withColumns(
-        {"size": F.count("*").over(bucket), "open": F.max("own").over(bucket), "p1": F.max(F.struct("n", "fp")).over(bucket)["fp"], "p2": F.min(F.struct(F.xxhash64("fp").alias("h"), "fp")).over(bucket)["fp"]}
+        {"size": F.count("*").over(bucket), "sides": F.bit_or("side").over(bucket), "p1": F.max(F.struct("n", "fp")).over(bucket)["fp"], "p2": F.min(F.struct(F.xxhash64("fp").alias("h"), "fp")).over(bucket)["fp"]}
     )
-    full = materialize(full.where("size > 1 AND open").select("key", "fp", "p1", "p2"))
+    full = materialize(full.where("size > 1 AND sides = 3").select("key", "fp", "p1", "p2"))
     star = full.select("fp", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("pivot")).where(F.col("fp") != F.col("pivot")).where(close("fp", "pivot"))
     first = components(star.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
 
