@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, near_duplicates, quality, substrings, tokenizing
+from . import media, mixing, near_duplicates, pii, quality, substrings, tokenizing
 from .common import documents
 
 ORACLE_SQL: dict[str, str] = {}
@@ -72,6 +72,12 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_duplicates(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    counts = [pii.count_of(F.col("fixed"), k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("fixed")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.tokenize(documents(spark, sf_dir), tokenizer_file(), keep_ids=False)
 
@@ -82,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op6_quality": op6_quality,
     "op7_substrings": op7_substrings,
+    "op8_pii": op8_pii,
     "op9_sentencepiece": op9_sentencepiece,
 }
