@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, near_duplicates, pii, quality, substrings, tokenizing
+from . import classifier, media, mixing, near_duplicates, pii, quality, substrings, tokenizing
 from .common import documents
 
 ORACLE_SQL: dict[str, str] = {}
@@ -39,6 +39,10 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
 """
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -90,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substrings": op7_substrings,
     "op8_pii": op8_pii,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality_classifier": op10_quality_classifier,
 }
