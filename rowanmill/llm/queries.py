@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, media, mixing, near_duplicates, pii, quality, substrings, tokenizing
+from . import classifier, hmm, media, mixing, near_duplicates, pii, quality, substrings, tokenizing
 from .common import documents
 
 ORACLE_SQL: dict[str, str] = {}
@@ -53,6 +53,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(documents(spark, sf_dir)).taken()
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.read_media(media.encode_media(documents(spark, sf_dir)))
     starts = F.array_join(F.transform("clips", lambda c: c["first_frame"].cast("string")), ",")
@@ -88,6 +92,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_hmm": op2_hmm,
     "op3_media": op3_media,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_quality": op6_quality,
