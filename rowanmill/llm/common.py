@@ -6,6 +6,7 @@ whole Arrow buffers, so a task never holds more than one slice of ``SLICE_BYTES`
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,11 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
-    spark = df.sparkSession
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
+
+    Nothing needs the shuffle files of the steps before any longer; asking for a collection lets Spark's
+    cleaner remove them now instead of at the end of the job.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
