@@ -133,3 +133,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def with_text(rows: DataFrame, columns: list[str], packed: str = "_in") -> DataFrame:
+    """The input columns out of the struct ``packed``, with the text of ``rows`` and n_chars to match."""
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[new.get(c, F.col(f"{packed}.`{c}`")).alias(c) for c in columns])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct beside those that operators read, so that no other name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), *[c for c in ("doc_id", "text", "source") if c in docs.columns])

@@ -27,10 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_of
+from .common import WORD, materialize, packed, text_of, with_text
 
 GROUPS = 256
 MAX_BLOCKS = 1 << 28  # so that products in permuted() and the draws stay exact
+MAX_SHARDS = 1 << 16
 ROWS_PER_CELL = 20_000
 #: Primes above MAX_BLOCKS, so each is coprime to every number of blocks.
 PRIMES = (268435459, 268435463, 268435493, 268435523, 268435537, 268435561, 268435577, 268435579)
@@ -40,6 +41,11 @@ def word_count(column: str = "text") -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
+def mark(seed: int) -> Column:
+    """The hash of a document that places it in its source's stream."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
 def permuted(index: Column, size: Column, key: Column) -> Column:
     """A bijection of 0..size-1 chosen by ``key``, a long."""
     prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]).cast("array<bigint>"), (F.pmod(key, F.lit(len(PRIMES))) + 1).cast("int"))
@@ -97,9 +103,9 @@ def shard_intervals(totals: list[int], shards: int, seed: int, first: int, last:
 class Mix:
     """The plan of one mix: ``docs``, one row per document with its place in its source's stream, and ``pieces``."""
 
-    def __init__(self, docs: DataFrame, seed: int = 7, block_words: int = 2048, shard_blocks: int = 512):
+    def __init__(self, docs: DataFrame, seed: int = 7, block_words: int = 2048, shard_blocks: int = 64):
         spark = docs.sparkSession
-        sized = materialize(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mixed")))
+        sized = materialize(docs.select("doc_id", "source", word_count().alias("size"), mark(seed).alias("mixed")))
         cells = max(16, -(-sized.count() // ROWS_PER_CELL))
         sized = sized.withColumn("cell", F.pmod("mixed", F.lit(cells)))
         sums = materialize(sized.groupBy("source", "cell").agg(F.sum("size").alias("size")))
@@ -123,7 +129,7 @@ class Mix:
         self.plan = plan = materialize(plan)
         totals = {r["grp"]: r["n"] for r in plan.groupBy("grp").agg(F.sum("drawn").alias("n")).collect()}  # at most GROUPS rows
         self.totals = [totals.get(g, 0) for g in range(GROUPS)]
-        self.shards = max(1, -(-sum(self.totals) // shard_blocks))
+        self.shards = max(1, -(-sum(self.totals) // max(shard_blocks, sum(self.totals) // MAX_SHARDS)))
         self.seed = seed
         # places in the streams: sums of whole cells, then of the rows of a cell
         ahead = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,7 +144,7 @@ class Mix:
     def pieces(self) -> DataFrame:
         """What is taken: one row for each document, pass and block, with word range and shard; a row of nulls where nothing is."""
         b = F.lit(self.block_words)
-        ids = ["doc_id", "source", "cell", "row", "size", "source_size", "target"]
+        ids = ["doc_id", "source", "mixed", "cell", "row", "size", "source_size", "target"]
         d = self.docs
         span = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {self.block_words}"), F.expr(f"(start + size - 1) div {self.block_words}"))).otherwise(F.array().cast("array<bigint>"))
         d = d.select(*ids, "start", "passes", "part", "cut", "blocks", "key", "offset", "grp", F.explode_outer(span).alias("block"))
@@ -182,3 +188,25 @@ class Mix:
         ids = ["source", "cell", "row", "doc_id", "size", "source_size", "target"]
         n_shards = F.count(F.when(F.col("n") > 0, F.col("shard")))
         return self.pieces().groupBy(*ids).agg(F.sum("n").cast("long").alias("taken"), n_shards.alias("n_pieces"), F.min("shard").alias("first_shard")).drop("source", "cell", "row")
+
+
+def mixed_texts(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The mix itself: ``docs`` cut to the word ranges taken, once for each pass.
+
+    Rows come in the shards' partitions, shuffled within each.  A whole document keeps its text as it is;
+    n_chars, if there is one, is set anew.
+    """
+    taken = Mix(docs, seed).pieces().where("n > 0")
+    keys = {"_id": F.col("doc_id"), "_mixed": mark(seed), "_nth": F.lit(1)}
+    repeats = not docs.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeats:  # rows with the same id and text are told apart by a number
+        keys["_nth"] = F.row_number().over(Window.partitionBy("doc_id", mark(seed)).orderBy(F.lit(0)))
+        taken = taken.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id", "mixed").orderBy("source", "cell", "row")))
+    else:
+        taken = taken.withColumn("nth", F.lit(1))
+    taken = taken.select(F.col("doc_id").alias("_d"), F.col("mixed").alias("_m"), F.col("nth").alias("_n"), "first", "n", "size", "shard", "order")
+    rows = packed(docs).withColumns(keys).join(taken, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_mixed") == F.col("_m")) & (F.col("_nth") == F.col("_n")))
+    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.regexp_replace(F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), F.col("n").cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
+    rows = rows.withColumn("text", F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(part))
+    return with_text(rows.repartition("shard").sortWithinPartitions("shard", "order"), docs.columns)

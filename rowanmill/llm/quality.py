@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of
+from .common import WORD, packed, text_of
 
 PLACE_BITS = 21
 PLACES = (1 << PLACE_BITS) - 1
@@ -108,3 +108,13 @@ def compiled(rules: tuple[Rule, ...]) -> Column:
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with its measures and ``kept``: no base failure and every rule met."""
     return measures(docs).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    The row number beside the verdict holds the filter above the projection; pushed below, it would evaluate
+    all measures again inside each other.
+    """
+    judged = judge(packed(docs), rules).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select("_in.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, hmm, media, mixing, near_duplicates, pii, quality, substrings, tokenizing
+from . import classifier, hmm, licenses, media, mixing, near_duplicates, pii, quality, substrings, tokenizing
 from .common import documents
 
 ORACLE_SQL: dict[str, str] = {}
@@ -68,6 +68,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(documents(spark, sf_dir))
+    spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["license"], x["first_word"], x["end_word"], x["matched"])), ",")
+    return found.withColumn("spans", spans).drop("found")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.judge(documents(spark, sf_dir)).select(*columns, "n_lines", "n_stop_words")
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hmm": op2_hmm,
     "op3_media": op3_media,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
     "op7_substrings": op7_substrings,
     "op8_pii": op8_pii,
