@@ -1,0 +1,35 @@
+"""The matching keys for single strings, used where a fold needs them row by row."""
+
+from __future__ import annotations
+
+import re
+
+from .keys import COUNTRY_CODES, NO_WEBSITE, NOISE_WORDS, SERVICE_LINES
+
+
+def name_key(name: str | None) -> str | None:
+    words = re.sub(r"[^a-z0-9\s]", " ", (name or "").lower(), flags=re.ASCII).split()
+    telling = [w for w in words if w not in NOISE_WORDS]
+    return " ".join(sorted(telling or words)) or None
+
+
+def phone_key(phone: str | None) -> str | None:
+    digits = re.sub(r"\D", "", phone or "")
+    if len(digits) < 7:
+        return None
+    bare = digits.lstrip("0")
+    code = next((c for c in COUNTRY_CODES if bare.startswith(c) and len(bare) >= 8 + len(c)), "")
+    return bare[len(code) :].lstrip("0") or None
+
+
+def domain_key(website: str | None) -> str | None:
+    text = (website or "").strip().lower()
+    if text in NO_WEBSITE:
+        return None
+    rest = text.split("://", 1)[1] if "://" in text else text
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0].rsplit("@", 1)[-1].split(":", 1)[0].removeprefix("www.")
+    return host if "." in host else None
+
+
+def is_shared_line(key: str | None) -> bool:
+    return bool(key) and (key.startswith(SERVICE_LINES) or re.match(r"\d{2,3}111\d{6}$", key) is not None)
