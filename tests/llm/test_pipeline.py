@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as pipeline
 import pytest
 from test_llm import MODEL, brute_groups, brute_spans, measures, words
@@ -37,6 +39,25 @@ def test_dedup_stage(stages):
     assert {r["doc_id"] for r in got.collect()} <= firsts
 
 
+def test_near_copies_go(spark):
+    rng = random.Random(2)
+    text = lambda n: [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 400)) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(40):
+        base = text(300)
+        want.add(10 * k)
+        rows.append((10 * k, " ".join(base)))
+        for c in range(1, 4):  # each copy has four new words in a row, so about 0.95 of the shingles stay
+            copy, at = list(base), rng.randint(20, 270)
+            copy[at : at + 4] = text(4)
+            rows.append((10 * k + c, " ".join(copy)))
+        far = base[:150] + text(150)
+        rows.append((10 * k + 5, " ".join(far)))
+        want.add(10 * k + 5)
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
 def test_pii_stage(stages):
     docs, got = stages["pii"]
     before, after = ({r["doc_id"]: r["text"] for r in df.collect()} for df in (docs, got))
