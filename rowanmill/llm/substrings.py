@@ -90,9 +90,13 @@ def anchors(rows: DataFrame) -> DataFrame:
 
 
 def repeated(places: DataFrame) -> DataFrame:
-    """Of rows h, id, at those whose h occurs more than once, with the first place of it."""
+    """Of rows h, id, at those whose h occurs more than once, with the first place of it.
+
+    The first places are written before the join: the counts' shuffle can go, and as both sides of the join
+    are then shuffled for it, Spark can split the rows of a frequent h among tasks.
+    """
     first = places.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("f")).where("n > 1").select("h", F.col("f.id").alias("ref"), F.col("f.at").alias("ref_at"))
-    return places.join(first, "h").select("h", "id", "at", "ref", "ref_at")
+    return places.join(materialize(first), "h").select("h", "id", "at", "ref", "ref_at")
 
 
 def text_hash(at: str):  # the low 32 bits as a signed int
