@@ -153,3 +153,35 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.upsert_stream(spark, stream, old, str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.schema(schema.BUSINESS).parquet(str(tmp_path / "t/version=1"))
     assert sorted(map(str, got.collect())) == sorted(map(str, resolve.upsert(old, new).select(*old.columns).collect()))
+
+
+def sequential(rows, sweep):
+    """The fold over all records at once, in order of age."""
+    rows = [dict(r) for r in sorted(rows, key=lambda r: (r["created_at"], r["id"]))]
+    resolve._fold(rows, sweep)
+    return {r["id"]: r["duplicate_of_id"] for r in rows}
+
+
+@pytest.mark.parametrize("sweep", [False, True])
+@pytest.mark.parametrize("seed", range(3))
+def test_fold_of_components_equals_one_fold(spark, sweep, seed):
+    rng = random.Random(seed)
+    words = ["blue", "corner", "shop", "garden", "gardens", "old", "mill", "ltd", "hong", "wah", "bq", "baqer", "bager", "mohebi", "ab", "abc"]
+    some = lambda *x: rng.choice([None, *x])
+    rows = [
+        {"name": some(*[" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(6)]), "city": some("A", "B", "C"), "phone": some("0117 952 4240", "0117 952 4241", "0345 026 7789"),
+         "website": some("a.co", "www.b.co/x"), "place_id": some("p", "q", "", None), "email": some("x@y.z", " ")}
+        for _ in range(60)
+    ]
+    df = businesses(spark, *rows)
+    assert flags(resolve.resolve(df, sweep)) == sequential([r.asDict() for r in df.collect()], sweep)
+
+
+def test_similar_names_misses_none(spark):
+    rng = random.Random(9)
+    names = sorted({" ".join(sorted("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 3)))) for _ in range(250)})
+    df = spark.createDataFrame([("X", n) for n in names], "city string, name_key string")
+    got = {(r["n1"], r["n2"]) for r in resolve.similar_names(df).collect()}
+    from rowanmill.functions.keys import similarity
+
+    assert got == {(a, b) for a in names for b in names if a < b and max(similarity(a, b), similarity(b, a)) >= 0.82}
