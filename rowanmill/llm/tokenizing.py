@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 BY_MARK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-KNOWN_UNITS = 600_000
+KNOWN_UNITS = 300_000
 _loaded: dict[str, "PieceTable"] = {}
 
 
@@ -82,7 +82,7 @@ class PieceTable:
         """Whether the two pieces are the encoding of their concatenation."""
         a, b = self.text_of[left], self.text_of[right]
         fit = self.merged(a + b) == [a, b]
-        if len(self.pairs) >= 4 * KNOWN_UNITS:
+        if len(self.pairs) > 2 * KNOWN_UNITS:
             self.pairs.clear()
         self.pairs[left << 20 | right] = fit
         return fit
