@@ -4,7 +4,7 @@ from oracle import assert_same
 
 from rowanmill.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
@@ -14,7 +14,7 @@ def test_query_equals_its_sql_twin(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_other_queries_run(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+    assert catalog.QUERIES[name](spark, SF01).count() > 0  # the smallest tables have no two phones alike
 
 
 def test_entry(spark):
