@@ -12,7 +12,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 
-from rowanmill.llm import classifier, common, components, hmm, licenses, media, mixing, near_duplicates, pii, quality, queries, substrings, tokenizing
+from rowanmill.llm import classifier, common, components, hmm, licenses, media, mixing, near_duplicates, pii, quality, queries, resemblance, substrings, tokenizing
 
 LOWER = bytes(common.LOWER)
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -291,6 +291,30 @@ def test_one_of_each_group_stays(odd):
     assert 1 in kept and 5 not in kept and 3 not in kept and kept.count(6) == 1 and kept.count(None) == 2
 
 
+def test_copies_that_only_their_base_joins(spark):
+    """Copies are unlike each other, their base has a middle id: buckets whose pivots are copies."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+    rows = [(500, " ".join(base))]
+    for i in [*range(200, 500), *range(501, 801)]:
+        copy = list(base)
+        for at in rng.sample(range(4, 400, 6), 8):
+            copy[at] = f"own{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(400)} for _, t in rows]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert min(like(sets[0], x) for x in sets[1:]) >= 0.8 > max(like(a, b) for a, b in zip(sets[1:-1], sets[2:], strict=True))
+    docs = spark.createDataFrame([*rows, (900, "some words that no other text of this table has")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in resemblance.drop_similar(docs).select("doc_id").collect()) == [200, 900]
+
+
+def test_overlap_counts_common_shingles(monkeypatch):
+    monkeypatch.setattr(resemblance, "COLUMNS", 7)
+    rng = np.random.default_rng(1)
+    x, y = ([np.unique(rng.integers(-40, 40, n)) for n in sizes] for sizes in ((0, 5, 60), (30, 1, 0, 90)))
+    assert resemblance.overlap(x, y).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+
+
 # --- 5 licences
 
 
