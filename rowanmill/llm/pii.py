@@ -5,11 +5,13 @@ words before a seed make a lexical pattern, its context.  Patterns and the value
 a graph, scored in rounds: a pattern's score for a kind is the share of its occurrences with values known
 or believed to be of the kind, a value's belief comes from the patterns with high scores before it.
 Patterns of high score with several different known values find the values that the fixed patterns miss:
-words of an identifier's shape in the same place.  All of it is DataFrame operations on built-in functions.
+words of an identifier's shape in the same place.  Contexts are read from the text as it stands, whatever the
+words before hold.  A number of fewer than nine digits takes in the numbers that follow it, each after one
+space, up to 19 digits together ("(017) 555-7713").  All of it is DataFrame operations on built-in functions.
 
 Spans count code points, the end exclusive.  Defined results: a null text is the empty text and has no
-spans; repeated rows get the same spans; a found span never overlaps a fixed one; an empty table gives an
-empty result; columns of the input are kept and new ones named as in ``find`` replace older ones.
+spans; repeated rows get the same spans; a found span never overlaps a fixed one, but may overlap another found
+one if the words before both are patterns; an empty table gives an empty result; columns of the input are kept and new ones named as in ``find`` replace older ones.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ NEEDS = ("@", ".", "", "+")
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 SPACE = r"\x20\x09-\x0D"
+#: Words that a number in several words begins with, goes on with and may end in.
+FIRST, NEXT, OPEN = r"^\(?\+?[0-9()-]*[0-9][0-9()-]*$", r"^\(?[0-9][0-9()-]*[^\p{L}0-9@]*$", r"^[0-9()-]+$"
+ALONE, MOST_DIGITS = 9, 19
 CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 
 
@@ -71,6 +76,39 @@ def places(text: Column, pattern: str) -> Column:
     return F.aggregate(found, start, step, lambda acc: acc["out"])
 
 
+def with_before(found: Column) -> Column:
+    """``places`` with the last characters of the text before each match as ``before``."""
+    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<value:string,start:bigint,end:bigint,gap:string,before:string>>").alias("out"))
+    last = lambda v: F.substring(v, -CONTEXT_CHARS, CONTEXT_CHARS)
+
+    def step(acc: Column, x: Column) -> Column:
+        before = last(F.concat(acc["tail"], x["gap"]))
+        row = F.struct(x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), x["gap"].alias("gap"), before.alias("before"))
+        return F.struct(last(F.concat(before, x["value"])).alias("tail"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return F.aggregate(found, start, step, lambda acc: acc["out"])
+
+
+def joined(words: Column, fixed: Column) -> Column:
+    """Words with their ``before``; a number's value goes on over the numbers after it, up to a fixed span."""
+
+    def whole(x: Column, i: Column) -> Column:
+        n = F.length(digits(x["value"]))
+        start = F.struct(x["value"].alias("value"), n.alias("n"), F.lit(True).alias("on"))
+
+        def step(acc: Column, y: Column) -> Column:
+            more = acc["n"] + F.length(digits(y["value"]))
+            on = acc["on"] & (y["gap"] == " ") & F.regexp_like(y["value"], F.lit(NEXT)) & (more <= MOST_DIGITS) & ~overlaps(y, fixed)
+            goes_on = F.struct(F.concat(acc["value"], F.lit(" "), y["value"]).alias("value"), more.alias("n"), F.regexp_like(y["value"], F.lit(OPEN)).alias("on"))
+            return F.when(on, goes_on).otherwise(F.struct(acc["value"].alias("value"), acc["n"].alias("n"), F.lit(False).alias("on")))
+
+        run = F.aggregate(F.slice(words, i + 2, MOST_DIGITS - 1), start, step, lambda acc: acc["value"])
+        value = F.when((n < ALONE) & F.regexp_like(x["value"], F.lit(FIRST)) & ~overlaps(x, fixed), run).otherwise(x["value"])
+        return F.struct(value.alias("value"), x["start"].alias("start"), x["before"].alias("before"))
+
+    return F.transform(words, whole)
+
+
 def kind_spans(text: Column, pattern: str, kind: int) -> Column:
     good = F.filter(places(text, pattern), lambda x: valid(x["value"], kind))
     return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
@@ -118,11 +156,11 @@ def graph(marked: DataFrame) -> DataFrame:
     lead = lambda v: F.length(F.regexp_extract(v, r"^[^\p{L}0-9]*", 0))
     core = lambda v: F.regexp_replace(F.regexp_replace(v, r"^[^\p{L}0-9]+", ""), r"[^\p{L}0-9]+$", "")
     words = F.transform(
-        places(text, CANDIDATE),
-        lambda x: F.struct(context(x["gap"]).alias("ctx"), core(x["value"]).alias("value"), (x["start"] + lead(x["value"])).alias("start"), (x["start"] + lead(x["value"]) + F.length(core(x["value"]))).alias("end"), F.lit(None).cast("int").alias("kind")),
+        joined(F.col("words"), fixed),
+        lambda x: F.struct(context(x["before"]).alias("ctx"), core(x["value"]).alias("value"), (x["start"] + lead(x["value"])).alias("start"), (x["start"] + lead(x["value"]) + F.length(core(x["value"]))).alias("end"), F.lit(None).cast("int").alias("kind")),
     )
     words = F.filter(words, lambda x: (x["end"] > x["start"]) & ~overlaps(x, fixed))
-    rows = marked.where(F.regexp_like(text, F.lit("[0-9@]"))).select("id", "th", F.explode(F.concat(seeds, words)).alias("x"))
+    rows = marked.where(F.regexp_like(text, F.lit("[0-9@]"))).withColumn("words", with_before(places(text, CANDIDATE))).select("id", "th", F.explode(F.concat(seeds, words)).alias("x"))
     return rows.select("id", "th", "x.*").where(F.col("ctx").isNotNull())
 
 

@@ -458,6 +458,16 @@ def test_contexts_find_more(spark):
     assert found[10] == "card:17:33" and found[11] == found[12] == found[13] == "" and all(found[i].startswith("card:36:") for i in range(6))
 
 
+def test_contexts_hold_numbers_and_numbers_hold_spaces(spark):
+    card = ["4111111111111111", "5500005555555559", "340000000000009", "30000000000004", "6011000000000004", "4222222222222"]
+    rows = [(i, f"my card number {1}: {c} and more") for i, c in enumerate(card)]
+    rows += [(10 + i, f"please ring me at +49 171 55512{i:02d} or so") for i in range(9)]
+    texts = {30: "my card number 1: 4111111111111112", 31: "ring me at (017) 555-7713, then", 32: "ring me at 0171 555 1234", 33: "ring me at 0171 555 1.2.3.4 now", 34: "ring me at 017155512345 12 times", 35: "see you at 0171 555 1234"}
+    df = spark.createDataFrame([*rows, *texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][a:b] for a, _, b in r["spans"]] for r in pii.find(df).select("doc_id", "spans").collect() if r["doc_id"] >= 30}
+    assert got == {30: ["4111111111111112"], 31: ["017) 555-7713"], 32: ["0171 555 1234"], 33: ["0171 555", "1.2.3.4"], 34: ["017155512345"], 35: []}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é mail a.b@c.de, call +1 (017) 555-7713!"), (2, None), (3, "clean")], "doc_id long, text string")
     assert [r["text"] for r in pii.redact(pii.find(df)).orderBy("doc_id").collect()] == ["é mail <EMAIL>, call <PHONE>!", None, "clean"]
