@@ -5,6 +5,9 @@ telling words (its words outside a short list of common ones) are put together i
 passage is aligned with the template: equal words at both ends are matched; words that occur once in the
 passage and once in the template are anchors; the longest increasing subsequence of anchors stays, and
 the gaps between anchors are aligned in the same way.  Coverage is the matched share of the template.
+Only what can't reach the asked coverage is skipped: texts that lack too many of the telling words, and
+places from where too few of the template's words follow.  A passage may hold several notices: from each
+place stretches of about a template's length are aligned, the best is taken and both sides are searched on.
 Each text is scanned whole in the task that reads it; templates are a short parameter.
 
 Defined results: a null text has no words and no licence; of equal coverage the first template in the
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -109,28 +113,95 @@ def passages(places: list[int], reach: int, size: int) -> Iterator[tuple[int, in
             start = k
 
 
+class Template:
+    """A template's words, of which ``need`` are to be matched."""
+
+    def __init__(self, name: str, words: list[str], least: float):
+        self.name, self.words = name, words
+        self.need = next((n for n in range(1, len(words) + 1) if n >= least * len(words)), len(words) + 1)
+        self.missing = len(words) - self.need
+        self.want = Counter(words)
+        self.telling = frozenset(words) - COMMON
+        if sum(w not in self.telling for w in words) >= self.need:
+            self.telling = frozenset(words)
+        # as far as telling words are apart if as many as may be missing are
+        at = [k for k, w in enumerate(words) if w in self.telling]
+        self.reach = max(4, len(words) // 4, *(y - x for x, y in zip(at, at[self.missing + 1 :], strict=False)))
+
+    def bounds(self, words: list[str], low: int, high: int) -> list[int]:
+        """For each place the most words that can be matched in the longest stretch from there."""
+        size = len(self.words) + 2 * self.reach
+        have: Counter[str] = Counter()
+        total, out = 0, []
+        for k in range(high - 1, low - 1, -1):
+            if k + size < high and (w := words[k + size]) in self.want:
+                have[w] -= 1
+                total -= have[w] < self.want[w]
+            if (w := words[k]) in self.want:
+                total += have[w] < self.want[w]
+                have[w] += 1
+            out.append(total)
+        return out[::-1]
+
+    def aligned(self, words: list[str], low: int, high: int) -> tuple[int, int, int] | None:
+        """Matched words, minus the length and the first place, if as many are matched as needed."""
+        pairs = align(words[low:high], self.words)
+        return (len(pairs), pairs[0][0] - pairs[-1][0] - 1, low + pairs[0][0]) if len(pairs) >= self.need else None
+
+    def best(self, words: list[str], places: list[int], high: int) -> tuple[int, int, int] | None:
+        """The most words matched, then the shortest and first notice, among those from the first that is found to one length later."""
+        n, best, stop = len(self.words), None, high
+        for k in places:
+            if k >= stop:
+                break
+            for size in (n, n + self.reach, n + 2 * self.reach):
+                if found := self.aligned(words, k, min(k + size, high)):
+                    stop = min(stop, k + n)
+                    if best is None or found[:2] > best[:2]:
+                        best = found
+                if k + size >= high:
+                    break
+            if best and best[:2] == (n, -n):
+                break
+        return best
+
+    def notices(self, words: list[str], low: int, high: int) -> list[tuple[int, int, int]]:
+        """First word, last (exclusive) and matched words of all notices in a passage, in order."""
+        out, todo = [], [(low, high)]
+        while todo:
+            low, high = todo.pop()
+            if high - low < self.need or sum((Counter(w for w in words[low:high] if w in self.want) & self.want).values()) < self.need:
+                continue
+            places = [k for k, n in enumerate(self.bounds(words, low, high), low) if n >= self.need and words[k] in self.want]
+            found = self.best(words, places, high) or self.aligned(words, low, high)
+            if found:
+                first, end = found[2], found[2] - found[1]
+                out.append((first, end, found[0]))
+                todo += [(low, first), (end, high)]
+        return sorted(out)
+
+
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         self.templates = [(name, tokens(text)) for name, text in templates]
-        self.telling = [frozenset(t) - COMMON for _, t in self.templates]
-        self.any = frozenset().union(*self.telling)
+        self.plans: dict[float, tuple[list[Template], frozenset[str]]] = {}
 
     def scan(self, text: str, least: float) -> list[tuple[str, int, int, int, float]]:
-        """licence, first and last word (exclusive), matched words and coverage of each passage that covers ``least`` of a template."""
+        """licence, first and last word (exclusive), matched words and coverage of each notice that covers ``least`` of a template."""
+        if least not in self.plans:
+            made = [Template(name, words, least) for name, words in self.templates if words]
+            self.plans[least] = made, frozenset().union(*(t.telling for t in made))
+        templates, telling = self.plans[least]
         words = tokens(text)
-        hits = [k for k, w in enumerate(words) if w in self.any]
+        hits = [k for k, w in enumerate(words) if w in telling]
         found = []
-        for (name, template), telling in zip(self.templates, self.telling, strict=True):
-            mine = [k for k in hits if words[k] in telling]
-            if len({words[k] for k in mine}) < least * len(telling):
+        for t in templates:
+            mine = [k for k in hits if words[k] in t.telling]
+            if len(t.telling) - len({words[k] for k in mine}) > t.missing:
                 continue
-            for low, high in passages(mine, max(4, len(template) // 4), len(words)):
-                part = words[low:high]
-                if len(telling.intersection(part)) < least * len(telling):
-                    continue
-                pairs = align(part, template)
-                if len(pairs) >= least * len(template):
-                    found.append((name, low + pairs[0][0], low + pairs[-1][0] + 1, len(pairs), len(pairs) / len(template)))
+            for low, high in passages(mine, t.reach, len(words)):
+                if len(t.telling.difference(words[low:high])) <= t.missing:
+                    found += [(t.name, a, b, n, n / len(t.words)) for a, b, n in t.notices(words, low, high)]
         return found
 
 

@@ -357,6 +357,22 @@ def test_licenses(spark, odd):
     assert [x["license"] for x in found] == ["MIT", "CC-BY-NC-4.0-line"] and 0.9 < found[0]["coverage"] < 1
 
 
+def test_notices_at_the_least_coverage_and_side_by_side():
+    scanner, text = licenses.Scanner(licenses.TEMPLATES), dict(licenses.TEMPLATES)
+    bsd = text["BSD"].replace("modification", "changes").replace("permitted", "allowed").replace("conditions", "terms")
+    for notice in (bsd, text["BSD"].replace("modification, are permitted provided", "changes, are allowed if")):
+        direct = len(licenses.align(licenses.tokens(notice), licenses.tokens(text["BSD"])))
+        found = [x for x in scanner.scan("Some words first. " + notice + " and some after.", 0.8) if x[0] == "BSD"]
+        assert [(x[1], x[3]) for x in found] == [(3, direct)] and direct / 21 >= 0.8
+    for name in ("MIT-line", "BSD", "MIT", "GPL-3.0-line"):
+        n = len(licenses.tokens(text[name]))
+        for k in (1, 2, 3, 40):
+            found = [x for x in scanner.scan("It was " + " ".join([text[name]] * k) + " by them", 0.8) if x[0] == name]
+            assert [(x[1], x[2], x[3]) for x in found] == [(2 + n * i, 2 + n * (i + 1), n) for i in range(k)]
+    mixed = scanner.scan("Released under the MIT License. See the MIT license. Released under MIT License, released under the MIT terms", 0.8)
+    assert [x[1:4] for x in mixed if x[0] == "MIT-line"] == [(0, 5, 5), (9, 13, 4), (13, 17, 4)]
+
+
 # --- 6 quality
 
 
