@@ -50,7 +50,7 @@ CELLS = ["", " N/A ", "unkown", "—", "+44 117 952 4240", "4.41317E+11", "0117
          "3 Aug 2026", "2026-13-45", "yes", "High", "Urgent!!", "in progress", "Contacted – Interested", "attempted / no answer", "Follow-up", "Semi-Automated?", "Manual (likely)", "fully automated",
          "Website + Mobile", "WhatsApp", "walk in store", "Wah Yan Hong Ltd", "The Shop & Co", "Café Ünï 24", "042-111-933-933", "+971 50 110 4711", "00971501104711", "https://user:pw@www.Shop.co.uk:80/x?y",
          "localhost", "shop.example/path", "HTTP://WWW.A-B.CO#f", "facebook.com/x | instagram.com/y, wa.me/971501", "linkedin.com/in/z", "12345", "nan"]
-DIRTY = f"SELECT o_orderkey AS k, {pick('o_orderkey', CELLS)} AS cell FROM {{orders}} WHERE o_orderkey <= 2000"
+DIRTY = f"SELECT o_orderkey AS k, {pick('o_orderkey', CELLS)} AS cell FROM {{orders}}"
 TABLES = ("customer", "nation", "region", "orders", "pages", "documents", "events")
 
 

@@ -24,3 +24,9 @@ def test_entry(spark):
 
 def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["clean_cells", "clean_dates", "clean_enums", "clean_social", "cell_keys"])
+def test_cell_queries_read_all_orders(spark, name):
+    assert catalog.QUERIES[name](spark, SF01).count() == spark.read.parquet(f"{SF01}/orders.parquet").count() > 2001
+    assert_same(catalog.QUERIES[name](spark, SF01), catalog.ORACLE_SQL[name], SF01)
