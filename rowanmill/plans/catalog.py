@@ -337,7 +337,7 @@ def crawl_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ADDRESSES = ["6 Baldwin St, Bristol BS1 1SA, UK", "Mall Rd, Lahore, Pakistan", "x, Southampton, United Kingdom", "Main St 12345", "", None, "a, Abu Dhabi 54000, UAE"]
-ADDRESS_SQL = f"SELECT o_orderkey AS k, {demo.pick('o_orderkey', ADDRESSES)} AS address FROM {{orders}} WHERE o_orderkey <= 500"
+ADDRESS_SQL = f"SELECT o_orderkey AS k, {demo.pick('o_orderkey', ADDRESSES)} AS address FROM {{orders}}"
 PARTS_SQL = "list_filter(list_transform(string_split(address, ','), lambda x: trim(x)), lambda x: x <> '')"
 CITY_SQL = "trim(regexp_replace(trim(regexp_replace(parts[-2], '(?i)[A-Z0-9]{2,4}\\s?[A-Z0-9]{2,4}', '', 'g')), '\\b[0-9]{5}\\b', '', 'g'))"
 

@@ -30,3 +30,8 @@ def test_names_agree():
 def test_cell_queries_read_all_orders(spark, name):
     assert catalog.QUERIES[name](spark, SF01).count() == spark.read.parquet(f"{SF01}/orders.parquet").count() > 2001
     assert_same(catalog.QUERIES[name](spark, SF01), catalog.ORACLE_SQL[name], SF01)
+
+
+def test_address_parts_reads_all_orders(spark):
+    assert catalog.QUERIES["address_parts"](spark, SF01).count() == spark.read.parquet(f"{SF01}/orders.parquet").count() > 501
+    assert_same(catalog.QUERIES["address_parts"](spark, SF01), catalog.ORACLE_SQL["address_parts"], SF01)
