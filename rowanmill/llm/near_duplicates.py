@@ -14,13 +14,16 @@ second, the other side the reverse; the third segment then has two errors at mos
 pieces is the same on both sides and goes into the key.  No link is missed; all are verified.
 
 Groups.  What is asked for are components, so links inside a group need not be listed.  In each bucket
-all rows are first compared with two pivots only, which gives at most two links a row.  The buckets that
-then still hold several components are compared component by component, with one link for each two.
+all rows are first compared with two pivots only: the fingerprint with the most rows and the one with the
+least hash, which buckets of a group mostly have in common.  A fingerprint's pivots of all its buckets are
+put together before they are compared, so each link comes once.  The buckets that then still hold several
+components are compared component by component, in packs of about ``PACK_ROWS``, with one link for each two.
 
 Defined results: a null text is the empty text, whose fingerprint is zero and links like any other; fewer
-words than a shingle are one shingle; rows with a null doc_id take part and a component's id is its least
-doc_id that is not null; repeated rows are kept; an empty table gives an empty result; other columns are
-not read.
+words than a shingle are one shingle; a text of any length is hashed whole, in the task that reads it; a bit
+that is set in exactly half of the hashes is 0; rows with a null doc_id take part and a component's id is its
+least doc_id that is not null; repeated rows are kept; an empty table gives an empty result; other columns are
+not read, and kept as they are where rows are dropped.
 """
 
 from __future__ import annotations
@@ -41,7 +44,8 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
-CHUNKS = 16
+PACK_ROWS = 256
+KEYED_ROWS = 100_000  # fingerprints a task makes keys of, up to 119 each
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -157,28 +161,41 @@ def keyed(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp", "n").mapInArrow(expand, "key long, fp long, n int, side byte")
 
 
+def pivot_links(full: DataFrame) -> DataFrame:
+    """Links a, b of fingerprints with the pivots of their buckets (``full``: fp, p1, p2), each once."""
+    pivots = F.array_union(F.collect_set("p1"), F.collect_set("p2"))  # no more than two for each key of a fingerprint
+    near = lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= BITS_APART)
+    star = full.groupBy("fp").agg(pivots.alias("pivots")).select("fp", F.filter("pivots", near).alias("pivots"))
+    return star.select(F.col("fp").alias("a"), F.explode("pivots").alias("b"))
+
+
+def pack_links(full: DataFrame, first: DataFrame) -> DataFrame:
+    """Links a, b of the components (``first``: node, root) that are left apart in the buckets of ``full`` (key, fp)."""
+    placed = full.select("key", "fp").join(first, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("part"))
+    several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    placed = materialize(placed.join(several, "key"))
+    sizes = placed.groupBy("key", "part").agg(F.ceil(F.count("*") / PACK_ROWS).alias("chunks"))
+    packs = placed.join(sizes, ["key", "part"]).groupBy("key", "part", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("chunk")).agg(F.collect_set("fp").alias("fps"))
+    packs = materialize(packs.select("key", "part", "fps"))
+    other = packs.select("key", F.col("part").alias("part2"), F.col("fps").alias("fps2"))
+    linked = F.exists("fps", lambda x: F.exists("fps2", lambda y: F.bit_count(x.bitwiseXOR(y)) <= BITS_APART))
+    return packs.join(other, "key").where(F.col("part") < F.col("part2")).where(linked).select(F.col("part").alias("a"), F.col("part2").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links) of every row."""
+    spark = docs.sparkSession
     marked = materialize(fingerprints(docs, shingle))
     distinct = materialize(marked.groupBy("fp").agg(F.least(F.count("*"), F.lit(1 << 30)).cast("int").alias("n"), F.min("doc_id").alias("least")))
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS_APART
 
     bucket = Window.partitionBy("key")
-    full = keyed(distinct).withColumns(
+    spread = distinct.repartition(max(spark.sparkContext.defaultParallelism, -(-distinct.count() // KEYED_ROWS)), "fp")
+    full = keyed(spread).withColumns(
         {"size": F.count("*").over(bucket), "sides": F.bit_or("side").over(bucket), "p1": F.max(F.struct("n", "fp")).over(bucket)["fp"], "p2": F.min(F.struct(F.xxhash64("fp").alias("h"), "fp")).over(bucket)["fp"]}
     )
     full = materialize(full.where("size > 1 AND sides = 3").select("key", "fp", "p1", "p2"))
-    star = full.select("fp", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("pivot")).where(F.col("fp") != F.col("pivot")).where(close("fp", "pivot"))
-    first = components(star.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
-
-    placed = full.select("key", "fp").join(first, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("part"))
-    several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    packs = placed.join(several, "key").groupBy("key", "part", F.pmod(F.hash("fp"), F.lit(CHUNKS)).alias("chunk")).agg(F.collect_set("fp").alias("fps"))
-    packs = materialize(packs.select("key", "part", "fps"))
-    other = packs.select("key", F.col("part").alias("part2"), F.col("fps").alias("fps2"))
-    linked = F.exists("fps", lambda x: F.exists("fps2", lambda y: F.bit_count(x.bitwiseXOR(y)) <= BITS_APART))
-    rest = packs.join(other, "key").where(F.col("part") < F.col("part2")).where(linked).select(F.col("part").alias("a"), F.col("part2").alias("b"))
-    second = components(rest.distinct()).withColumnsRenamed({"node": "node2", "root": "root2"})
+    first = components(pivot_links(full))
+    second = components(pack_links(full, first)).withColumnsRenamed({"node": "node2", "root": "root2"})
 
     part = distinct.join(first, F.col("fp") == F.col("node"), "left").withColumn("part", F.coalesce("root", "fp"))
     part = part.join(second, F.col("part") == F.col("node2"), "left").select("fp", "least", F.coalesce("root2", "part").alias("part"))
@@ -188,7 +205,14 @@ def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component; of rows with the same doc_id one stays, and rows without one stay."""
-    found = groups(docs, shingle).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` whose doc_id is the least of its component; of rows with the same doc_id that with the least text stays, and rows without one stay.
+
+    Of rows with the same doc_id and text the one with the least hash of its other columns stays.
+    """
+    found = materialize(groups(docs, shingle).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+    one = docs.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi").select(*docs.columns)
+    if not one.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = one.groupBy(F.col("doc_id").alias("_doc")).agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*hashed))).alias("_row")).select("_row.*")
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
