@@ -1,29 +1,42 @@
 """Personal data: fixed patterns, and more by bootstrapped contextual extraction (operator 8).
 
-Seeds are the e-mail addresses, IP addresses, card and phone numbers that the fixed patterns find.  The
-words before a seed make a lexical pattern, its context.  Patterns and the values they stand before form
-a graph, scored in rounds: a pattern's score for a kind is the share of its occurrences with values known
-or believed to be of the kind, a value's belief comes from the patterns with high scores before it.
-Patterns of high score with several different known values find the values that the fixed patterns miss:
-words of an identifier's shape in the same place.  Contexts are read from the text as it stands, whatever the
-words before hold.  A number of fewer than nine digits takes in the numbers that follow it, each after one
-space, up to 19 digits together ("(017) 555-7713").  All of it is DataFrame operations on built-in functions.
+Seeds are the e-mail addresses, IP addresses, card and phone numbers that the fixed patterns find, and long
+hexadecimal keys, a kind of their own ("secret").  The words around a seed make two lexical patterns: the two
+words before it, and the word before with the word after.  Patterns and the values they stand around form a
+graph, scored in rounds: a pattern's score for a kind is the share of all its occurrences in the corpus whose
+value is known or believed to be of the kind, a value's belief comes from the patterns with high scores around
+it.  Patterns of high score with several different known values find the values that the fixed patterns miss:
+words of an identifier's shape in the same place.  A number of fewer than nine digits takes in the numbers that
+follow it, each after one space, up to 19 digits together ("(017) 555-7713").  All of it is DataFrame
+operations on built-in functions; patterns are told apart by 64-bit hashes of their words.
+
+A pattern is open, that is scored at all, if ``support`` different seeds of a kind stand in it.  Its occurrences
+are counted in all texts: a bitmap of fixed size, made of the open patterns, filters the pairs of words, these
+are counted, and the counts are joined, one row a pattern.
 
 Spans count code points, the end exclusive.  Defined results: a null text is the empty text and has no
-spans; repeated rows get the same spans; a found span never overlaps a fixed one, but may overlap another found
-one if the words before both are patterns; an empty table gives an empty result; columns of the input are kept and new ones named as in ``find`` replace older ones.
+spans; repeated rows get the same spans; texts of any length are read whole, only words around a value that
+make more than ``CONTEXT_CHARS`` characters give no pattern; of equal scores the later kind is named; a found
+span never overlaps a fixed one, but may overlap another found one if the words before both are patterns; an
+empty table gives an empty result; columns of the input are kept, only ``fixed`` and ``spans`` are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, packed, text_of
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
+NAMES = (*KINDS, "secret")
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
 CONTEXT_CHARS = 80
+STEP = 128  # elements that are summed at a time
+BITMAP_BITS = 1 << 20
 #: Patterns as the contract has them, with possessive loops and starts only where a run begins or the last match ended,
 #: which changes no match and keeps long runs linear.
 PATTERNS = (
@@ -40,6 +53,12 @@ SPACE = r"\x20\x09-\x0D"
 FIRST, NEXT, OPEN = r"^\(?\+?[0-9()-]*[0-9][0-9()-]*$", r"^\(?[0-9][0-9()-]*[^\p{L}0-9@]*$", r"^[0-9()-]+$"
 ALONE, MOST_DIGITS = 9, 19
 CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+#: Keys that are known without any context: 32 to 64 hexadecimal digits in lower case, some of them letters and some not.
+HEX_KEY = r"^(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}$"
+BEFORE = rf"(?<![^{SPACE}])([^{SPACE}]+)[{SPACE}]+([^{SPACE}]+)[{SPACE}]*$"
+LAST_WORD = rf"(?<![^{SPACE}])([^{SPACE}]+)[{SPACE}]*$"
+NEXT_WORD = rf"^[{SPACE}]{{1,99}}([^{SPACE}]{{1,79}})(?:[{SPACE}]|$)"
+AFTER_CHARS = 200  # what NEXT_WORD may look at
 
 
 def digits(value: Column) -> Column:
@@ -62,70 +81,64 @@ def valid(value: Column, kind: int) -> Column:
     return n.between(9, 15) if kind == 3 else F.lit(True)
 
 
-def places(text: Column, pattern: str) -> Column:
-    """All matches with their places: array of value, start, end."""
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("gap"))
-    empty = F.array().cast("array<struct<value:string,start:bigint,end:bigint,gap:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        low = acc["at"] + F.length(x["gap"])
-        high = low + F.length(x["value"])
-        return F.struct(high.cast("bigint").alias("at"), F.concat(acc["out"], F.array(F.struct(x["value"].alias("value"), low.cast("bigint").alias("start"), high.cast("bigint").alias("end"), x["gap"].alias("gap")))).alias("out"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
 
+def running(sizes: Column) -> Column:
+    """The sum before each element of an array of longs, ``STEP`` elements at a time, so that long arrays cost little more."""
+    none = F.array().cast("array<bigint>")
 
-def with_before(found: Column) -> Column:
-    """``places`` with the last characters of the text before each match as ``before``."""
-    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<value:string,start:bigint,end:bigint,gap:string,before:string>>").alias("out"))
-    last = lambda v: F.substring(v, -CONTEXT_CHARS, CONTEXT_CHARS)
+    def sums(part: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("out"))
+        return F.aggregate(part, first, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
-    def step(acc: Column, x: Column) -> Column:
-        before = last(F.concat(acc["tail"], x["gap"]))
-        row = F.struct(x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), x["gap"].alias("gap"), before.alias("before"))
-        return F.struct(last(F.concat(before, x["value"])).alias("tail"), F.concat(acc["out"], F.array(row)).alias("out"))
+    zero = F.lit(0).cast("bigint")
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda c: F.slice(v, c * STEP + 1, F.lit(STEP)))
+    whole = lambda c: sums(F.transform(c, lambda x: F.aggregate(x, zero, lambda a, y: a + y)), zero)
+    joined = lambda c: F.flatten(F.transform(F.arrays_zip(c.alias("part"), whole(c).alias("base")), lambda z: sums(z["part"], z["base"])))
+    return let(sizes, lambda v: F.when(F.size(v) > 0, let(cut(v), joined)).otherwise(none))
 
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
 
+def places(text: Column, pattern: str, more: Callable[[Column, Column, Column], list[Column]] | None = None) -> Column:
+    """All matches in order: array of value, start, end and what ``more`` makes of the matches, the gaps before them and the number of each."""
+    pair = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
 
-def joined(words: Column, fixed: Column) -> Column:
-    """Words with their ``before``; a number's value goes on over the numbers after it, up to a fixed span."""
+    def listed(p: Column) -> Column:
+        size = lambda v, i: (F.length(v) + F.length(F.get(p["gaps"], i))).cast("bigint")
+        rows = F.arrays_zip(p["values"].alias("value"), running(F.transform(p["values"], size)).alias("at"))
 
-    def whole(x: Column, i: Column) -> Column:
-        n = F.length(digits(x["value"]))
-        start = F.struct(x["value"].alias("value"), n.alias("n"), F.lit(True).alias("on"))
+        def row(x: Column, i: Column) -> Column:
+            start = x["at"] + F.length(F.get(p["gaps"], i))
+            return F.struct(x["value"].alias("value"), start.alias("start"), (start + F.length(x["value"])).alias("end"), *(more(p["values"], p["gaps"], i) if more else []))
 
-        def step(acc: Column, y: Column) -> Column:
-            more = acc["n"] + F.length(digits(y["value"]))
-            on = acc["on"] & (y["gap"] == " ") & F.regexp_like(y["value"], F.lit(NEXT)) & (more <= MOST_DIGITS) & ~overlaps(y, fixed)
-            goes_on = F.struct(F.concat(acc["value"], F.lit(" "), y["value"]).alias("value"), more.alias("n"), F.regexp_like(y["value"], F.lit(OPEN)).alias("on"))
-            return F.when(on, goes_on).otherwise(F.struct(acc["value"].alias("value"), acc["n"].alias("n"), F.lit(False).alias("on")))
+        return F.transform(rows, row)
 
-        run = F.aggregate(F.slice(words, i + 2, MOST_DIGITS - 1), start, step, lambda acc: acc["value"])
-        value = F.when((n < ALONE) & F.regexp_like(x["value"], F.lit(FIRST)) & ~overlaps(x, fixed), run).otherwise(x["value"])
-        return F.struct(value.alias("value"), x["start"].alias("start"), x["before"].alias("before"))
+    return let(pair, listed)
 
-    return F.transform(words, whole)
 
-
-def kind_spans(text: Column, pattern: str, kind: int) -> Column:
+def kind_places(text: Column, pattern: str, kind: int) -> Column:
     good = F.filter(places(text, pattern), lambda x: valid(x["value"], kind))
-    return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+    return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
 
 
-def fixed_spans(text: Column) -> Column:
-    """The spans of the fixed patterns, by start and then kind."""
-    none = F.array().cast(f"array<{SPAN}>")
+def fixed_places(text: Column) -> Column:
+    """The matches of the fixed patterns, by start and then kind: array of start, kind, end, value."""
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
     parts = []
     for kind, pattern in enumerate(PATTERNS):
-        spans = kind_spans(text, pattern, kind)
-        parts.append(F.when(F.contains(text, F.lit(NEEDS[kind])) & F.regexp_like(text, F.lit("[0-9]" if kind else "@")), spans).otherwise(none))
+        asked = F.contains(text, F.lit(NEEDS[kind])) & F.regexp_like(text, F.lit("[0-9]" if kind else "@"))
+        parts.append(F.when(asked, kind_places(text, pattern, kind)).otherwise(none))
     return F.array_sort(F.concat(*parts))
 
 
+def fixed_spans(text: Column) -> Column:
+    return F.transform(fixed_places(text), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+
 def listed(spans: Column) -> Column:
-    name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
+    name = lambda k: F.element_at(F.array(*map(F.lit, NAMES)), k + 1)
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"], s["end"])), ",")
 
 
@@ -133,54 +146,110 @@ def count_of(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def context(before: Column) -> Column:
-    """The last two words of a text, in lower case; null if there are fewer."""
-    two = F.regexp_extract(F.substring(before, -CONTEXT_CHARS, CONTEXT_CHARS), rf"(?<![^{SPACE}])([^{SPACE}]+)[{SPACE}]+([^{SPACE}]+)[{SPACE}]*$", 0)
-    return F.nullif(F.lower(F.regexp_replace(F.rtrim(F.regexp_replace(two, rf"[{SPACE}]+", " ")), "^ ", "")), F.lit(""))
+def pattern_of(which: int, first: Column, second: Column) -> Column:
+    """The hash of a pattern of two lower-case words; null without both."""
+    return F.when((first != "") & (second != ""), F.xxhash64(F.lit(which), first, second))
+
+
+def around(values: Column, gaps: Column, i: Column) -> list[Column]:
+    """The patterns that stand around the i-th word (``before``, ``about``) and the gap before it."""
+    text = lambda x: F.coalesce(x, F.lit(""))
+    tail = lambda x: F.substring(text(x), -CONTEXT_CHARS, CONTEXT_CHARS)
+    lead = F.lower(tail(F.concat(text(F.get(values, i - 2)), tail(F.when(i > 0, F.get(gaps, i - 1))), text(F.get(values, i - 1)), tail(F.get(gaps, i)))))
+    rest = F.concat(F.left(text(F.get(gaps, i + 1)), F.lit(AFTER_CHARS)), F.left(text(F.get(values, i + 1)), F.lit(AFTER_CHARS)))
+    after = F.lower(F.regexp_extract(F.left(rest, F.lit(AFTER_CHARS)), NEXT_WORD, 1))
+    word = lambda k: F.regexp_extract(lead, BEFORE, k)
+    return [pattern_of(0, word(1), word(2)).alias("before"), pattern_of(1, F.regexp_extract(lead, LAST_WORD, 1), after).alias("about"), F.get(gaps, i).alias("gap")]
+
+
+def number_run(run: Column) -> Column:
+    """A word's value with the numbers that go on after it; ``run`` is the word and those after it, up to one that is part of a fixed span."""
+    first = F.get(run, F.lit(0))
+    n = F.length(digits(first["value"]))
+    start = F.struct(first["value"].alias("value"), n.alias("n"), F.lit(True).alias("on"))
+
+    def step(acc: Column, y: Column) -> Column:
+        more = acc["n"] + F.length(digits(y["value"]))
+        on = acc["on"] & (y["gap"] == " ") & F.regexp_like(y["value"], F.lit(NEXT)) & (more <= MOST_DIGITS) & ~y["busy"]
+        goes_on = F.struct(F.concat(acc["value"], F.lit(" "), y["value"]).alias("value"), more.alias("n"), F.regexp_like(y["value"], F.lit(OPEN)).alias("on"))
+        return F.when(on, goes_on).otherwise(F.struct(acc["value"].alias("value"), acc["n"].alias("n"), F.lit(False).alias("on")))
+
+    joined = F.aggregate(F.slice(run, F.lit(2), F.lit(MOST_DIGITS - 1)), start, step, lambda acc: acc["value"])
+    return F.when((n < ALONE) & F.regexp_like(first["value"], F.lit(FIRST)), joined).otherwise(first["value"])
+
+
+def graph(rows: DataFrame) -> DataFrame:
+    """Occurrences of values (``rows``: id, th, text): id, th, start, end, value, kind (null where not known), before, about and copies.
+
+    Values are the fixed spans, the hexadecimal keys, and the other words with digits or an at sign.  What a
+    value touches in its text is found by windows over the text's values in order of place.
+    """
+    text, none = F.col("text"), F.lit(None)
+    words = F.transform(places(text, CANDIDATE, around), lambda x: F.struct(x["start"].alias("start"), none.cast("int").alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["about"].alias("about"), x["gap"].alias("gap")))
+    seeds = F.transform(fixed_places(text), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value"), none.cast("bigint").alias("before"), none.cast("bigint").alias("about"), none.cast("string").alias("gap")))
+    found = rows.where(F.regexp_like(text, F.lit("[0-9@]"))).select("id", "th", F.explode(F.concat(seeds, words)).alias("x")).select("id", "th", "x.*")
+    found = found.groupBy("id", "th", "start", "kind", "end", "value", "before", "about", "gap").agg(F.count("*").alias("copies"))  # repeated rows
+    mine, known = Window.partitionBy("id", "th"), F.col("kind").isNotNull()
+    up_to = lambda *order: mine.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    word = F.last(F.when(~known, F.struct("end", "before", "about")), ignorenulls=True).over(up_to("start", known, "kind", "end"))
+    place = F.when(known, F.col("start")).otherwise(F.col("end") - 1)
+    busy = F.coalesce(F.max(F.when(known, F.col("end"))).over(up_to(place, ~known, "kind", "end")) > F.col("start"), F.lit(False))
+    found = found.withColumns({"word": word, "busy": busy})
+    about = F.when(F.col("end") <= F.col("word.end"), F.col("word.about"))  # only values of one word, as they are counted
+    fixed = found.where(known).select("id", "th", "start", "end", "value", "kind", F.col("word.before").alias("before"), about.alias("about"), "copies")
+    ahead = mine.orderBy("start").rowsBetween(0, MOST_DIGITS - 1)
+    loose = found.where(~known).withColumn("whole", number_run(F.collect_list(F.struct("value", "gap", "busy")).over(ahead))).where("NOT busy")
+    shift = F.length(F.regexp_extract("whole", r"^[^\p{L}0-9]*", 0))
+    core = F.regexp_replace(F.regexp_replace("whole", r"^[^\p{L}0-9]+", ""), r"[^\p{L}0-9]+$", "")
+    loose = loose.select("id", "th", (F.col("start") + shift).alias("start"), core.alias("core"), "before", F.when(F.col("whole") == F.col("value"), F.col("about")).alias("about"), "copies")
+    kind = F.when(F.regexp_like("core", F.lit(HEX_KEY)), SECRET).cast("int")
+    loose = loose.where("core <> ''").select("id", "th", "start", (F.col("start") + F.length("core")).alias("end"), F.col("core").alias("value"), kind.alias("kind"), "before", "about", "copies")
+    return fixed.unionByName(loose)
 
 
-def overlaps(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
+def shaped(value: Column, kind: Column) -> Column:
+    """Whether a value may be of a kind that the fixed pattern has missed."""
+    mixed = F.regexp_like(value, F.lit("[0-9]")) & F.regexp_like(value, F.lit(r"\p{L}")) & (F.length(value) >= 12)
+    return F.when(kind == 0, F.contains(value, F.lit("@")) & (F.length(value) >= 6)).when(kind == SECRET, mixed).otherwise(F.length(digits(value)) >= 6)
 
 
-def graph(marked: DataFrame) -> DataFrame:
-    """Occurrences of values after contexts: id, th, ctx, value, start, end and the kind of fixed spans (null for other words of an identifier's shape)."""
-    text, fixed = F.col("text"), F.col("fixed")
-    seeds = F.transform(
-        fixed,
-        lambda s: F.struct(
-            context(F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)).cast("int"))).alias("ctx"),
-            F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("value"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"),
-        ),
-    )
-    lead = lambda v: F.length(F.regexp_extract(v, r"^[^\p{L}0-9]*", 0))
-    core = lambda v: F.regexp_replace(F.regexp_replace(v, r"^[^\p{L}0-9]+", ""), r"[^\p{L}0-9]+$", "")
-    words = F.transform(
-        joined(F.col("words"), fixed),
-        lambda x: F.struct(context(x["before"]).alias("ctx"), core(x["value"]).alias("value"), (x["start"] + lead(x["value"])).alias("start"), (x["start"] + lead(x["value"]) + F.length(core(x["value"]))).alias("end"), F.lit(None).cast("int").alias("kind")),
-    )
-    words = F.filter(words, lambda x: (x["end"] > x["start"]) & ~overlaps(x, fixed))
-    rows = marked.where(F.regexp_like(text, F.lit("[0-9@]"))).withColumn("words", with_before(places(text, CANDIDATE))).select("id", "th", F.explode(F.concat(seeds, words)).alias("x"))
-    return rows.select("id", "th", "x.*").where(F.col("ctx").isNotNull())
+def bitmap_of(open_: DataFrame) -> Callable[[Column], Column]:
+    """A test for the patterns of ``open_``, true for some others too; what reaches the driver is BITMAP_BITS bits at most."""
+    bit = F.pmod("ctx", F.lit(BITMAP_BITS))
+    mask = F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(ctx, {BITMAP_BITS}) & 63 AS int))")).alias("mask")
+    cells = [0] * (BITMAP_BITS // 64)
+    for r in open_.groupBy(F.shiftright(bit, 6).cast("int").alias("cell")).agg(mask).collect():  # BITMAP_BITS / 64 rows at most
+        cells[r["cell"]] = r["mask"]
+    bits = F.split(F.lit(",".join(map(str, cells))), ",").cast("array<bigint>")
 
+    def test(ctx: Column) -> Column:
+        at = F.pmod(ctx, F.lit(BITMAP_BITS))
+        return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-def shaped(value: Column, kind: Column) -> Column:
-    """Whether a value may be of a kind that the fixed pattern has missed."""
-    return F.when(kind == 0, F.contains(value, F.lit("@")) & (F.length(value) >= 6)).otherwise(F.length(digits(value)) >= 6)
+    return test
+
+
+def occurrences(texts: DataFrame, open_: DataFrame) -> DataFrame:
+    """ctx, total: how often the patterns of ``open_`` stand around a word in ``texts`` (text), whatever the word."""
+    held, w = bitmap_of(open_), F.col("w")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(rf"[^{SPACE}]+"), F.lit(0))
+    spots = texts.select(words.alias("w")).where(F.size("w") > 2).select("w", F.explode(F.sequence(F.lit(0), 2 * F.size("w") - 5)).alias("j"))
+    which, i = F.col("j") % 2, F.shiftright("j", 1)
+    pairs = spots.select(F.xxhash64(which, F.get(w, i), F.get(w, i + 1 + which)).alias("ctx"))
+    counts = pairs.where(held(F.col("ctx"))).groupBy("ctx").agg(F.count("*").alias("total"))
+    return counts.join(open_.select("ctx").distinct(), "ctx")
 
 
-def patterns(links: DataFrame, docs: DataFrame, support: int, accept: float, rounds: int) -> DataFrame:
+def patterns(links: DataFrame, texts: DataFrame, support: int, accept: float, rounds: int) -> DataFrame:
     """ctx, kind, score of the patterns that are accepted in the end."""
-    known = links.where("kind IS NOT NULL").groupBy("ctx", "kind").agg(F.countDistinct("value").alias("values")).where(F.col("values") >= support)
-    open_ = materialize(known.select("ctx", "kind").distinct())
-    words = F.regexp_extract_all(text_of(), F.lit(rf"[^{SPACE}]+"), F.lit(0))
-    pairs = docs.select(words.alias("w")).where(F.size("w") > 2).select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 3)).alias("i"))
-    pairs = pairs.select(F.lower(F.concat_ws(" ", F.get("w", F.col("i")), F.get("w", F.col("i") + 1))).alias("ctx"))
-    totals = materialize(pairs.join(open_.select("ctx").distinct(), "ctx").groupBy("ctx").agg(F.count("*").alias("total")))
-    edges = links.groupBy("ctx", "value", "kind").agg(F.count("*").alias("n"))
-    seeds = edges.where("kind IS NOT NULL").select("ctx", "kind", "value", "n", F.lit(1.0).alias("belief"))
+    edges = links.select("value", "kind", "copies", F.explode(F.array_compact(F.array("before", "about"))).alias("ctx"))
+    edges = materialize(edges.groupBy("ctx", "value", "kind").agg(F.sum("copies").alias("n")))
+    known = edges.where("kind IS NOT NULL").groupBy("ctx", "kind").agg(F.count("*").alias("values")).where(F.col("values") >= support)
+    open_ = materialize(known.select("ctx", "kind"))
+    totals = materialize(occurrences(texts, open_))
+    seeds = edges.where("kind IS NOT NULL").select("ctx", "kind", "value", "n", F.lit(1.0).alias("belief")).join(open_, ["ctx", "kind"])
     loose = edges.where("kind IS NULL").select("ctx", "value", "n").join(open_, "ctx").where(shaped(F.col("value"), F.col("kind"))).select("ctx", "kind", "value", "n")
-    seeds, loose = materialize(seeds.join(open_, ["ctx", "kind"])), materialize(loose)
+    seeds, loose = materialize(seeds), materialize(loose)
     believed = seeds
     for _ in range(rounds):
         score = F.least(F.sum(F.col("n") * F.col("belief")) / F.max("total"), F.lit(1.0))
@@ -193,22 +262,24 @@ def patterns(links: DataFrame, docs: DataFrame, support: int, accept: float, rou
 
 def find(docs: DataFrame, support: int = 5, accept: float = 0.6, rounds: int = 3) -> DataFrame:
     """``docs`` with arrays ``fixed`` and ``spans`` (start, kind, end): of the fixed patterns, and all."""
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_th": F.xxhash64(text_of())}
-    marked = docs.withColumn("fixed", fixed_spans(text_of()))
-    links = materialize(graph(docs.select(*[c.alias(n[1:]) for n, c in keys.items()], text_of().alias("text"), fixed_spans(text_of()).alias("fixed"))))
-    rules = patterns(links, docs, support, accept, rounds)
-    hits = links.where("kind IS NULL").drop("kind").join(rules, "ctx").where(shaped(F.col("value"), F.col("kind")))
+    rows = packed(docs).select("_in", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
+    links = materialize(graph(rows.select("id", "th", "text")))
+    rules = patterns(links, rows, support, accept, rounds)
+    loose = links.where("kind IS NULL").select("id", "th", "start", "end", "value", F.explode(F.array_compact(F.array("before", "about"))).alias("ctx"))
+    hits = loose.join(rules, "ctx").where(shaped(F.col("value"), F.col("kind"))).select("id", "th", "start", "end", "kind", "score")
+    hits = hits.unionByName(links.where(F.col("kind") == SECRET).select("id", "th", "start", "end", "kind", F.lit(1.0).alias("score")))
     hits = hits.groupBy("id", "th", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    hits = materialize(hits.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("_found")))
-    joined = marked.withColumns(keys).join(hits, ["_id", "_th"], "left")
+    hits = materialize(hits.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("found")))
+    marked = rows.withColumn("fixed", fixed_spans(F.col("text"))).join(hits, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     none = F.array().cast(f"array<{SPAN}>")
-    return joined.withColumn("spans", F.array_sort(F.concat("fixed", F.coalesce("_found", none)))).drop("_id", "_th", "_found")
+    spans = F.array_sort(F.concat("fixed", F.coalesce("found", none)))
+    return marked.select(*[F.col(f"_in.`{c}`").alias(c) for c in docs.columns if c not in ("fixed", "spans")], "fixed", spans.alias("spans"))
 
 
 def redact(found: DataFrame) -> DataFrame:
     """``text`` with every span replaced by its kind in angle brackets; of overlapping spans the first is named."""
     text = text_of()
-    name = lambda k: F.element_at(F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS]), k + 1)
+    name = lambda k: F.element_at(F.array(*[F.lit(f"<{k.upper()}>") for k in NAMES]), k + 1)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -27,7 +27,7 @@ def frame(spark, rows):
 def odd(spark):
     """Nulls in every column, empty and long texts, copies, repeated rows and clashing extra columns."""
     docs = frame(spark, [*ODD, ODD[5], ODD[5], ODD[7]])
-    extra = ("n_words", "kept", "fp", "size", "shard", "spans", "fixed", "_in", "id", "th", "label", "stats", "key", "h")
+    extra = ("n_words", "kept", "fp", "size", "shard", "spans", "fixed", "_in", "_id", "_th", "_found", "found", "ctx", "busy", "id", "th", "label", "stats", "key", "h")
     return docs.withColumns({c: F.lit("kept as it is") for c in extra})
 
 

@@ -474,6 +474,66 @@ def test_contexts_find_more(spark):
     assert found[10] == "card:17:33" and found[11] == found[12] == found[13] == "" and all(found[i].startswith("card:36:") for i in range(6))
 
 
+def test_keys_induce_patterns_that_find_other_keys(spark):
+    rng = random.Random(5)
+    key = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, f'some words token = "{key(40, "0123456789abcdef")}" and others {i}') for i in range(6)]
+    texts = {20: 'here TOKEN = "A1B2C3D4E5F6A7B8C9D0"!! it is', 21: "no token = here", 22: "a token = 12 of them", 23: 'count = "A1B2C3D4E5F6A7B8C9D0" instead'}
+    got = {r["doc_id"]: [(k, r["text"][a:b]) for a, k, b in r["spans"]] for r in pii.find(spark.createDataFrame([*rows, *texts.items()], "doc_id long, text string")).collect()}
+    assert got[20] == [(pii.SECRET, "A1B2C3D4E5F6A7B8C9D0")] and got[21] == got[22] == got[23] == []
+    assert all(len(got[i]) == 1 and got[i][0][0] == pii.SECRET and len(got[i][0][1]) == 40 for i in range(6))
+
+
+def brute_patterns(texts, support, accept, rounds):
+    """The scores of all patterns around single words, from the words themselves."""
+    seeds, loose, total = Counter(), Counter(), Counter()
+    for t in texts:
+        w = (t or "").lower().split()
+        for i in range(len(w) - 2):
+            total["before", w[i], w[i + 1]] += 1
+            total["about", w[i], w[i + 2]] += 1
+        for i, v in enumerate((t or "").split()):
+            ctx = [("before", *w[i - 2 : i])] if i > 1 else []
+            ctx += [("about", w[i - 1], w[i + 1])] if 0 < i < len(w) - 1 else []
+            for c in ctx:
+                if re.fullmatch("[0-9.]+", v) and v.count(".") == 3:
+                    seeds[c, v] += 1
+                elif sum(x.isdigit() for x in v) >= 6:
+                    loose[c, v] += 1
+    open_ = {c for c in {c for c, _ in seeds} if sum(c == d for d, _ in seeds) >= support}
+    score, belief = {}, {}
+    for _ in range(rounds):
+        share = {c: min(1.0, (sum(n for (d, _), n in seeds.items() if d == c) + sum(n * belief.get(v, 0) for (d, v), n in loose.items() if d == c)) / total[c]) for c in open_}
+        score = {c: s for c, s in share.items() if s >= accept}
+        belief = {v: 1 - math.prod(1 - min(score.get(d, 0), 0.999) for d, u in loose if u == v and d in open_) for _, v in loose}
+    return score
+
+
+def test_scores_equal_those_of_a_plain_graph(spark):
+    rng = random.Random(11)
+    host = lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    words_ = ["from", "host", "at", "to", "the", "node"]
+    texts = [" ".join(rng.choice([*words_, host(), f"x{rng.randint(10**6, 10**6 + 4)}"] if k % 3 else words_) for k in range(rng.randint(1, 14))) for _ in range(400)]
+    texts += [f"reached from host {host()} again" for _ in range(30)] + [f"from host x{10**6 + k % 3}" for k in range(6)]
+    rows = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(texts)], "id string, th long, text string")
+    rules = pii.patterns(pii.graph(rows), rows, 3, 0.3, 3).collect()
+    want = brute_patterns(texts, 3, 0.3, 3)
+    assert sorted(round(r["score"], 9) for r in rules) == sorted(round(s, 9) for s in want.values()) and len(want) > 3 and {r["kind"] for r in rules} == {1}
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 127, 128, 129, 1000):
+        sizes = [(k * 7) % 11 for k in range(n)]
+        got = spark.createDataFrame([(sizes,)], "x array<bigint>").select(pii.running(F.col("x"))).first()[0]
+        assert got == [sum(sizes[:k]) for k in range(n)]
+
+
+def test_many_values_in_one_text(spark):
+    numbers = " ".join(f"{i}.{i % 250}.1.9 {i * 7919}" for i in range(4000))
+    got = pii.find(spark.createDataFrame([(1, numbers)], "doc_id long, text string")).select(pii.listed(F.col("fixed"))).first()[0]
+    assert got == brute_spans(numbers)
+
+
 def test_contexts_hold_numbers_and_numbers_hold_spaces(spark):
     card = ["4111111111111111", "5500005555555559", "340000000000009", "30000000000004", "6011000000000004", "4222222222222"]
     rows = [(i, f"my card number {1}: {c} and more") for i, c in enumerate(card)]
