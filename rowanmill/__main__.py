@@ -36,19 +36,19 @@ def store(spark: SparkSession, df: DataFrame, folder: str, name: str) -> None:
 
 def import_sheet(spark: SparkSession, folder: str, path: str, assigned_to: str | None, dry_run: bool) -> dict[str, int]:
     """created, merged and skipped rows; a dry run counts and writes nothing."""
-    typed = sheets.typed_rows(sheets.sheet_fields(sheets.read_sheet(spark, path)), assigned_to)
-    rows = typed.select("*", F.monotonically_increasing_id().alias("sequence")).persist()
+    fields = sheets.sheet_fields(sheets.read_sheet(spark, path))
+    rows = sheets.typed_rows(fields, assigned_to).withColumn("sequence", F.monotonically_increasing_id()).persist()
     old = load(spark, folder, "businesses", schema.BUSINESS)
     found, new = leads.import_rows(old, rows, uuid.uuid4().hex if not dry_run else "dry")
-    total, named = rows.count(), rows.where(F.coalesce(F.trim("name"), F.lit("")) != "").count()
-    created = found.where("created").count()
+    found = found.persist()
+    counts = leads.import_counts(rows, found).first().asDict()
     if not dry_run:
         kept = load(spark, folder, "leads", schema.LEAD)
-        full = new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(t).alias(c) for c, t in kept.dtypes])
-        merged = kept.join(full.select("business_id"), "business_id", "left_anti").select(*kept.columns).unionByName(full)
         store(spark, found.select(*old.columns), folder, "businesses")
-        store(spark, merged, folder, "leads")
-    return {"created": created, "merged": named - created, "skipped": total - named}
+        store(spark, leads.merged_leads(kept, new, datetime.now(timezone.utc).replace(tzinfo=None)), folder, "leads")
+    for df in (rows, found):
+        df.unpersist()
+    return counts
 
 
 def sweep(spark: SparkSession, folder: str) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cells
+from ..functions import cells, places
 from ..schema import DISCOVERY, PRIORITIES
 
 # Headers of the sheets and of the discovery export, and the field that each fills.
@@ -58,9 +58,9 @@ def _read_excel(spark: SparkSession, path: str) -> DataFrame:
     return _named(spark.createDataFrame(rows[1:], schema), headers)
 
 
-def sheet_fields(sheet: DataFrame) -> DataFrame:
-    """Columns renamed by the table of headers, unknown ones dropped; of several headers for a field the last counts."""
-    named: dict[str, Column] = {}
+def sheet_fields(sheet: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns renamed by the table of headers, unknown ones dropped but for ``keep``; of several headers for a field the last counts."""
+    named: dict[str, Column] = {c: F.col(c) for c in keep}
     for f in sheet.schema:
         header = f.metadata.get("header", f.name)
         if (field := HEADERS.get(header.strip().lower())) is not None:
@@ -73,12 +73,13 @@ def _field(df: DataFrame, name: str) -> Column:
 
 
 def business_columns(fields: DataFrame, assigned_to: str | None = None) -> dict[str, Column]:
-    """Typed business columns of sheet fields; the city's owner given for the import fills in where no row has one."""
+    """Typed business columns of sheet fields; an owner given for the import goes before that of a row."""
     get = lambda n: _field(fields, n)
     out = {n: cells.clean(get(n)) for n in TEXT_FIELDS}
     out |= {"phone": cells.to_phone(get("phone")), "rating": cells.to_double(get("rating")), "reviews_count": cells.to_int(get("reviews_count")), **cells.social_links(get("social_media_links"))}
-    out["assigned_to"] = F.coalesce(out["assigned_to"], F.lit(assigned_to))
-    out["source_bot"] = F.coalesce(cells.clean(get("source_bot")), F.lit("sheet_import"))
+    if assigned_to:
+        out["assigned_to"] = F.lit(assigned_to)
+    out["source_bot"] = F.coalesce(cells.clean(get("source_bot")), F.lit("manual_import"))
     return out
 
 
@@ -92,9 +93,9 @@ def lead_columns(fields: DataFrame) -> dict[str, Column]:
     }
 
 
-def typed_rows(fields: DataFrame, assigned_to: str | None = None) -> DataFrame:
-    """Business and lead columns side by side."""
-    return fields.select(*[c.alias(n) for n, c in (business_columns(fields, assigned_to) | lead_columns(fields)).items()])
+def typed_rows(fields: DataFrame, assigned_to: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Business and lead columns side by side, after those of ``keep``."""
+    return fields.select(*keep, *[c.alias(n) for n, c in (business_columns(fields, assigned_to) | lead_columns(fields)).items()])
 
 
 def read_discovery(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
@@ -103,6 +104,18 @@ def read_discovery(spark: SparkSession, path: str, kind: str = "json") -> DataFr
     return reader.option("multiLine", True).json(path) if kind == "json" else reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def discovered(records: DataFrame, assigned_to: str | None = None) -> DataFrame:
+    """Business columns of scraped records; an address says city and country first, what the record has stands where it doesn't."""
+    text = lambda c: F.nullif(cells.strip(F.col(c)), F.lit(""))
+    out = {n: text(n) for n in ("name", "address", "phone", "website", "maps_url", "place_id")}
+    city, country, address = text("city"), text("country"), out["address"]
+    out["city"] = F.when(address.isNotNull(), places.address_city(address, F.coalesce(city, F.lit("")))).otherwise(city)
+    out["country"] = F.when(address.isNotNull(), places.address_country(address, country)).otherwise(country)
+    out |= {"business_type": text("category"), "rating": F.col("google_rating"), "reviews_count": F.col("reviews_count"), "source_bot": F.coalesce(text("source"), F.lit("google_maps_bot"))}
+    out["assigned_to"] = F.lit(assigned_to or None).cast("string")
+    return records.select(*[c for c in records.columns if c == "sequence"], *[c.alias(n) for n, c in out.items()])
+
+
 def first_seen(records: DataFrame, key: Column, order: Column) -> DataFrame:
     """The first record of each key, in order."""
     packed = F.struct(*[F.col(c) for c in records.columns])

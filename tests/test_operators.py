@@ -185,3 +185,52 @@ def test_similar_names_misses_none(spark):
     from rowanmill.functions.keys import similarity
 
     assert got == {(a, b) for a in names for b in names if a < b and max(similarity(a, b), similarity(b, a)) >= 0.82}
+
+
+SHEET = [(1, "Corner Shop One", "Bristol", "0117 952 4240", "High"), (2, "Corner One Ltd", "Bristol", None, "Low"), (3, "Other Place", "Leeds", None, None), (4, None, None, None, None), (5, "  ", "Leeds", "", "")]
+
+
+def sheet_rows(spark, shift=0):
+    return spark.createDataFrame([(s + shift, *r) for s, *r in SHEET], "sequence long, `Business Name` string, CITY string, Phone string, `Lead Priority` string")
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_import_twice_merges(spark, parts):
+    """Order of the sheet decides, whatever the partitions and however large the numbers are; dates stay as they were."""
+    old = businesses(spark, {"id": "old", "name": "Other Place", "city": "Leeds", "created_at": None})
+    first, new, counts = leads.import_frame(old, sheet_rows(spark, 1 << 40).repartition(parts), "b1")
+    first = first.persist()
+    assert tuple(counts.first()) == (1, 2, 1)  # the row of nulls is no row, the blank one is skipped
+    assert {(r["name"], r["phone"], r["id"] == "old") for r in first.collect()} == {("Corner Shop One", "0117 952 4240", False), ("Other Place", None, True)}
+    assert {r["created_at"] is None for r in first.where("id = 'old'").collect()} == {True} and first.where("created_at > '2090-01-01'").count() == 0
+    assert {r["priority"] for r in new.collect()} == {"low", "medium"} and new.count() == 2
+    again, more, counts = leads.import_frame(first.select(*old.columns), sheet_rows(spark).repartition(parts), "b2")
+    assert tuple(counts.first()) == (0, 3, 1) and {r["id"] for r in again.collect()} == {r["id"] for r in first.collect()}
+    stored = spark.createDataFrame([], schema.LEAD)
+    once = leads.merged_leads(stored, new, AT)
+    twice = leads.merged_leads(once, more, datetime(2025, 1, 1))
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect())) and once.count() == 2
+
+
+def test_owner_given_for_an_import_goes_first(spark):
+    rows = spark.createDataFrame([("A Shop", "Haifa")], "name string, assigned_to string")
+    assert sheets.typed_rows(rows, "Usman").first()["assigned_to"] == "Usman" and sheets.typed_rows(rows).first()["assigned_to"] == "Haifa"
+
+
+def test_ingest_of_scraped_records(spark):
+    old = businesses(spark, {"id": "b1", "name": "Corner Shop One", "city": "Bristol", "website": "https://c.co"})
+    stored = spark.createDataFrame([("l1", "b1", 7, "phone", None, None, "completed", "Completed", "high", "n", "interested", None, 3, None, AT)], schema.LEAD)
+    rows = [(1, "Corner One", "Bristol", None, "p1"), (2, "Fresh & Co", " Dubai ", None, "p2"), (3, " ", "Dubai", None, "p3"), (4, "By Road", None, "1 Mall Rd, Lahore, Pakistan", "p4")]
+    records = spark.createDataFrame(rows, "sequence long, name string, city string, address string, place_id string")
+    for f in ("category", "country", "phone", "website", "maps_url", "source"):
+        records = records.withColumn(f, F.lit(None).cast("string"))
+    records = records.withColumns({"google_rating": F.lit(4.5), "reviews_count": F.lit(3)})
+    found, new, counts = leads.ingest(old, stored, records.repartition(3), "scrape", datetime(2026, 1, 5), 2)
+    assert tuple(counts.first()) == (2, 1, 1)
+    by_name = {r["name"]: r for r in found.collect()}
+    assert by_name["Corner Shop One"]["place_id"] == "p1" and by_name["Fresh & Co"]["assigned_to"] == "Haifa" and by_name["Fresh & Co"]["source_bot"] == "google_maps_bot"
+    assert (by_name["By Road"]["city"], by_name["By Road"]["country"]) == ("", "Pakistan")
+    lead = {r["business_id"]: r for r in new.collect()}
+    assert len(lead) == 3 and (lead["b1"]["automation_status_detail"], lead["b1"]["week_number"], lead["b1"]["priority"], lead["b1"]["lead_ref"]) == ("Queued", 3, "high", 7)
+    other = lead[by_name["Fresh & Co"]["id"]]
+    assert (other["automation_status"], other["automation_status_detail"], other["week_number"], other["priority"]) == ("completed", "Skipped (No Website)", 2, "medium")
