@@ -1,7 +1,10 @@
 """Helpers shared by the training-data operators: shared-folder tables and columnar tokenizing.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D.  The text helpers work on
-whole Arrow buffers, so a task never holds more than one slice of ``SLICE_BYTES`` at a time.
+whole Arrow buffers, so a task never holds more than one slice of ``SLICE_BYTES`` at a time (or one text, if
+it is longer).  A null text has no words, like an empty one.
+
+Words are told apart by XXH64 of their bytes, stretches of words by a mix of those that uses every bit of each.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -22,9 +26,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = r"[^\x20\x09-\x0D]+"
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_BYTE_KEYS = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -33,9 +35,11 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where a local session names none."""
     name = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_own_shared_dir", None)
     if not name:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         name = spark._own_shared_dir = f"file://{tempfile.mkdtemp(prefix='shared-')}"
     return name
 
@@ -55,6 +59,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their number, from 0 on, in an order that leaves no ties; ranges of rows are counted, so no task sees all."""
+    spread = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = spread.groupBy(F.col("_range").alias("_r")).count().select("_r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return spread.withColumn(name, inside).join(starts, F.col("_range") == F.col("_r")).withColumn(name, F.col("_before") + F.col(name) - 1).drop("_range", "_r", "_before")
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text leaves remainder 0; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
@@ -102,30 +115,14 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = powers(len(self.data))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_KEYS[self.data] * up, out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        """XXH64 of each word's bytes."""
+        data, digest, n = self.data.tobytes(), xxhash.xxh64_intdigest, len(self.start)
+        return np.fromiter((digest(data[i:j]) for i, j in zip(self.start.tolist(), self.end.tolist(), strict=True)), np.uint64, n)
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and their inverses."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer over 64-bit values (two multiply and shift rounds)."""
     x = x ^ (x >> np.uint64(30))
@@ -135,6 +132,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def gram_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """The hash of ``size`` words from each position on, from the words' hashes; other seeds give other, independent hashes.
+
+    Stretches of 1, 2, 4, ... words are mixed from two of half the length, the asked length from those.
+    """
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    golden = np.uint64(GOLDEN)
+    part, length, at = mix(words + np.uint64(seed) * golden), 1, 0
+    out = np.full(n, np.uint64(size), np.uint64)
+    while True:
+        if size & length:
+            out = mix(out * golden + part[at : at + n])
+            at += length
+        if at == size:
+            return out
+        part, length = mix(part[:-length] * golden + part[length:]), 2 * length
+
+
 def with_text(rows: DataFrame, columns: list[str], packed: str = "_in") -> DataFrame:
     """The input columns out of the struct ``packed``, with the text of ``rows`` and n_chars to match."""
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}

@@ -1,20 +1,21 @@
 """Hidden Markov language model: Baum-Welch training and exact scores (operator 2).
 
-Tokens are lower-cased words and one end token a text.  Token counts come from all training texts and stay
-a table.  The model's symbols are the end token, the most frequent words (``SYMBOLS`` at most) and, for
-all other words, ``CLASSES`` classes by their last two bytes; a word of a class has its smoothed share of
-the class.  So the latent states' tables have a fixed size whatever the vocabulary, and probabilities of
-all words, unseen ones included, sum to one.
+Tokens are lower-cased words and one end token a text; words are told apart by XXH64.  Token counts come from
+all training texts and stay a table.  The model's symbols are the end token, the ``SYMBOLS`` most frequent
+words (of equally frequent ones those with the least hash) and, for all other words, ``CLASSES`` classes by
+their last two bytes; a word of a class has its smoothed share of the class.  So the latent states' tables
+have a fixed size whatever the vocabulary, and probabilities of all words, unseen ones included, sum to one.
 
-Training: each round, every task runs the scaled forward and backward recursions over its texts in
-segments of ``SEGMENT`` tokens and sums expected counts; Spark adds the tasks' sums, the driver
-renormalizes (states x symbols numbers).  Scoring: the scaled forward recursion over the whole text.
+Training: each round, every task runs the scaled forward and backward recursions over its whole texts and
+sums expected counts; Spark adds the tasks' sums, the driver renormalizes (states x symbols numbers).  Only
+every ``KEEP``-th forward vector is kept, the others are computed again on the way back, so a text of any
+length needs little memory.  Scoring: the scaled forward recursion over the whole text.
 
 Word counts: those of the ``HEAD`` most frequent words at most go to the tasks as one sorted array; the
 words beyond are counted per text and joined with the table of counts.
 
-Defined results: a null text is the empty text, one end token; a null doc_id is held out like the empty
-id; repeated rows are all used and all scored; without training texts base and model are uniform; an empty
+Defined results: a null text is the empty text, one end token; texts of any length are scored whole; a null
+doc_id is held out like the empty id; repeated rows are all used and all scored; without training texts base and model are uniform; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -25,14 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Words, buffers, held_out, materialize, mix, slices, text_of
 
-STATES, SYMBOLS, CLASSES, HEAD, SEGMENT, SEED = 8, 8192, 512, 1 << 20, 256, 3
+STATES, SYMBOLS, CLASSES, HEAD, KEEP, SEED = 8, 8192, 512, 1 << 20, 256, 3
 END = np.uint64(0x5DEECE66D5DEECE6)
-SMOOTH, STEPS = 0.1, 16
+SMOOTH, STEPS, SHARES = 0.1, 16, 1 << 20
+PRIOR = 0.1, 0.1, 0.01  # added to expected counts of starts, moves and emissions
 COUNTS = pa.schema([("h", pa.int64()), ("cls", pa.int32()), ("c", pa.int64())])
 
 
@@ -79,41 +81,43 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "h long, cls int, c long").groupBy("h").agg(F.first("cls").alias("cls"), F.sum("c").alias("c"))
 
 
-def least_count(counts: DataFrame, limit: int) -> int:
-    """The least count c with at most ``limit`` tokens of c or more, of the steps that the histogram has."""
-    step = F.floor(F.log2("c") * STEPS).cast("long")
-    found, cut = 0, 1 << 62
-    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect():  # at most 64 x STEPS rows
-        found += r["n"]
-        if found > limit:
+def frequent(counts: DataFrame, limit: int) -> Column:
+    """A test for about ``limit`` of the most frequent tokens at most: whole steps of the histogram of counts, of the last one a share by hash."""
+    step, found, last = F.floor(F.log2("c") * STEPS).cast("long"), 0, (1 << 40, 0)
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # at most 64 x STEPS rows
+        if found + r["n"] > limit:
+            last = r["step"], (limit - found) * SHARES // r["n"]
             break
-        cut = r["c"]
-    return cut
+        found, last = found + r["n"], (r["step"], SHARES)
+    return (step > last[0]) | ((step == last[0]) & (F.pmod("h", F.lit(SHARES)) < last[1]))
 
 
 class Vocabulary:
-    """Counts of frequent words, symbols, and totals of classes: at most HEAD + CLASSES numbers a column."""
+    """Counts of frequent words, symbols, and totals of classes: about HEAD + CLASSES numbers a column."""
 
     def __init__(self, counts: DataFrame):
         total = counts.agg(F.sum("c"), F.count("*")).first()
         self.tokens, self.distinct = int(total[0] or 0), int(total[1])
-        self.head_cut = least_count(counts, HEAD)
-        symbol_cut = max(least_count(counts, SYMBOLS), self.head_cut)
-        head = counts.where(F.col("c") >= self.head_cut).select("h", "c").toArrow()
-        order = np.argsort(head["h"].to_numpy().view(np.uint64))
-        self.hashes, self.counts = head["h"].to_numpy().view(np.uint64)[order], head["c"].to_numpy()[order]
-        is_symbol = (self.counts >= symbol_cut) & (self.hashes != END)
+        self.in_head, end = frequent(counts, HEAD), int(END.view(np.int64))
+        head = counts.where(self.in_head).select("h", "c").toArrow()
+        signed, c = head["h"].to_numpy(), head["c"].to_numpy()
+        ranked = np.lexsort((signed, -c))
+        ranked = ranked[signed[ranked] != end][:SYMBOLS]
+        # the last symbol's count and hash tell symbols from other words
+        cut = (int(c[ranked[-1]]), int(signed[ranked[-1]])) if len(ranked) else (1 << 62, 0)
+        order = np.argsort(signed.view(np.uint64))
+        self.hashes, self.counts = signed.view(np.uint64)[order], c[order]
+        is_symbol = ((self.counts > cut[0]) | ((self.counts == cut[0]) & (signed[order] <= cut[1]))) & (self.hashes != END)
         self.symbols = np.where(is_symbol, np.cumsum(is_symbol), -1).astype(np.int32)  # 0 is the end token
         self.first_class = int(is_symbol.sum()) + 1
         self.size = self.first_class + CLASSES
-        per_class = counts.where((F.col("c") < symbol_cut) & (F.col("h") != int(END.view(np.int64)))).groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
+        symbol = self.in_head & ((F.col("c") > cut[0]) | ((F.col("c") == cut[0]) & (F.col("h") <= cut[1])))
+        per_class = counts.where(~symbol & (F.col("h") != end)).groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
         self.class_rest = np.full(CLASSES, SMOOTH)
         for r in per_class:
             self.class_rest[r["cls"]] += r["c"] + SMOOTH * r["v"]
         self.rest = self.tokens + SMOOTH * (self.distinct + 1)
-        end = np.searchsorted(self.hashes, END)
-        known = end < len(self.hashes) and self.hashes[end] == END
-        self.end_count = int(self.counts[end]) if known else int(counts.where(F.col("h") == int(END.view(np.int64))).agg(F.sum("c")).first()[0] or 0)
+        self.end_count = int(counts.where(F.col("h") == end).agg(F.sum("c")).first()[0] or 0)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word is among the frequent ones, and its place there."""
@@ -125,7 +129,9 @@ class Vocabulary:
 
 def encoded(rows: DataFrame, words: "Vocabulary") -> DataFrame:
     """Each text as symbols, with what the frequent words add to its scores; ``tail`` holds the hashes of all others."""
+    test, words.in_head = words.in_head, None  # a column is no part of what tasks get
     shared = rows.sparkSession.sparkContext.broadcast(words)
+    words.in_head = test
     names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lexical", "ids", "tail", "tail_cls"]
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
     kept = pa.schema(list(zip(names, types, strict=True)))
@@ -170,92 +176,101 @@ def tail_sums(texts: DataFrame, counts: DataFrame, words: "Vocabulary") -> DataF
                 part = slice(at, at + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[part]), pa.array(h[part]), pa.array(rest[part]), pa.array(np.ones(len(h[part]), np.int64))], schema=kept)
 
-    rare = counts.where(F.col("c") < words.head_cut).select("h", "c")
+    rare = counts.where(~words.in_head).select("h", "c")
     tail = texts.where(F.length("tail") > 0).select("rid", "tail", "tail_cls").mapInArrow(expand, "rid long, h long, rest double, n long").join(rare, "h", "left")
     c = F.coalesce("c", F.lit(0))
     return tail.groupBy("rid").agg(F.sum((c > 0).cast("long")).alias("known2"), F.sum(F.log10((c + SMOOTH) / F.lit(words.rest))).alias("base2"), F.sum(F.log10((c + SMOOTH) / F.col("rest"))).alias("lexical2"))
 
 
 class States:
-    """The latent states: two start distributions (text, later segment), transitions and emissions."""
+    """The latent states: start distribution, transitions and emissions."""
 
     def __init__(self, size: int, states: int = STATES):
         rng = np.random.default_rng(SEED)
-        self.start = np.full((2, states), 1 / states)
+        self.start = np.full(states, 1 / states)
         self.move = np.full((states, states), 0.1 / (states - 1)) + np.eye(states) * (0.9 - 0.1 / (states - 1))
         self.emit = rng.uniform(0.2, 1.8, (size, states))
         self.emit /= self.emit.sum(0)
 
     def update(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        self.start = (start + 0.1) / (start + 0.1).sum(1, keepdims=True)
-        self.move = (move + 0.1) / (move + 0.1).sum(1, keepdims=True)
-        self.emit = (emit + 0.01) / (emit + 0.01).sum(0)
+        self.start = (start + PRIOR[0]) / (start + PRIOR[0]).sum()
+        self.move = (move + PRIOR[1]) / (move + PRIOR[1]).sum(1, keepdims=True)
+        self.emit = (emit + PRIOR[2]) / (emit + PRIOR[2]).sum(0)
 
 
-def expected(model: States, ids: np.ndarray, at: np.ndarray, size: np.ndarray, later: np.ndarray, out: tuple[np.ndarray, ...]) -> None:
-    """Add the expected counts of segments (``size`` symbols from ``at`` on, longest first) to start, move and emit."""
+def expected(model: States, parts: list[np.ndarray], out: tuple[np.ndarray, ...]) -> float:
+    """Add the expected counts of whole sequences to start, move and emit; the natural log of their likelihood."""
     start, move, emit = out
-    t_max, k = int(size[0]), model.move.shape[0]
-    active = np.searchsorted(-size, -np.arange(t_max + 1), side="left")  # segments longer than t
-    a32, b32 = model.move.astype(np.float32), model.emit.astype(np.float32)
-    alpha, like, scale = [], [], []
-    for t in range(t_max):
+    length = np.array([len(p) for p in parts])
+    order = np.argsort(-length, kind="stable")
+    ids, at, size = np.concatenate(parts), (np.cumsum(length) - length)[order], length[order]
+    a32, b32, t_max, k = model.move.astype(np.float32), model.emit.astype(np.float32), int(size[0]), len(model.move)
+    active = np.searchsorted(-size, -np.arange(t_max + 1), side="left")  # sequences longer than t
+
+    def ahead(x: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The scaled forward vectors of place t from those before, what the states give its symbols, and the scales."""
         n = active[t]
         b = b32[ids[at[:n] + t]]
-        x = (model.start.astype(np.float32)[later] if t == 0 else alpha[-1][:n] @ a32) * b
+        x = (np.broadcast_to(model.start.astype(np.float32), (n, k)) if x is None else x[:n] @ a32) * b
         c = x.sum(1)
-        x /= c[:, None]
-        alpha.append(x)
-        like.append(b)
-        scale.append(c)
-    beta, gamma = np.ones((active[t_max - 1], k), np.float32), [alpha[0]] * t_max
-    both = np.zeros((k, k))
-    for t in range(t_max - 1, -1, -1):
-        n = active[t]
-        if t < t_max - 1:
-            ahead = like[t + 1] * beta / scale[t + 1][:, None]
-            m = len(ahead)
-            both += alpha[t][:m].T @ ahead
-            beta = np.ones((n, k), np.float32)
-            beta[:m] = ahead @ a32.T
-        gamma[t] = alpha[t] * beta
+        return x / c[:, None], b, c
+
+    kept, x, total = [], None, 0.0
+    for t in range(t_max):
+        if t % KEEP == 0:
+            kept.append(x)
+        x, _, c = ahead(x, t)
+        total += float(np.log(c).sum())
+    both, beta, later = np.zeros((k, k)), np.ones((0, k), np.float32), None
+    for low in range((t_max - 1) // KEEP * KEEP, -1, -KEEP):
+        x, steps = kept.pop(), []
+        for t in range(low, min(low + KEEP, t_max)):
+            steps.append(ahead(x, t))
+            x = steps[-1][0]
+        gamma: list[np.ndarray] = []
+        for x, b, c in reversed(steps):
+            if later is not None:  # later: what beta, symbols and scales of the next place make
+                m = len(later)
+                both += x[:m].T @ later
+                beta = np.concatenate([later @ a32.T, np.ones((len(x) - m, k), np.float32)])
+            else:
+                beta = np.ones((len(x), k), np.float32)
+            gamma.append(x * beta)
+            later = b * beta / c[:, None]
+        where = np.concatenate([at[: active[t]] + t for t in range(low + len(steps) - 1, low - 1, -1)])
+        weights, symbols = np.concatenate(gamma), ids[where]
+        for s in range(k):
+            emit[:, s] += np.bincount(symbols, weights=weights[:, s], minlength=len(emit))
+    start += gamma[-1].sum(0)
     move += both * model.move
-    np.add.at(start, later, gamma[0])
-    where = np.concatenate([at[: active[t]] + t for t in range(t_max)])
-    gamma, symbols = np.concatenate(gamma), ids[where]
-    for s in range(k):
-        emit[:, s] += np.bincount(symbols, weights=gamma[:, s], minlength=len(emit))
+    return total
 
 
 def baum_welch(texts: DataFrame, size: int, rounds: int, states: int = STATES) -> States:
-    """Train on the symbols of all rows of ``texts``."""
+    """Train on the symbols of all rows of ``texts``; ``history`` of the result has the log likelihood before each round."""
     model = States(size, states)
+    model.history = []
     kept = pa.schema([("cell", pa.int64()), ("v", pa.float64())])
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((2, states)), np.zeros((states, states)), np.zeros((size, states))
+        out = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+        total = 0.0
         for batch in batches:
             parts = [np.frombuffer(x.as_py(), np.uint16) for x in batch.column("ids")]
-            ids, length = np.concatenate(parts), np.array([len(p) for p in parts])
-            pieces = -(-length // SEGMENT)
-            row = np.repeat(np.arange(len(parts)), pieces)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            at = (np.cumsum(length) - length)[row] + nth * SEGMENT
-            n = np.minimum(length[row] - nth * SEGMENT, SEGMENT)
-            order = np.argsort(-n, kind="stable")
-            for i in range(0, len(order), 2048):
-                part = order[i : i + 2048]
-                expected(model, ids, at[part], n[part], (nth[part] > 0).astype(np.int64), out)
-        flat = np.concatenate([x.ravel() for x in out])
+            parts.sort(key=len)
+            for i in range(0, len(parts), 2048):
+                total += expected(model, parts[i : i + 2048], out)
+        flat = np.concatenate([*(x.ravel() for x in out), [total]])
         cells = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(flat[cells])], schema=kept)
 
     for _ in range(rounds):
-        sums = texts.select("ids").mapInArrow(counts, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()  # states x (symbols + states + 2) rows
-        flat = np.zeros(2 * states + states * states + size * states)
+        sums = texts.select("ids").mapInArrow(counts, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()  # states x (symbols + states + 1) + 1 rows
+        flat = np.zeros(states + states * states + size * states + 1)
         flat[sums["cell"].to_numpy()] = sums["v"].to_numpy()
-        start, move, emit = np.split(flat, [2 * states, 2 * states + states * states])
-        model.update(start.reshape(2, states), move.reshape(states, states), emit.reshape(size, states))
+        start, move, emit, total = np.split(flat, np.cumsum([states, states * states, size * states]))
+        model.history.append(float(total[0]))
+        model.update(start, move.reshape(states, states), emit.reshape(size, states))
     return model
 
 
@@ -269,7 +284,7 @@ def likelihoods(model: States, parts: list[np.ndarray]) -> np.ndarray:
     total, x = np.zeros(len(parts)), None
     for t in range(size[0]):
         n = active[t]
-        x = (np.repeat(model.start[:1], n, axis=0) if x is None else x[:n] @ model.move) * model.emit[ids[first[:n] + t]]
+        x = (np.repeat(model.start[None], n, axis=0) if x is None else x[:n] @ model.move) * model.emit[ids[first[:n] + t]]
         c = x.sum(1)
         x /= c[:, None]
         total[:n] += np.log10(c)

@@ -10,12 +10,14 @@ task that lists some shards walks from the root to them and reruns agree.  A sha
 of each group's permuted blocks; intervals are disjoint.  Rows of a shard are ordered by a hash.
 
 Sources are put in at most ``GROUPS`` groups by their rank; a group's blocks are permuted together, which
-leaves the shards' joint distribution over sources as it is.  So what the driver holds does not grow.
-
-Defined results: a null text has no words, takes no part and is returned with 0 taken; a null source is a
-source of its own, after all others; repeated rows are separate rows; if there are no words at all every
-target is 0; an empty table gives an empty result; other columns are not read, or kept as they are where
-texts are returned.
+leaves the shards' joint distribution over sources as it is.  So what the driver holds does not grow.  The draws
+are exact up to 10**9 blocks; a mix of more than ``MAX_BLOCKS`` blocks of ``block_words`` gets longer blocks, one of more
+than ``MAX_SHARDS`` shards gets larger shards.
+
+Defined results: a null text has no words, takes no part and is returned with 0 taken; a text of any length
+is cut at the words where blocks end; a null source is a source of its own, after all others; repeated rows are
+separate rows, those that are equal in every column can't be told apart; if there are no words at all every target
+is 0; an empty table gives an empty result; other columns are not read, or kept as they are where texts are returned.
 """
 
 from __future__ import annotations
@@ -27,14 +29,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, packed, text_of, with_text
+from .common import WORD, materialize, numbered, packed, text_of, with_text
 
 GROUPS = 256
-MAX_BLOCKS = 1 << 28  # so that products in permuted() and the draws stay exact
-MAX_SHARDS = 1 << 16
-ROWS_PER_CELL = 20_000
-#: Primes above MAX_BLOCKS, so each is coprime to every number of blocks.
-PRIMES = (268435459, 268435463, 268435493, 268435523, 268435537, 268435561, 268435577, 268435579)
+MAX_BLOCKS, MAX_SHARDS = 1 << 28, 1 << 16
+ROWS_PER_CELL = 1000
+ROUNDS = 32  # of the permutation
 
 
 def word_count(column: str = "text") -> Column:
@@ -47,31 +47,39 @@ def mark(seed: int) -> Column:
 
 
 def permuted(index: Column, size: Column, key: Column) -> Column:
-    """A bijection of 0..size-1 chosen by ``key``, a long."""
-    prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]).cast("array<bigint>"), (F.pmod(key, F.lit(len(PRIMES))) + 1).cast("int"))
-    shift = F.pmod(F.shiftright(key, 8), size)
-    return F.pmod((F.pmod(prime, size) * index) + shift, size)
+    """A bijection of 0..size-1 chosen by ``key``, a long: a swap-or-not shuffle.
+
+    In each round a key of the round pairs every number with another one, and a hash of the pair says whether
+    the two change places.
+    """
+
+    def round_(x: Column, r: Column) -> Column:
+        other = F.pmod(F.xxhash64(key, r) - x, size)
+        return F.when(F.xxhash64(r, key, F.greatest(x, other)) % 2 == 0, x).otherwise(other)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), round_)
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
     """One row per source with its size and target: weighted shares of ``share`` times all words, none above ``most`` times its own.
 
-    Taking what is above a limit and sharing it again by weight until none is above ends with target =
-    min(limit, weight * level) for one level; the level is found by walking sources in order of limit / weight.
+    What is above a limit is shared again by weight among the other sources until none is above, a round a pass
+    over the table of sources; only sums reach the driver.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    ranked = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(order) - 1)
+    sums = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    ranked = numbered(sums, [F.col("source").isNull().asc(), F.col("source").asc()], "rank")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = ranked.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("limit", F.col("source_size") * F.lit(float(most)))
-    by_level = Window.orderBy(F.col("limit") / F.col("weight"), "rank")
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) * share - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    ranked = ranked.withColumn("level", level)
-    open_at = F.when(F.col("weight") * F.col("level") < F.col("limit"), F.struct(F.col("limit") / F.col("weight"), "rank", "level"))
-    final = F.min(open_at).over(whole)["level"]
-    return ranked.withColumn("target", F.least(F.col("limit"), F.coalesce(F.col("weight") * final, F.col("limit")))).select("source", "rank", "source_size", "target")
+    weight, limit = F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")), F.col("source_size") * F.lit(float(most))
+    ranked = materialize(ranked.withColumns({"weight": weight, "limit": limit}))
+    total, full, level = float(ranked.agg(F.sum("source_size")).first()[0] or 0) * share, -1, 0.0
+    while True:
+        over = F.col("limit") < F.col("weight") * level
+        r = ranked.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("limit")).otherwise(0.0)).alias("given"), F.sum(F.when(~over, F.col("weight")).otherwise(0.0)).alias("open")).first()
+        if r["n"] == full or not r["open"]:
+            break
+        full, level = r["n"], (total - r["given"]) / r["open"]
+    target = F.least(F.col("limit"), F.col("weight") * level) if r["open"] else F.col("limit")
+    return ranked.select("source", "rank", "source_size", target.alias("target"))
 
 
 def node_split(seed: int, node: int, counts: np.ndarray, left: int) -> np.ndarray:
@@ -109,7 +117,7 @@ class Mix:
         cells = max(16, -(-sized.count() // ROWS_PER_CELL))
         sized = sized.withColumn("cell", F.pmod("mixed", F.lit(cells)))
         sums = materialize(sized.groupBy("source", "cell").agg(F.sum("size").alias("size")))
-        targets = source_targets(sums)
+        targets = source_targets(sums)  # a row a source
         total = sums.agg(F.sum("size")).first()[0] or 0
         self.block_words = block = max(block_words, -(-2 * total // MAX_BLOCKS))
         b = F.lit(block)
@@ -136,7 +144,7 @@ class Mix:
         cell_start = sums.select(F.col("source").alias("s"), F.col("cell").alias("c"), F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("base"))
         row = Window.partitionBy("source", "cell").orderBy("mixed", "doc_id", "size")
         placed = sized.withColumns({"at": F.coalesce(F.sum("size").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "row": F.row_number().over(row)})
-        placed = placed.join(cell_start, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
+        placed = placed.join(cell_start.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
         mine = plan.select(F.col("source").alias("p"), "source_size", "target", "passes", "part", "cut", "blocks", "key", "offset", "grp")
         self.docs = placed.join(mine, F.col("source").eqNullSafe(F.col("p"))).withColumn("start", F.col("base") + F.col("at")).drop("s", "c", "p", "base", "at")
         self.spark = spark
@@ -162,7 +170,7 @@ class Mix:
         group_size = F.element_at(totals, (F.col("grp") + 1).cast("int"))
         d = d.withColumn("place", permuted(F.col("take.drawn"), group_size, F.xxhash64(F.lit(self.seed + 1), "grp"))).drop("take")
         d = d.withColumn("slot", F.floor(F.col("place") / F.ceil(group_size / self.shards)).cast("long"))
-        dealt = self.dealt()
+        dealt = self.dealt().hint("merge")  # grows with the mix
         out = d.join(dealt, (d["grp"] == dealt["g"]) & (d["slot"] == dealt["s"]) & (d["place"] >= dealt["low"]) & (d["place"] < dealt["high"]), "left")
         return out.select(*ids, "pass", "block", "first", "n", "shard", F.xxhash64(F.lit(self.seed), "grp", "place").alias("order"))
 
@@ -197,15 +205,17 @@ def mixed_texts(docs: DataFrame, seed: int = 7) -> DataFrame:
     n_chars, if there is one, is set anew.
     """
     taken = Mix(docs, seed).pieces().where("n > 0")
-    keys = {"_id": F.col("doc_id"), "_mixed": mark(seed), "_nth": F.lit(1)}
-    repeats = not docs.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty()
-    if repeats:  # rows with the same id and text are told apart by a number
-        keys["_nth"] = F.row_number().over(Window.partitionBy("doc_id", mark(seed)).orderBy(F.lit(0)))
-        taken = taken.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id", "mixed").orderBy("source", "cell", "row")))
-    else:
-        taken = taken.withColumn("nth", F.lit(1))
-    taken = taken.select(F.col("doc_id").alias("_d"), F.col("mixed").alias("_m"), F.col("nth").alias("_n"), "first", "n", "size", "shard", "order")
-    rows = packed(docs).withColumns(keys).join(taken, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_mixed") == F.col("_m")) & (F.col("_nth") == F.col("_n")))
+    rows = packed(docs).withColumn("_mixed", mark(seed))
+    nth, nth_taken = F.lit(1), F.lit(1)
+    if not docs.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        # rows with the same id, text and source are told apart by a number, in the order of the hash of what else they have
+        others = [F.col(f"_in.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        nth = F.row_number().over(Window.partitionBy("doc_id", "_mixed", "source").orderBy(F.xxhash64(*others)))
+        nth_taken = F.dense_rank().over(Window.partitionBy("doc_id", "mixed", "source").orderBy("row"))
+    rows = rows.withColumn("_nth", nth)
+    taken = taken.select(F.col("doc_id").alias("_d"), F.col("mixed").alias("_m"), F.col("source").alias("_s"), nth_taken.alias("_n"), "first", "n", "size", "shard", "order")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mixed") == F.col("_m")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_nth") == F.col("_n"))
+    rows = rows.join(taken, same)
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.regexp_replace(F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), F.col("n").cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
     rows = rows.withColumn("text", F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(part))

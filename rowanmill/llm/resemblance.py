@@ -8,8 +8,12 @@ with two pivots; minima tell which pairs to verify, and these are verified on th
 What is left of the buckets that then still hold several components is compared pair by pair on whole
 shingle sets, in blocks of two chunks that any task may take; a block gives one link for each two components.
 
-Defined results: a text with fewer words than a shingle is one shingle, one without words none and is like
-no other; rows with a null doc_id stay; an empty table gives an empty result; all columns are kept.
+Shingles are told apart by 64-bit hashes, so a set of n of them differs from the true one with probability n / 2**64.
+
+Defined results: a text with fewer words than a shingle is one shingle, one without words (or a null text) none
+and is like no other; a text of any length is one set, made in one task; equal texts are like each other, and of
+rows that are alike the one with the least doc_id stays; rows with a null doc_id stay, rows with the same
+doc_id count as one; an empty table gives an empty result; all columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -21,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, buffers, materialize, mix, slices
+from .common import LOWER, Words, buffers, gram_hashes, materialize, mix, slices
 from .components import components
-from .substrings import gram_hashes
 
 BANDS, ROWS, SEED = 20, 5, 17
 #: Pairs are verified if their minima agree this much less often than asked, four deviations of the estimate.

@@ -15,9 +15,12 @@ factor of at least WINDOW words is a duplicate span: all its windows start earli
 factor holds - those over the boundaries of factors - are checked by themselves: all such windows with a
 repeated anchor are compared by hash, and the first of each stays.
 
-Hashes have 64 bits.  Hot passages are aggregated before the shuffle and joins on them can be split.
+Words are told apart by XXH64, grams and windows of words by 96 bits of two independent mixes of those: among 10**13
+windows two different ones are then taken for equal with probability 10**-3 in all, unless two of their words
+collide.  Hot passages are aggregated before the shuffle and joins on them can be split.
 
-Defined results: a null text has no words; a null doc_id comes before all others; rows with the same
+Defined results: a null text has no words; a text of any length is read whole, in the tasks that hold it; of
+equal windows in one text the first stays; a null doc_id comes before all others; rows with the same
 doc_id count as one document in the order, so of two such rows with equal texts neither is the earlier;
 an empty table gives an empty result; other columns are not read.
 """
@@ -32,27 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, materialize, mix, powers, slices, text_of
+from .common import Words, buffers, gram_hashes, materialize, slices, text_of
 
 WINDOW, GRAM, SPREAD = 20, 11, 10
 FIRST_ID = -(1 << 63)
+GRAMS = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("id", pa.int64()), ("at", pa.int64())])
+GRAMS_SQL = "h long, g int, id long, at long"
 PLACE = pa.struct([("pos", pa.int32()), ("ref", pa.int64()), ("ref_text", pa.int32()), ("ref_pos", pa.int32())])
 
 
-def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """The hash of ``size`` words from each position on."""
-    n = len(words)
-    if n < size:
-        return np.zeros(0, np.uint64)
-    up, down = powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * up, out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
+def more_bits(hashes: np.ndarray, size: int) -> np.ndarray:
+    """32 further bits of the hash of ``size`` words from each position on."""
+    return (gram_hashes(hashes, size, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def window_anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_anchors(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all windows, the position of each one's anchor, and the hashes of all grams."""
-    hashes = words.hashes()
     grams = gram_hashes(hashes, GRAM)
     n = len(hashes) - WINDOW + 1
     if n <= 0:
@@ -71,8 +69,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """One row for each anchor: gram hash, id, and position and text hash packed in a long."""
-    kept = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
+    """One row for each anchor: gram hash in two parts, id, and position and text hash packed in a long."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,23 +77,24 @@ def anchors(rows: DataFrame) -> DataFrame:
             ids, ths = batch.column("id").to_numpy(), batch.column("th").to_numpy().astype(np.int64) & 0xFFFFFFFF
             for i, j in slices(offsets):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                _, at, grams = window_anchors(words)
+                hashes = words.hashes()
+                _, at, grams = window_anchors(words, hashes)
                 at = np.unique(at)
                 row = words.rows()[at]
                 place = ((at - words.first[row]) << 32) | ths[i:j][row]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(ids[i:j][row]), pa.array(place)], schema=kept)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(more_bits(hashes, GRAM)[at]), pa.array(ids[i:j][row]), pa.array(place)], schema=GRAMS)
 
-    return rows.select("id", "th", "text").mapInArrow(find, "h long, id long, at long")
+    return rows.select("id", "th", "text").mapInArrow(find, GRAMS_SQL)
 
 
 def repeated(places: DataFrame) -> DataFrame:
-    """Of rows h, id, at those whose h occurs more than once, with the first place of it.
+    """Of rows h, g, id, at those whose h and g occur more than once, with the first place of them.
 
     The first places are written before the join: the counts' shuffle can go, and as both sides of the join
     are then shuffled for it, Spark can split the rows of a frequent h among tasks.
     """
-    first = places.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("f")).where("n > 1").select("h", F.col("f.id").alias("ref"), F.col("f.at").alias("ref_at"))
-    return places.join(materialize(first), "h").select("h", "id", "at", "ref", "ref_at")
+    first = places.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("f")).where("n > 1").select("h", "g", F.col("f.id").alias("ref"), F.col("f.at").alias("ref_at"))
+    return places.join(materialize(first), ["h", "g"]).select("id", "at", "ref", "ref_at")
 
 
 def text_hash(at: str):  # the low 32 bits as a signed int
@@ -140,8 +138,7 @@ def ref_columns(column: pa.Array) -> Iterator[tuple]:
 
 
 def boundary_windows(rows: DataFrame) -> DataFrame:
-    """Windows with a repeated anchor that no factor holds: window hash, id, position and text hash."""
-    kept = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
+    """Windows with a repeated anchor that no factor holds: window hash in two parts, id, position and text hash."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +147,9 @@ def boundary_windows(rows: DataFrame) -> DataFrame:
             refs = list(ref_columns(batch.column("refs")))
             for i, j in slices(offsets):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                starts, at, _ = window_anchors(words)
-                whole = gram_hashes(words.hashes(), WINDOW)
+                hashes = words.hashes()
+                starts, at, _ = window_anchors(words, hashes)
+                whole, more = gram_hashes(hashes, WINDOW), more_bits(hashes, WINDOW)
                 n = len(words.start)
                 known, inside = np.zeros(n + 1, bool), np.zeros(n + 1, np.int32)
                 for k in range(i, j):
@@ -162,9 +160,9 @@ def boundary_windows(rows: DataFrame) -> DataFrame:
                 open_ = starts[known[at] & (np.cumsum(inside)[starts] == 0)]
                 row = words.rows()[open_]
                 place = ((open_ - words.first[row]) << 32) | ths[i:j][row]
-                yield pa.RecordBatch.from_arrays([pa.array(whole[open_].view(np.int64)), pa.array(ids[i:j][row]), pa.array(place)], schema=kept)
+                yield pa.RecordBatch.from_arrays([pa.array(whole[open_].view(np.int64)), pa.array(more[open_]), pa.array(ids[i:j][row]), pa.array(place)], schema=GRAMS)
 
-    return rows.select("id", "th", "text", "refs").mapInArrow(find, "h long, id long, at long")
+    return rows.select("id", "th", "text", "refs").mapInArrow(find, GRAMS_SQL)
 
 
 def parse(docs: DataFrame) -> DataFrame:

@@ -78,9 +78,62 @@ def test_tree_deals_every_block_once():
 
 
 def test_permutation(spark):
-    for n in (1, 2, 97, 1000):
-        got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(12345).cast("long"))).collect()]
-        assert sorted(got) == list(range(n))
+    seen = set()
+    for n, keys in ((1, 1), (2, 20), (20, 60), (97, 3), (1000, 2)):
+        for key in range(keys):
+            got = [r[0] for r in spark.range(0, n, 1, 1).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(key * 7919).cast("long"))).collect()]
+            assert sorted(got) == list(range(n))
+            if n == 20:
+                seen.add(tuple(got))
+                assert len({(b - a) % n for a, b in zip(got, got[1:])}) > 4  # no stride
+    assert len(seen) == 60 and len({p[0] for p in seen}) > 12
+
+
+def test_taken_equals_the_plan_word_by_word(spark, sample):
+    """Each document's share, counted from the streams, quotas and permutations of the plan."""
+    m = mixing.Mix(sample, block_words=64)
+    got = {r["doc_id"]: r["taken"] for r in m.taken().collect()}
+    plan = {r["source"]: r for r in m.plan.collect()}
+    marks = {r["doc_id"]: r["m"] for r in sample.select("doc_id", mixing.mark(m.seed).alias("m")).collect()}
+    texts = [(r["source"], marks[r["doc_id"]] % max(16, -(-sample.count() // mixing.ROWS_PER_CELL)), marks[r["doc_id"]], r["doc_id"], len(words(r["text"]))) for r in sample.collect()]
+    assert set(got) == {t[3] for t in texts} and len(plan) > 3
+    for source, p in plan.items():
+        assert p["quota"] == round(p["target"]) and p["passes"] * p["source_size"] <= p["quota"]
+        n = p["blocks"]
+        place = [r[0] for r in spark.range(0, n, 1, 1).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(p["key"]).cast("long"))).collect()]
+        left = p["quota"] - p["passes"] * p["source_size"]
+        chosen = []  # word ranges of the blocks that the last pass takes
+        for b in sorted(range(n), key=place.__getitem__):
+            low, high = 64 * b, min(64 * b + 64, p["source_size"])
+            chosen.append((low, low + min(high - low, left)))
+            left -= min(high - low, left)
+        assert left == 0
+        at = 0
+        for _, _, _, doc, size in sorted(t for t in texts if t[0] == source):
+            some = sum(max(0, min(at + size, high) - max(at, low)) for low, high in chosen)
+            assert got[doc] == p["passes"] * size + some
+            at += size
+        assert at == p["source_size"]
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(4)
+    sizes = {f"s{i}": rng.choice((0, 1, 5, 100, 3000)) for i in range(60)} | {None: 40}
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame([*sizes.items()], "source string, size long").repartition(5)).collect()}
+    want = targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_rows_alike_but_for_the_source_are_kept_apart(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", s, k) for s in ("x", "y", None) for k in range(4)], "doc_id long, text string, source string, tag int")
+    key = lambda d: sorted(map(repr, mixing.mixed_texts(d).collect()))
+    out = key(docs)
+    assert out == key(docs.repartition(3)) and len(out) > 6
+    plan = {r["source"]: r["quota"] for r in mixing.Mix(docs).plan.collect()}
+    got = Counter()
+    for r in mixing.mixed_texts(docs).collect():
+        got[r["source"]] += len(words(r["text"]))
+    assert got == Counter(plan)
 
 
 def test_mixed_texts_are_word_ranges(odd):
@@ -122,31 +175,116 @@ def test_model_beats_base_on_held_out_texts(sample):
 
 
 def brute_forward(model, ids):
-    x, total = model.start[0] * model.emit[ids[0]], 0.0
+    x, total = model.start * model.emit[ids[0]], 0.0
     for t in ids[1:]:
         x = (x @ model.move) * model.emit[t]
     return total + math.log10(x.sum())
 
 
+def some_model(seed, size=6, states=3):
+    rng = np.random.default_rng(seed)
+    model = hmm.States(size, states)
+    model.start, model.move = rng.dirichlet(np.ones(states)), rng.dirichlet(np.ones(states), states)
+    return model, rng
+
+
 def test_forward_and_expected_counts():
-    rng = np.random.default_rng(1)
-    model = hmm.States(6, 3)
-    model.start = rng.dirichlet(np.ones(3), 2)
-    model.move = rng.dirichlet(np.ones(3), 3)
+    model, rng = some_model(1)
     parts = [rng.integers(0, 6, n).astype(np.uint16) for n in (5, 1, 3)]
     assert np.allclose(hmm.likelihoods(model, parts), [brute_forward(model, p) for p in parts])
-    out = np.zeros((2, 3)), np.zeros((3, 3)), np.zeros((6, 3))
-    order = np.argsort([-len(p) for p in parts])
-    size = np.array([len(parts[k]) for k in order])
-    hmm.expected(model, np.concatenate([parts[k] for k in order]), np.cumsum(size) - size, size, np.zeros(3, np.int64), out)
-    want = np.zeros((3, 3))
+    out = np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))
+    total = hmm.expected(model, parts, out)
+    assert np.isclose(total / math.log(10), hmm.likelihoods(model, parts).sum(), atol=1e-4)
+    want, first = np.zeros((3, 3)), np.zeros(3)
     for p in parts:  # over all state paths
         paths = np.stack(np.meshgrid(*[range(3)] * len(p), indexing="ij"), -1).reshape(-1, len(p))
-        prob = model.start[0][paths[:, 0]] * np.prod(model.emit[p, paths], axis=1) * np.prod(model.move[paths[:, :-1], paths[:, 1:]], axis=1)
+        prob = model.start[paths[:, 0]] * np.prod(model.emit[p, paths], axis=1) * np.prod(model.move[paths[:, :-1], paths[:, 1:]], axis=1)
         for q, path in zip(prob / prob.sum(), paths, strict=True):
+            first[path[0]] += q
             for a, b in zip(path, path[1:]):
                 want[a, b] += q
-    assert np.allclose(out[1], want, atol=1e-4) and np.isclose(out[2].sum(), 9, atol=1e-4) and np.isclose(out[0].sum(), 3, atol=1e-4)
+    assert np.allclose(out[1], want, atol=1e-4) and np.isclose(out[2].sum(), 9, atol=1e-4) and np.allclose(out[0], first, atol=1e-4)
+
+
+@pytest.mark.parametrize("keep", [1, 7, 256])
+def test_expected_counts_of_long_texts_are_not_cut(monkeypatch, keep):
+    """Counts by the plain recursions in double precision over whole texts, longer than what is kept between."""
+    monkeypatch.setattr(hmm, "KEEP", keep)
+    model, rng = some_model(2, 9, 4)
+    parts = [rng.integers(0, 9, n).astype(np.uint16) for n in (700, 256, 257, 1, 30, 512)]
+    out = np.zeros(4), np.zeros((4, 4)), np.zeros((9, 4))
+    hmm.expected(model, parts, out)
+    start, move, emit = np.zeros(4), np.zeros((4, 4)), np.zeros((9, 4))
+    for p in parts:
+        alpha, beta = np.zeros((len(p), 4)), np.ones((len(p), 4))
+        for t in range(len(p)):
+            alpha[t] = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[p[t]]
+            alpha[t] /= alpha[t].sum()
+        for t in range(len(p) - 2, -1, -1):
+            beta[t] = model.move @ (model.emit[p[t + 1]] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+        gamma = alpha * beta / (alpha * beta).sum(1, keepdims=True)
+        start += gamma[0]
+        np.add.at(emit, p, gamma)
+        for t in range(len(p) - 1):
+            pair = alpha[t][:, None] * model.move * (model.emit[p[t + 1]] * beta[t + 1])[None]
+            move += pair / pair.sum()
+    assert all(np.allclose(a, b, rtol=1e-3, atol=1e-3) for a, b in zip(out, (start, move, emit), strict=True))
+
+
+def test_likelihood_never_falls_and_score_is_a_plain_forward_pass(sample):
+    rows = sample.select("doc_id", common.text_of().alias("text"), common.held_out(F.col("doc_id"), 10).alias("held_out"))
+    counts = common.materialize(hmm.token_counts(rows.where("NOT held_out")))
+    v = hmm.Vocabulary(counts)
+    texts = common.materialize(hmm.encoded(rows, v))
+    model = hmm.baum_welch(texts.where("NOT held_out"), v.size, 6)
+    assert len(model.history) == 6 and all(b >= a - 1e-4 * abs(a) for a, b in zip(model.history, model.history[1:])) and model.history[-1] > model.history[0]
+    got = {r["doc_id"]: r["score"] for r in hmm.score(sample).collect()}
+    assert len(got) == sample.count()
+    whole = [r for r in texts.collect() if not r["tail"]]  # no word outside the sorted array, so lexical is all
+    assert len(whole) > 150
+    for r in whole:
+        ids = np.frombuffer(r["ids"], np.uint16)
+        x, total = model.start * model.emit[ids[0]], 0.0
+        for t in range(len(ids)):
+            x = x if t == 0 else (x @ model.move) * model.emit[ids[t]]
+            total += math.log10(x.sum())
+            x = x / x.sum()
+        assert abs(total + r["lexical"] - got[r["doc_id"]]) < 1e-4 * max(1, abs(total))
+
+
+def test_equally_frequent_words_are_symbols_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "SYMBOLS", 10)
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(300)),)], "text string")
+    v = hmm.Vocabulary(common.materialize(hmm.token_counts(docs)))
+    assert v.first_class == 11 and v.distinct == 301
+    monkeypatch.setattr(hmm, "HEAD", 40)
+    v = hmm.Vocabulary(common.materialize(hmm.token_counts(docs)))
+    assert v.first_class == 11 and 10 < len(v.hashes) < 90
+
+
+def test_words_with_equal_polynomials_are_told_apart(spark):
+    """A Thue-Morse text and its complement have equal polynomial hashes modulo 2**64 whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("xy"[x ^ k] for x in bits) for k in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"{rest} {a} {rest}"), (2, f"{rest} {b} {rest}"), (3, a), (4, b), (5, f"{b} {rest}")], "doc_id long, text string")
+    assert sorted(map(tuple, substrings.remove_duplicates(docs).collect()), key=repr) == brute_removal(docs)
+    got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in hmm.score(docs, rounds=1).collect()]
+    assert sorted(got, key=repr) == base_scores(docs)
+
+
+def test_gram_hashes():
+    rng = np.random.default_rng(3)
+    w = rng.integers(0, 4, 400).astype(np.uint64)
+    for size in (1, 2, 5, 11, 20):
+        for seed in (0, 1):
+            got, groups = common.gram_hashes(w, size, seed), {}
+            assert len(got) == 401 - size
+            for k, h in enumerate(got.tolist()):
+                assert groups.setdefault(tuple(w[k : k + size].tolist()), h) == h
+            assert len(set(groups.values())) == len(groups)
+    assert len(common.gram_hashes(w[:3], 5)) == 0
 
 
 def test_probabilities_of_all_words_sum_to_one(sample):
