@@ -7,37 +7,26 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dom, scoring, web
 from ..functions.cells import strip, truthy
 
 SHOWN = ("facebook", "instagram", "linkedin", "twitter", "youtube", "tiktok", "whatsapp")
-EXTRACTED = (
-    "emails array<string>, phones array<string>, owner_manager_name string, contact_page string, about_page string, contact_form boolean, form_fields array<string>, "
-    "social_links map<string,array<string>>, internal_links array<string>, meta map<string,string>, title string, meta_description string, canonical_url string, "
-    "open_graph map<string,string>, twitter map<string,string>, language string, company_name string, favicon string, copyright string"
-)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` (site, page_ordinal, url, html) with all that one parse of each page gives, and the pattern detectors."""
-    schema = f"{', '.join(f'{n} {t}' for n, t in pages.dtypes)}, {EXTRACTED}"
+    """``pages`` (site, page_ordinal, url, html) with all that is told of each page: one parse in Python, the rules as Columns, and the pattern detectors."""
+    schema = f"{', '.join(f'`{n}` {t}' for n, t in pages.dtypes)}, {dom.RAW}"
+    fields = [x.name for x in T.StructType.fromDDL(dom.RAW)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for source, url in zip(frame["html"], frame["url"], strict=True):
-                page, url = dom.Page(source), url or ""
-                rows.append(
-                    {
-                        "emails": dom.emails(page), "phones": dom.phones(page), "owner_manager_name": dom.owner(page), "contact_page": dom.page_of(page, url, dom.CONTACT_WORDS),
-                        "about_page": dom.page_of(page, url, dom.ABOUT_WORDS), "contact_form": page.has_form, "form_fields": page.fields, "social_links": dom.socials(page),
-                        "internal_links": dom.internal_links(page, url), "meta": page.named(), **dom.metadata(page, url),
-                    }
-                )
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=[x.split()[0] for x in EXTRACTED.split(", ")])], axis=1)
-
-    return detect(pages.mapInPandas(run, schema))
+            rows = [dom.raw(source, url) for source, url in zip(frame["html"], frame["url"], strict=True)]
+            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=fields)], axis=1)
+
+    parsed = pages.mapInPandas(run, schema)
+    return detect(parsed.select(*[F.col(f"`{c}`") for c in pages.columns], *[v.alias(n) for n, v in dom.contacts().items()]))
 
 
 def detect(pages: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowanmill import schema
-from rowanmill.functions import dom
 from rowanmill.operators import dashboard, export, leads, pages, resolve
 from rowanmill.sources import sheets, sinks
 from rowanmill.streaming import ingest
@@ -125,13 +124,34 @@ PAGE = """<html lang="en"><head><title> My Shop </title><meta name="author" cont
 <form><input name="first_name"><input type=hidden name=t></form><script>var a = "no@script.co"</script><p>write to sales&#64;shop.co or png@x.png. add to cart</p></body></html>"""
 
 
-def test_page():
-    page = dom.Page(PAGE)
-    assert dom.emails(page) == ["Info@shop.co", "sales@shop.co"] and dom.phones(page) == ["+44 117 952 4240"]
-    assert dom.owner(page) == "Ali Ahmed" and dom.page_of(page, "https://s.co/", dom.CONTACT_WORDS) == "https://s.co/contact"
-    assert dom.socials(page) == {"facebook": ["https://facebook.com/myshop"]} and page.fields == ["First Name"]
-    assert dom.internal_links(page, "https://s.co") == ["https://s.co/contact"] and page.title == "My Shop"
-    assert dom.owner(dom.Page("<p>Founder: Ali Ahmed</p>")) is None and dom.owner(dom.Page("<p>founder: Ali Ahmed</p>")) == "Ali Ahmed"
+def told(spark, *sources, url="https://s.co/"):
+    rows = spark.createDataFrame([(i, url, h) for i, h in enumerate(sources)], "page_ordinal int, url string, html string")
+    return [r.asDict() for r in pages.extract(rows).orderBy("page_ordinal").collect()]
+
+
+def test_page(spark):
+    page, upper, lower = told(spark, PAGE, "<p>Founder: Ali Ahmed</p>", "<p>founder: Ali Ahmed</p>")
+    assert page["emails"] == ["Info@shop.co", "sales@shop.co"] and page["phones"] == ["+44 117 952 4240"]
+    assert page["owner_manager_name"] == "Ali Ahmed" and page["contact_page"] == "https://s.co/contact"
+    assert page["social_links"] == {"facebook": ["https://facebook.com/myshop"]} and page["form_fields"] == ["First Name"]
+    assert page["internal_links"] == ["https://s.co/contact"] and page["title"] == "My Shop" and page["language"] == "en" and page["meta"]["author"] == "Ali Ahmed"
+    assert upper["owner_manager_name"] is None and lower["owner_manager_name"] == "Ali Ahmed"
+
+
+def test_page_parts(spark):
+    source = """<head><meta property="og:title" content=" T "><meta name="Description" content="d1"><meta name="description" content=" d2 "><meta name="twitter:card" content="x"><meta http-equiv="content-language" content="ur">
+<link rel="shortcut icon" href="/f.ico"><link rel="icon" sizes="192x192" href="big.png"><link rel="canonical" href="https://s.co/a"><script type="application/ld+json">[{"owner": [{"name": "our team"}, {"name": "Sara Khan"}]}]</script></head>
+<div itemprop="name"> Corner Shop </div><span itemprop="telephone" content="0117 952 4240"></span><div itemprop="logo"><img src="/logo.png"></div><p>12 High Street, Bristol</p><a href="about-us">Who we are</a>
+<a href="https://instagram.com/x">short</a><a href="https://instagram.com/shop/">i</a><a href="https://WWW.facebook.com/profile.php?id=7#top">f</a><a href="//wa.me/4411795?text=1">w</a><a href="mailto:ab%40b.co.uk">m</a><a href="mailto:image@b.co">m</a><a href="mailto:x@y@z.co">m</a>
+<form><select name="order-type"></select><input type="SUBMIT" name="go"><textarea placeholder="your message"></textarea></form><form><input name="other"></form><p>© 2024 Corner</p><p>call 2024-01-02 or 192 168 1 10 or 1111111 or Info@B.co and info@b.co</p>"""
+    page = told(spark, source)[0]
+    assert page["emails"] == ["Info@B.co", "ab@b.co.uk"] and page["phones"] == ["0117 952 4240"] and page["owner_manager_name"] == "Sara Khan" and page["contact_form"]
+    assert page["social_links"] == {"facebook": ["https://WWW.facebook.com/profile.php?id=7"], "instagram": ["https://instagram.com/shop"], "whatsapp": ["https://wa.me/4411795"]}
+    assert page["form_fields"] == ["Order Type", "Your Message"] and page["about_page"] == "https://s.co/about-us" and page["postal_address"] == "12 High Street, Bristol"
+    assert (page["open_graph"], page["twitter"], page["meta_description"], page["language"]) == ({"og:title": "T"}, {"twitter:card": "x"}, "d2", "ur")
+    assert (page["company_name"], page["logo"], page["favicon"], page["canonical_url"], page["copyright"]) == ("Corner Shop", "https://s.co/logo.png", "https://s.co/f.ico", None, "© 2024 Corner")
+    blank = told(spark, None, "", "<p>", url=None)
+    assert all(p["emails"] == p["phones"] == [] and p["social_links"] == {} and p["owner_manager_name"] is None and not p["contact_form"] for p in blank)
 
 
 def test_sites(spark):
