@@ -101,7 +101,7 @@ class Words:
     """The words of some rows: byte ranges ``start`` to ``end``, and ``first[i]:first[i + 1]`` are those of row i."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, n = data, len(data)
+        self.data, self.edges, n = data, offsets, len(data)
         body = ~SPACE[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
@@ -116,8 +116,10 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """XXH64 of each word's bytes."""
-        data, digest, n = self.data.tobytes(), xxhash.xxh64_intdigest, len(self.start)
-        return np.fromiter((digest(data[i:j]) for i, j in zip(self.start.tolist(), self.end.tolist(), strict=True)), np.uint64, n)
+        parts = self.data.tobytes()
+        if len(self.edges) > 2:  # rows follow each other without a space
+            parts = b" ".join(parts[i:j] for i, j in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True))
+        return np.fromiter(map(xxhash.xxh64_intdigest, parts.split()), np.uint64, len(self.start))
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
