@@ -33,6 +33,12 @@ def city_owners(dim: DataFrame) -> DataFrame:
     return cities.groupBy(F.lower("city").alias("owned_city")).agg(F.min_by("intern", "ordinal").alias("owner"))
 
 
+def city_list(dim: DataFrame) -> DataFrame:
+    """One row a city of the interns, in display order."""
+    cities = dim.select("ordinal", "intern", "country", F.posexplode("cities").alias("place", "city"))
+    return cities.select("city", "intern", "country", "ordinal", "place").orderBy("ordinal", "place")
+
+
 def attributed(leads: DataFrame, businesses: DataFrame) -> DataFrame:
     """Leads of businesses that are no duplicates: week_number, country, business_type, intern.
 

@@ -18,6 +18,16 @@ SHEET_COLUMNS = (
 BLANK = "Not Available"
 
 
+def in_city(city: str) -> Column:
+    """The whole city, without regard to case."""
+    return F.col("city").ilike(city)
+
+
+def lookup(df: DataFrame, **keys: str) -> DataFrame:
+    """The rows with the given values, such as one id; filters that reach the scan."""
+    return df.where(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in keys.items()]))
+
+
 def lead_filter(city: str | None = None, country: str | None = None, priority: str | None = None, week: int | None = None, duplicates: bool = False, unsynced: bool = False) -> Column:
     """The conditions that are asked for, joined by and; city and country match anywhere, without regard to case."""
     asked = []
@@ -43,6 +53,29 @@ def joined(leads: DataFrame, businesses: DataFrame, how: str = "inner") -> DataF
     return leads.join(other, F.col("business_id") == F.col("_bid"), how).drop("_bid")
 
 
+BUSINESS_OUT = (
+    "id", "name", "business_type", "country", "city", "address", "phone", "website", "website_available", "email", "rating", "reviews_count", "owner_manager_name", "contact_page_url",
+    "facebook_url", "instagram_url", "whatsapp_number", "linkedin_url", "place_id", "maps_url", "source_bot", "assigned_to", "is_duplicate", "created_at",
+)
+
+
+def nested(leads: DataFrame, businesses: DataFrame) -> DataFrame:
+    """Leads with their business as a struct, null where there is none."""
+    made = businesses.withColumn("website_available", F.coalesce(strip(F.col("website")) != "", F.lit(False))) if "website_available" not in businesses.columns else businesses
+    inner = made.select(F.col("id").alias("_bid"), F.struct(*[c for c in BUSINESS_OUT if c in made.columns]).alias("business"))
+    return leads.join(inner, F.col("business_id") == F.col("_bid"), "left").drop("_bid")
+
+
+def iso_week(day: Column) -> Column:
+    """The ISO week of a date; weeks have no year."""
+    return F.weekofyear(day)
+
+
+def backfilled(businesses: DataFrame) -> DataFrame:
+    """Businesses of an older table: a null flag is no duplicate, and the website's flag follows the website."""
+    return businesses.withColumns({"is_duplicate": F.coalesce("is_duplicate", F.lit(False)), "website_available": F.coalesce(F.trim("website") != "", F.lit(False))})
+
+
 def page(df: DataFrame, skip: int = 0, limit: int = 50, by: str = "created_at", key: str = "id") -> DataFrame:
     """Newest first, undated rows before them; ties by key, so pages don't overlap."""
     return df.orderBy(F.desc_nulls_first(by), key).offset(skip).limit(limit)
@@ -55,16 +88,15 @@ def export_order(df: DataFrame, key: str = "id") -> DataFrame:
 def number_leads(leads: DataFrame, start: int = 0) -> DataFrame:
     """lead_ref by age, undated leads first, from ``start`` + 1 on.
 
-    Leads are ranked within their hour, and hours are offset by the counts before them, so the one window
-    without partitions sees a row an hour and not the leads.
+    Leads are dealt to ranges of age and id and numbered within them; ranges are offset by the counts of those
+    before, so the one window without partitions sees a row a range and not the leads.
     """
-    hour = F.date_trunc("hour", F.col("created_at"))
-    hours = leads.groupBy(hour.alias("_hour")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.asc_nulls_first("_hour")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = hours.select("_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_in").orderBy(F.asc_nulls_first("created_at"), "id")
-    ranked = leads.withColumn("_in", hour).withColumn("_rank", F.row_number().over(within)).join(starts, F.col("_in").eqNullSafe(F.col("_hour")))
-    return ranked.withColumn("lead_ref", (F.col("_before") + F.col("_rank") + start).cast("int")).drop("_in", "_hour", "_before", "_rank")
+    order = [F.col("created_at").asc_nulls_first(), F.col("id").asc()]
+    spread = leads.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    spread = spread.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spread.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n")).select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return spread.join(starts, F.col("_range") == F.col("_r")).withColumn("lead_ref", (F.col("_before") + F.col("_rank") + start).cast("int")).drop("_range", "_rank", "_r", "_before")
 
 
 def next_ref(leads: DataFrame) -> DataFrame:

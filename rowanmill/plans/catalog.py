@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, keys, places, scoring, web
-from ..operators import dashboard, export, pages, resolve
-from ..schema import BUSINESS_TYPES, COUNTRIES, INTERNS, PRIORITIES
+from ..operators import dashboard, export, leads, pages, resolve
+from ..schema import BUSINESS, BUSINESS_TYPES, COUNTRIES, INTERNS, PRIORITIES, interns
 from ..sources import sheets
 from ..streaming import ingest
 from . import demo
@@ -82,16 +82,57 @@ def dashboard_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.headline(attributed(spark, sf_dir), WEEK)
 
 
-@query()
+TABLES_SQL = f"""{ATTRIBUTED_SQL}, n AS (SELECT count(*) FILTER (WHERE week_number = {WEEK}) AS n FROM flat),
+bc AS (SELECT coalesce(ordinal, {len(COUNTRIES)}) AS ordinal, coalesce(c.country, d.country) AS name, coalesce(w, 0) AS w, coalesce(t, 0) AS t
+ FROM (SELECT country, count(*) FILTER (WHERE week_number = {WEEK}) AS w, count(*) AS t FROM flat GROUP BY country) c FULL JOIN (VALUES {values(enumerate(COUNTRIES))}) d(ordinal, country) ON c.country = d.country),
+bi AS (SELECT ordinal, d.intern AS name, cities, coalesce(n, 0) AS n FROM (VALUES {values((i, n, " + ".join(c)) for i, (n, c, _) in enumerate(INTERNS))}) d(ordinal, intern, cities)
+ LEFT JOIN (SELECT intern, count(*) AS n FROM flat WHERE week_number = {WEEK} GROUP BY intern) c ON c.intern = d.intern),
+bt AS (SELECT coalesce(ordinal, {len(BUSINESS_TYPES)}) AS ordinal, coalesce(c.business_type, d.b) AS name, coalesce(t, 0) AS t
+ FROM (SELECT business_type, count(*) AS t FROM flat GROUP BY business_type) c FULL JOIN (VALUES {values(enumerate(BUSINESS_TYPES))}) d(ordinal, b) ON c.business_type = d.b)"""
+LINES_SQL = (
+    (0, [["Weekly Lead Generation Dashboard"], [f"Week {WEEK} — generated 2024-03-22 06:00 UTC"], [], ["This Week's Total Leads", "Weekly Target", "% of Target Reached", "Leads Still Needed"]]),
+    (2, [[], ["Leads by Country (this week)"], ["Country", "Leads This Week", "Total Leads (all time)"]]),
+    (4, [[], ["Leads by Intern (this week)"], ["Intern", "Cities", "Leads This Week", "Target/Week", "On Track?"]]),
+    (6, [[], ["Leads by Business Type (all time)"], ["Business Type", "Total Leads"]]),
+)
+FIXED_SQL = " UNION ALL ".join(f"SELECT {s}, {i}, '', [{quoted(line)}]::VARCHAR[]" for s, lines in LINES_SQL for i, line in enumerate(lines))
+PERCENT_SQL = "regexp_replace(round_even(n / 100 * 100, 1)::VARCHAR, '\\.0$', '')"
+
+
+@query(f"""{TABLES_SQL}, l(section, ordinal, name, cells) AS ({FIXED_SQL}
+ UNION ALL SELECT 1, 0, '', [n::VARCHAR, '100', {PERCENT_SQL} || '%', greatest(100 - n, 0)::VARCHAR] FROM n UNION ALL SELECT 3, ordinal, name, [name, w::VARCHAR, t::VARCHAR] FROM bc
+ UNION ALL SELECT 5, ordinal, name, [name, cities, n::VARCHAR, '13', CASE WHEN n >= 13 THEN 'Yes' ELSE 'No' END] FROM bi UNION ALL SELECT 7, ordinal, name, [name, t::VARCHAR] FROM bt)
+SELECT section, ordinal, name, array_to_string(cells, ' ; ') AS cells FROM l""")
 def dashboard_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.layout(attributed(spark, sf_dir), WEEK, "2024-03-22 06:00")
+    return dashboard.layout(attributed(spark, sf_dir), WEEK, "2024-03-22 06:00").withColumn("cells", F.array_join("cells", " ; "))
 
 
-@query()
+@query(f"""{TABLES_SQL} SELECT '{{"week_number":{WEEK},"headline":{{"total_leads_this_week":' || n || ',"weekly_target":100,"percent_of_target":' || round_even(n / 100 * 100, 1) || ',"leads_still_needed":' || greatest(100 - n, 0)
+ || '}},"by_country":[' || (SELECT string_agg('{{"country":"' || name || '","leads_this_week":' || w || ',"total_leads":' || t || '}}', ',' ORDER BY ordinal, name) FROM bc)
+ || '],"by_intern":[' || (SELECT string_agg('{{"intern":"' || name || '","cities":"' || cities || '","leads_this_week":' || n || ',"target_per_week":13,"on_track":' || (n >= 13) || ',"shortfall":' || greatest(13 - n, 0) || '}}', ',' ORDER BY ordinal) FROM bi)
+ || '],"by_business_type":[' || (SELECT string_agg('{{"business_type":"' || name || '","total_leads":' || t || '}}', ',' ORDER BY ordinal, name) FROM bt) || ']}}' AS dashboard FROM n""")
 def dashboard_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.as_json(attributed(spark, sf_dir), WEEK)
 
 
+@query("SELECT *, weekofyear(created_at)::INT AS iso_week FROM (SELECT lead.id, business_id, created_at, city FROM lead JOIN biz ON lead.business_id = biz.id WHERE lower(city) = 'france')")
+def leads_of_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = export.joined(demo.leads(spark, sf_dir), demo.biz(spark, sf_dir)).where(export.in_city("france"))
+    return rows.select("id", "business_id", "created_at", "city", export.iso_week(F.col("created_at")).alias("iso_week"))
+
+
+@query(f"SELECT city, intern, country, ordinal, place FROM (VALUES {values((c, n, country, i, k) for i, (n, cs, country) in enumerate(INTERNS) for k, c in enumerate(cs))}) v(city, intern, country, ordinal, place)")
+def intern_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.city_list(interns(spark))
+
+
+@query("SELECT lead.id, lead.business_id, CASE WHEN biz.id IS NOT NULL THEN biz.name || '/' || biz.city || '/' || CASE WHEN trim(website) <> '' THEN 'true' ELSE 'false' END END AS business FROM lead LEFT JOIN biz ON lead.business_id = biz.id")
+def leads_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = export.nested(demo.leads(spark, sf_dir), demo.biz(spark, sf_dir))
+    shown = F.concat(F.col("business.name"), F.lit("/"), F.col("business.city"), F.lit("/"), F.col("business.website_available").cast("string"))
+    return rows.select("id", "business_id", shown.alias("business"))
+
+
 FILTER_SQL = "NOT is_duplicate AND city ILIKE '%o%' AND country ILIKE '%a%' AND priority = 'high' AND week_number = 12 AND exported_at IS NULL"
 
 
@@ -253,9 +294,16 @@ def swept_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(records(spark, sf_dir), sweep=True).select("id", "name_key", "is_duplicate", "duplicate_of_id")
 
 
-@query("SELECT count(*) FILTER (WHERE NOT is_duplicate) AS created, count(*) FILTER (WHERE is_duplicate) AS merged, 0::BIGINT AS skipped FROM biz")
+IMPORT_SQL = "SELECT o_orderkey AS sequence, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE concat('Number ', cast(o_custkey AS varchar(20))) END AS name, 'https://shop' || cast(o_custkey AS varchar(20)) || '.co' AS website FROM {orders}"
+
+
+@query(f"""SELECT count(DISTINCT name) FILTER (WHERE trim(name) <> '') AS created, count(*) FILTER (WHERE trim(name) <> '') - count(DISTINCT name) FILTER (WHERE trim(name) <> '') AS merged,
+ count(*) FILTER (WHERE trim(name) = '') AS skipped FROM ({demo.duck(IMPORT_SQL)})""")
 def import_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.outcome_counts(demo.biz(spark, sf_dir))
+    """All orders as a sheet into an empty table; rows of a customer are one business by their website, names without a city don't meet."""
+    typed = demo.view(spark, sf_dir, IMPORT_SQL).select("sequence", "name", "website", *[F.lit(None).cast("string").alias(c) for c in ("city", "phone", "place_id")])
+    businesses, _ = leads.import_rows(spark.createDataFrame([], BUSINESS), typed, "demo")
+    return leads.import_counts(typed, businesses)
 
 
 FIRST_SQL = "first({0} ORDER BY id) FILTER (WHERE trim({0}) <> '') AS {0}"

@@ -1,17 +1,20 @@
-"""Writing sheets: CSV with the dialect of the exports, one named file, JSON, and the audit of export jobs."""
+"""Writing sheets: CSV with the dialect of the exports, one named file, JSON, and the weekly jobs with their audit."""
 
 from __future__ import annotations
 
 import csv
 import io
+import json
 import os
+import textwrap
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import export
+from ..operators import dashboard, export
 from ..schema import SYNC_RUN
 
 
@@ -47,9 +50,29 @@ def write_named_csv(df: DataFrame, path: str) -> int:
     return rows
 
 
-def write_json_array(df: DataFrame) -> DataFrame:
-    """All rows as one JSON text, non-ASCII kept; for results of a search, which are few."""
-    return df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("json"))
+def write_json_array(df: DataFrame, path: str) -> int:
+    """All rows as one indented JSON array in a named file, non-ASCII kept; rows come to the driver a partition at a time."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    rows = 0
+    with open(path, "w", encoding="utf-8") as f:
+        for row in df.toLocalIterator():
+            f.write("[\n" if rows == 0 else ",\n")
+            f.write(textwrap.indent(json.dumps(row.asDict(recursive=True), indent=2, ensure_ascii=False, default=str), "  "))
+            rows += 1
+        f.write("\n]" if rows else "[]")
+    return rows
+
+
+def write_found_csv(df: DataFrame, path: str) -> int:
+    """Results of a search as one CSV file without a byte-order mark; nothing is written when there are none."""
+    if df.isEmpty():
+        return 0
+    rows = -1
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        for line in csv_lines(df):
+            f.write(line)
+            rows += 1
+    return rows
 
 
 def export_name(city: str | None = None, at: datetime | None = None) -> str:
@@ -57,27 +80,62 @@ def export_name(city: str | None = None, at: datetime | None = None) -> str:
     return f"leads{f'_{city}' if city else ''}_{at:%Y%m%d_%H%M}.csv"
 
 
-def audited(spark: SparkSession, audit_path: str, run_id: str, triggered_by: str, job: Callable[[], int]) -> int:
+def audited(spark: SparkSession, audit_path: str, run_id: str, triggered_by: str, job: Callable[[], int], worksheet: str | None = None) -> int:
     """Run an export and append its audit row; a failure is recorded and raised again."""
     started = datetime.now(timezone.utc).replace(tzinfo=None)
 
     def record(status: str, rows: int, error: str | None) -> None:
-        row = (run_id, "csv", status, triggered_by, None, rows, 0, 0, error, started, datetime.now(timezone.utc).replace(tzinfo=None))
+        row = (run_id, "csv", status, triggered_by, worksheet, rows, 0, 0, error, started, datetime.now(timezone.utc).replace(tzinfo=None))
         spark.createDataFrame([row], SYNC_RUN).coalesce(1).write.mode("append").parquet(audit_path)
 
     try:
         rows = job()
     except Exception as e:
-        record("failed", 0, str(e))
+        record("failed", 0, f"{type(e).__name__}: {e}")
         raise
     record("success", rows, None)
     return rows
 
 
-def export_leads(leads: DataFrame, businesses: DataFrame, path: str, at: datetime, **asked) -> DataFrame:
-    """Write the leads that are asked for and return all leads with ``exported_at`` set on those written."""
-    rows = export.joined(leads, businesses).where(export.lead_filter(**asked))
-    write_csv(export.sheet_row(export.export_order(rows)), path)
-    written = rows.select(F.col("id").alias("_done"))
-    stamped = leads.join(written, F.col("id") == F.col("_done"), "left")
-    return stamped.withColumn("exported_at", F.when(F.col("_done").isNotNull(), F.lit(at).cast("timestamp_ntz")).otherwise(F.col("exported_at"))).drop("_done")
+def week_file(kind: str, week: int, city: str | None = None) -> str:
+    """The name of a week's file; a rerun of the week overwrites it."""
+    part = f"_{city.lower().replace(' ', '_')}" if city else ""
+    return f"{kind}_week{week:02d}{part}.csv"
+
+
+def export_leads(leads: DataFrame, businesses: DataFrame, folder: str, audit_path: str, week: int, triggered_by: str, city: str | None = None, unsynced: bool = False) -> tuple[DataFrame, dict]:
+    """Write a week's file of leads: all leads with ``exported_at`` set on those written, and a summary.
+
+    The week names the file and filters nothing.  Where writing fails the audit says so and no lead is stamped.
+    """
+    at, name = datetime.now(timezone.utc).replace(tzinfo=None), week_file("leads", week, city)
+    rows = export.joined(leads, businesses).where(export.lead_filter(city=city, unsynced=unsynced))
+    path = os.path.join(folder, name)
+    written = audited(leads.sparkSession, audit_path, uuid.uuid4().hex, triggered_by, lambda: write_named_csv(export.sheet_row(export.export_order(rows)), path), name)
+    done = rows.select(F.col("id").alias("_done"))
+    stamped = leads.join(done, F.col("id") == F.col("_done"), "left")
+    stamped = stamped.withColumn("exported_at", F.when(F.col("_done").isNotNull(), F.lit(at).cast("timestamp_ntz")).otherwise(F.col("exported_at"))).drop("_done")
+    return stamped, {"status": "success", "file": path, "rows_written": written, "week_number": week}
+
+
+def export_dashboard(leads: DataFrame, businesses: DataFrame, folder: str, audit_path: str, week: int, triggered_by: str) -> dict:
+    """Write a week's dashboard; rows_written counts the rows of its layout."""
+    name, at = week_file("dashboard", week), datetime.now(timezone.utc)
+    path, rows = os.path.join(folder, name), dashboard.attributed(leads, businesses)
+    head = dashboard.headline(rows, week).first()
+
+    def write() -> int:
+        os.makedirs(folder, exist_ok=True)
+        lines = [r["cells"] for r in dashboard.layout(rows, week, f"{at:%Y-%m-%d %H:%M}").collect()]  # as many as the dimensions have
+        with open(path, "w", encoding="utf-8-sig", newline="") as f:
+            f.writelines(map(_line, lines))
+        return len(lines)
+
+    written = audited(leads.sparkSession, audit_path, uuid.uuid4().hex, triggered_by, write, name)
+    return {"status": "success", "file": path, "rows_written": written, "week_number": week, "total_leads_this_week": head["total_leads_this_week"], "percent_of_target": head["percent_of_target"]}
+
+
+def weekly_export(leads: DataFrame, businesses: DataFrame, folder: str, audit_path: str, week: int, triggered_by: str) -> tuple[DataFrame, dict]:
+    """Both files of a week: the stamped leads and both summaries."""
+    stamped, told = export_leads(leads, businesses, folder, audit_path, week, triggered_by)
+    return stamped, {"leads": told, "dashboard": export_dashboard(leads, businesses, folder, audit_path, week, triggered_by)}

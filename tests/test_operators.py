@@ -254,3 +254,64 @@ def test_ingest_of_scraped_records(spark):
     assert len(lead) == 3 and (lead["b1"]["automation_status_detail"], lead["b1"]["week_number"], lead["b1"]["priority"], lead["b1"]["lead_ref"]) == ("Queued", 3, "high", 7)
     other = lead[by_name["Fresh & Co"]["id"]]
     assert (other["automation_status"], other["automation_status_detail"], other["week_number"], other["priority"]) == ("completed", "Skipped (No Website)", 2, "medium")
+
+
+def week_tables(spark):
+    shops = businesses(spark, {"id": "b1", "name": "Wai Yee Hong Café", "city": "Bristol"}, {"id": "b2", "name": "Other", "city": "Abu Dhabi"})
+    rows = [(f"l{i}", f"b{i}", i, "phone", None, None, "not_started", None, "high", None, "no_answer", None, 30, None, AT) for i in (1, 2)]
+    return spark.createDataFrame(rows, schema.LEAD), shops
+
+
+def test_weekly_files(spark, tmp_path):
+    stored, shops = week_tables(spark)
+    folder, audit = str(tmp_path / "out"), str(tmp_path / "runs")
+    stamped, told = sinks.weekly_export(stored, shops, folder, audit, 30, "pytest")
+    assert told["leads"]["rows_written"] == 2 and told["dashboard"]["total_leads_this_week"] == 2 and stamped.where("exported_at IS NULL").count() == 0
+    raw = (tmp_path / "out/leads_week30.csv").read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbf") and "Wai Yee Hong Café".encode() in raw and raw.count(b"\r\n") == 3
+    text = (tmp_path / "out/dashboard_week30.csv").read_text(encoding="utf-8-sig")
+    assert "Weekly Lead Generation Dashboard" in text and "Haifa" in text and text.count("\n") == told["dashboard"]["rows_written"]
+    again, told = sinks.export_leads(stamped, shops, folder, audit, 30, "pytest", unsynced=True)
+    assert told["rows_written"] == 0
+    _, told = sinks.export_leads(stored, shops, folder, audit, 5, "pytest", city="Abu Dhabi")
+    assert told["rows_written"] == 1 and sorted(p.name for p in (tmp_path / "out").glob("*.csv")) == ["dashboard_week30.csv", "leads_week05_abu_dhabi.csv", "leads_week30.csv"]
+    runs = spark.read.parquet(audit).collect()
+    assert sorted((r["worksheet"], r["status"], r["triggered_by"]) for r in runs)[0] == ("dashboard_week30.csv", "success", "pytest") and len(runs) == 4
+
+
+def test_failed_export_is_recorded(spark, tmp_path, monkeypatch):
+    stored, shops = week_tables(spark)
+
+    def full(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(sinks, "write_named_csv", full)
+    with pytest.raises(OSError):
+        sinks.export_leads(stored, shops, str(tmp_path), str(tmp_path / "runs"), 30, "pytest")
+    run = spark.read.parquet(str(tmp_path / "runs")).first()
+    assert run["status"] == "failed" and "OSError: disk full" in run["error"] and run["worksheet"] == "leads_week30.csv"
+
+
+def test_search_results_as_files(spark, tmp_path):
+    df = spark.createDataFrame([("é", 1.5), (None, None)], "name string, rating double").coalesce(1)
+    assert sinks.write_json_array(df, str(tmp_path / "a.json")) == 2
+    import json
+
+    text = (tmp_path / "a.json").read_text(encoding="utf-8")
+    assert json.loads(text) == [{"name": "é", "rating": 1.5}, {"name": None, "rating": None}] and "é" in text
+    assert sinks.write_json_array(df.limit(0), str(tmp_path / "b.json")) == 0 and json.loads((tmp_path / "b.json").read_text()) == []
+    assert sinks.write_found_csv(df.limit(0), str(tmp_path / "n.csv")) == 0 and not (tmp_path / "n.csv").exists()
+    assert sinks.write_found_csv(df, str(tmp_path / "c.csv")) == 2 and (tmp_path / "c.csv").read_bytes() == "name,rating\r\né,1.5\r\n,\r\n".encode()
+
+
+def test_numbers_by_age_with_many_leads_of_one_time(spark):
+    rows = [(f"{i:04d}", AT if i % 3 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id string, created_at timestamp_ntz").repartition(7)
+    got = {r["id"]: r["lead_ref"] for r in export.number_leads(df, 10).collect()}
+    assert got == {i: n + 11 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[0])))}
+
+
+def test_older_tables_and_lookups(spark):
+    df = spark.createDataFrame([("1", None, " "), ("2", True, "a.co"), ("3", False, None)], "id string, is_duplicate boolean, website string")
+    assert {tuple(r)[:2] + (r["website_available"],) for r in export.backfilled(df).collect()} == {("1", False, False), ("2", True, True), ("3", False, False)}
+    assert export.lookup(df, id="2", website="a.co").count() == 1
