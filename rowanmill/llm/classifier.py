@@ -8,7 +8,8 @@ on the number of features and grid cells alone.
 
 Learning uses every labelled row outside the held-out rows.  Labels, lang, source and doc_id are no inputs.
 
-Defined results: a null text is the empty text, which has statistics and a score like any other; labels
+Defined results: a null text is the empty text, which has statistics and a score like any other; a text of any
+length is measured whole, in one task; texts with equal statistics have equal scores; labels
 that are null or for unknown documents are not used, and several labels of a document all count; rows with
 a null doc_id are scored; with no labels at all every score is the middle, 0.5; an empty table gives an
 empty result; other columns are not read.

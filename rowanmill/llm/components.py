@@ -1,4 +1,8 @@
-"""Connected components of a table of links, in Spark."""
+"""Connected components of a table of links, in Spark.
+
+Defined results: links with a null side and links of a node with itself say nothing; repeated links count once; an
+empty table gives an empty result; other columns are not read.
+"""
 
 from __future__ import annotations
 

@@ -10,7 +10,7 @@ places from where too few of the template's words follow.  A passage may hold se
 place stretches of about a template's length are aligned, the best is taken and both sides are searched on.
 Each text is scanned whole in the task that reads it; templates are a short parameter.
 
-Defined results: a null text has no words and no licence; of equal coverage the first template in the
+Defined results: a null text has no words and no licence; a text of any length is scanned whole; of equal coverage the first template in the
 table is named; repeated rows are scanned one by one; an empty table gives an empty result; other columns
 are not read.
 """

@@ -10,8 +10,11 @@ Shots end where the histogram difference of neighbouring frames passes a thresho
 differences around it (their mean plus ``sigmas`` deviations, and ``least`` at the lowest).
 
 Defined results: a null text is the empty text; a payload is padded with spaces to a positive multiple
-of 192 bytes; equal texts give equal media; an empty table gives an empty result; columns other than
-doc_id and text are not read.
+of 192 bytes, a long one is a long video, written and read by one task; equal texts give equal media; of equal
+histogram differences the first may start a shot; media that is null or no AVI file gives a row without payload and
+clips, whose ``status`` says so ("null", "foreign"); a file cut off before its index gives the whole frames that are
+there ("truncated"); frames with other tables give no payload ("refused"); an empty table gives an empty result;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -117,8 +120,13 @@ class Avi:
                 movi = at
             elif name == b"idx1":
                 self.index = np.frombuffer(view[at : at + size], "<u4").reshape(-1, 4)
-        self.at = (self.index[:, 2].astype(np.int64) + movi + 8).tolist()
-        self.sizes = self.index[:, 3].tolist()
+        self.whole = bool(len(self.index)) and movi > 0
+        if self.whole:
+            self.at = (self.index[:, 2].astype(np.int64) + movi + 8).tolist()
+            self.sizes = self.index[:, 3].tolist()
+        else:  # no index: walk the frames that are there
+            found = [(at, size) for name, at, size in _chunks(view, movi + 4, len(view)) if name == b"00dc" and at + size <= len(view)] if movi else []
+            self.at, self.sizes = [a for a, _ in found], [n for _, n in found]
 
     def samples(self, first: int = 0, last: int | None = None) -> np.ndarray:
         """Decoded frames first to last, as an array of frames x 192 samples."""
@@ -182,17 +190,26 @@ def encode_media(docs: DataFrame) -> DataFrame:
 def read_media(media: DataFrame) -> DataFrame:
     """Decode AVI columns: digests of what was read back, and the shots as an array of clips."""
     clip = pa.struct([("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())])
-    fields = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("clips", pa.list_(clip))]
+    fields = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("clips", pa.list_(clip)), ("status", pa.string())]
     kept = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), *fields])
 
-    def one(data: bytes) -> tuple:
-        video = Avi(data)
-        samples = video.samples()
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 5 + ([], "null")
+        told = len(data), hashlib.sha256(data).hexdigest()
+        try:
+            video = Avi(data)
+        except (ValueError, KeyError, ZeroDivisionError):
+            return (None,) * 3 + (*told, [], "foreign")
+        try:
+            samples, status = video.samples(), "whole" if video.whole else "truncated"
+        except ValueError:
+            return (None,) * 3 + (*told, [], "refused")
         payload = samples.tobytes()
-        starts = shot_starts(histogram_steps(samples))
+        starts = shot_starts(histogram_steps(samples)) if len(samples) else [0]
         ends = [*starts[1:], len(samples)]
         clips = [{"first_frame": a, "n_frames": b - a, "start_s": a / video.fps, "end_s": b / video.fps} for a, b in zip(starts, ends, strict=True)]
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), clips
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *told, clips if len(samples) else [], status
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +217,7 @@ def read_media(media: DataFrame) -> DataFrame:
             columns = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("n_bytes").cast(pa.int64()), *columns], schema=kept)
 
-    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips array<{CLIP}>"
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips array<{CLIP}>, status string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(read, schema)
 
 

@@ -10,7 +10,8 @@ letter, so the text falls into units that encode by themselves.  Both are read o
 is loaded; for one without the second property units end only at marks and line breaks.  Each worker
 keeps a bounded memory of units.
 
-Defined results: a null text is the empty text, which has no ids and decodes to the empty text.
+Defined results: a null text is the empty text, which has no ids and decodes to the empty text; a text of any
+length is encoded whole; of merges with equal scores the leftmost is made, as the library does.
 """
 
 from __future__ import annotations
@@ -54,6 +55,8 @@ class PieceTable:
         self.ids = {self.pieces[i]: i for i in plain}
         self.scores = {self.pieces[i]: model.get_score(i) for i in plain}
         self.text_of = {i: self.pieces[i] for i in plain}
+        if model.encode("  a  b ") and model.decode(model.encode("  a  b ")) != "  a  b ":
+            raise ValueError("models that normalize texts or drop spaces are not supported")
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("pieces that go over a space or line break are not supported")
         self.unit = units_of(self.ids)

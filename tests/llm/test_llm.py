@@ -354,6 +354,17 @@ def test_frames_are_lossless_jpeg():
     assert out.astype(np.uint8).tobytes() == data
 
 
+def test_media_that_is_no_whole_file(spark):
+    data = np.random.default_rng(0).integers(0, 256, 192 * 9, dtype=np.uint8).tobytes()
+    avi = media.write_avi(data)
+    other = avi.replace(media.FRAME_HEAD, media.FRAME_HEAD[:-1] + b"\1")
+    rows = [(1, 5, avi), (2, 5, None), (3, 5, b"no video"), (4, 5, b""), (5, 5, avi[: media.Avi(avi).at[4] - 8]), (6, 5, avi[:40]), (7, 5, other)]
+    got = {r["doc_id"]: r for r in media.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert [got[i]["status"] for i in range(1, 8)] == ["whole", "null", "foreign", "foreign", "truncated", "truncated", "refused"]
+    assert got[1]["payload_sha256"] == hashlib.sha256(data).hexdigest() and got[5]["payload_sha256"] == hashlib.sha256(data[: 192 * 4]).hexdigest()
+    assert got[6]["payload_bytes"] == 0 and got[2]["clips"] == got[3]["clips"] == got[6]["clips"] == []
+
+
 def test_shots():
     steps = np.array([0.02] * 20 + [0.6] + [0.02] * 20)
     assert media.shot_starts(steps) == [0, 21] and media.shot_starts(np.zeros(0)) == [0]
@@ -711,6 +722,41 @@ def test_tokens_of_random_text():
 # --- 10 classifier
 
 
+def test_statistics_of_a_small_text():
+    text = "The cat, THE dog 42!\nthe cat, the end é"
+    raw = text.encode()
+    w = raw.split()
+    x = dict(zip(classifier.STATISTICS, classifier.statistics(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist(), strict=True))
+    size = [len(t) for t in w]
+    share = {b: n / len(raw) for b, n in Counter(raw).items()}
+    want = {
+        "log_bytes": math.log1p(len(raw)), "log_words": math.log1p(len(w)), "mean_word": math.log1p(np.mean(size)), "spread_word": math.log1p(np.std(size)), "longest_word": math.log1p(max(size)),
+        "upper": sum(65 <= b <= 90 for b in raw) / len(raw), "digit": 2 / len(raw), "comma": 2 / len(raw), "bang": 1 / len(raw), "non_ascii": 2 / len(raw), "line": 1 / len(raw), "pipe": 0,
+        "distinct_words": len(set(w)) / len(w), "top_word": max(Counter(w).values()) / len(w), "repeat_pairs": 1 - len(set(zip(w, w[1:]))) / (len(w) - 1), "repeat_triples": 0,
+        "short_words": sum(n <= 3 for n in size) / len(w), "digit_words": 1 / len(w), "upper_words": 2 / len(w), "entropy": -sum(p * math.log2(p) for p in share.values()),
+    }
+    assert all(abs(x[k] - v) < 1e-5 for k, v in want.items()), {k: (x[k], v) for k, v in want.items() if abs(x[k] - v) >= 1e-5}
+
+
+def test_weights_solve_the_whole_normal_equations(spark):
+    """The system of all rows, built at once by numpy, and pool-adjacent levels by their minimax formula."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, len(classifier.STATISTICS))).astype(np.float32)
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y))], "doc_id long, stats array<float>, label int").repartition(4)
+    model = classifier.fit(rows)
+    wide = x.astype(float)
+    assert np.allclose(model.mean, wide.mean(0), atol=1e-6) and np.allclose(model.spread, wide.std(0), atol=1e-6)
+    a = model.features(wide)
+    left = a.T @ a + classifier.RIDGE * len(a) * np.diag([1.0] * classifier.FEATURES + [0.0]) + 1e-9 * np.eye(a.shape[1])
+    assert np.allclose(left @ model.weights[-1], a.T @ y, atol=1e-6 * len(a))
+    z, w = rng.random(40), rng.integers(1, 5, 40).astype(float)
+    at, level = classifier.isotonic(np.arange(40.0), z, w)
+    mean = lambda i, j: (z[i : j + 1] * w[i : j + 1]).sum() / w[i : j + 1].sum()
+    want = [max(min(mean(i, j) for j in range(k, 40)) for i in range(k + 1)) for k in range(40)]
+    assert np.allclose(sorted(set(np.round(want, 9))), sorted(set(np.round(level, 9)))) and np.all(np.diff(at) > 0)
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = classifier.classify(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
