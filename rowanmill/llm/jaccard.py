@@ -14,7 +14,7 @@ named; a set gives signatures without any element only if it is one of the other
 Groups.  What is asked for are components, so links inside one need not be listed.  Each set is first compared
 with the set it shares most signatures with among the least of its buckets.  Buckets that then still hold
 several components compare all with their least set, and what is left after that is compared in blocks of packs of
-sets, each pair of packs once whatever the number of buckets it comes from.  All comparisons are exact.
+sets, the buckets of a small family put together, each pair of packs once whatever the number of buckets it comes from.  All comparisons are exact.
 
 Defined results: a text with fewer words than a shingle is one shingle, one without words (or a null text) has an
 empty set and links with nothing; a text of any length is one set, made in one task; rows with a null doc_id take part, a
@@ -41,6 +41,8 @@ SHINGLE, PERCENT = 4, 85
 PARTS = 3
 #: Sets that one task holds against a pivot at a time, and in a pack of the last step.
 STAR_ROWS, PACK_ROWS = 1024, 128
+#: Sets that meet in one bucket or another are compared as one family up to this size, and by their buckets beyond it.
+FAMILY_ROWS = 2048
 SIGNATURE = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64())])
 
 
@@ -147,6 +149,19 @@ def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(placed.join(several, "sig"))
 
 
+def families(rows: DataFrame) -> DataFrame:
+    """The rows (sig, node, part) with the buckets of each small family, what buckets join directly or over others, put together as one.
+
+    Sets of a family meet in many buckets, so each text then goes to a few blocks and not to those of every bucket.
+    """
+    star = rows.select("sig", "node").join(rows.groupBy("sig").agg(F.min("node").alias("a")), "sig").select("a", F.col("node").alias("b"))
+    family = components(star)
+    small = family.groupBy("root").count().where(F.col("count") <= FAMILY_ROWS).select("root")
+    family = family.join(small, "root").select(F.col("node").alias("_node"), "root")
+    placed = rows.join(family, F.col("node") == F.col("_node"), "left")
+    return materialize(placed.select(F.when(F.col("root").isNull(), F.col("sig")).otherwise(F.xxhash64("root")).alias("sig"), "node", "part").distinct())
+
+
 def block_links(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links a, b between sets of several components in a bucket (``rows``: sig, node, part).
 
@@ -224,7 +239,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     second = materialize(tried.where("part <> _part").select("pivot", "node").distinct().join(nearest, ["pivot", "node"], "left_anti"))
     found = materialize(found.unionByName(star_links(second, texts, shingle, percent)))
     left = apart(left.where("node <> pivot").select("sig", "node", "pivot"), components(found))
-    found = found.unionByName(block_links(left.select("sig", "node", "part"), texts, shingle, percent))
+    found = found.unionByName(block_links(families(left.select("sig", "node", "part")), texts, shingle, percent))
 
     placed = texts.select("key", "least", "node").join(components(found).withColumnsRenamed({"node": "_node"}), F.col("node") == F.col("_node"), "left")
     placed = materialize(placed.select("key", "least", "node", F.coalesce("root", "node").alias("part")).join(sizes, "node"))
