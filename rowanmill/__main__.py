@@ -1,7 +1,7 @@
 """Command line over a folder of tables: import a sheet, sweep duplicates, export leads, print the dashboard.
 
-Tables are Parquet folders ``businesses`` and ``leads``; a job writes the next version beside the last, so
-that a failed job leaves the old one as it was.
+Tables are the folders ``businesses`` and ``leads``; a job merges the rows that it has changed as the next version,
+so that a failed job leaves the old one as it was.
 """
 
 from __future__ import annotations
@@ -10,42 +10,33 @@ import argparse
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
 from .operators import dashboard, export, leads, resolve
 from .sources import sheets, sinks
+from .sources.tables import Table, changed, cut
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
-
-
-def load(spark: SparkSession, folder: str, name: str, columns: str) -> DataFrame:
-    found = versions(spark, f"{folder}/{name}")
-    return spark.read.schema(columns).parquet(f"{folder}/{name}/v{found[-1]}") if found else spark.createDataFrame([], columns)
-
-
-def store(spark: SparkSession, df: DataFrame, folder: str, name: str) -> None:
-    df.write.parquet(f"{folder}/{name}/v{max(versions(spark, f'{folder}/{name}'), default=0) + 1}")
+def tables(spark: SparkSession, folder: str) -> tuple[Table, Table]:
+    """The businesses and the leads."""
+    return Table(spark, f"{folder}/businesses", schema.BUSINESS), Table(spark, f"{folder}/leads", schema.LEAD)
 
 
 def import_sheet(spark: SparkSession, folder: str, path: str, assigned_to: str | None, dry_run: bool) -> dict[str, int]:
     """created, merged and skipped rows; a dry run counts and writes nothing."""
     fields = sheets.sheet_fields(sheets.read_sheet(spark, path))
     rows = sheets.typed_rows(fields, assigned_to).withColumn("sequence", F.monotonically_increasing_id()).persist()
-    old = load(spark, folder, "businesses", schema.BUSINESS)
+    businesses, stored = tables(spark, folder)
+    old = businesses.read()
     found, new = leads.import_rows(old, rows, uuid.uuid4().hex if not dry_run else "dry")
     found = found.persist()
     counts = leads.import_counts(rows, found).first().asDict()
     if not dry_run:
-        kept = load(spark, folder, "leads", schema.LEAD)
-        store(spark, found.select(*old.columns), folder, "businesses")
-        store(spark, leads.merged_leads(kept, new, datetime.now(timezone.utc).replace(tzinfo=None)), folder, "leads")
+        kept = stored.read()
+        businesses.merge(changed(old, found.select(*old.columns)))
+        stored.merge(changed(kept, leads.merged_leads(kept, new, datetime.now(timezone.utc).replace(tzinfo=None))))
     for df in (rows, found):
         df.unpersist()
     return counts
@@ -53,9 +44,10 @@ def import_sheet(spark: SparkSession, folder: str, path: str, assigned_to: str |
 
 def sweep(spark: SparkSession, folder: str) -> int:
     """Flag duplicates among stored businesses; the number newly flagged."""
-    old = load(spark, folder, "businesses", schema.BUSINESS)
-    done = resolve.resolve(old, sweep=True).select(*old.columns).persist()
-    store(spark, done, folder, "businesses")
+    businesses, _ = tables(spark, folder)
+    old = businesses.read()
+    done = cut(resolve.resolve(old, sweep=True).select(*old.columns))
+    businesses.merge(changed(old, done))
     return done.where("is_duplicate").count() - old.where("is_duplicate").count()
 
 
@@ -69,7 +61,7 @@ def main(arguments: list[str] | None = None) -> None:
     job.add_argument("--dry-run", action="store_true")
     job.add_argument("--backfill-duplicates", action="store_true")
     job = jobs.add_parser("export")
-    job.add_argument("out")
+    job.add_argument("out", nargs="?")
     job.add_argument("--city")
     job.add_argument("--only-unsynced", action="store_true")
     job = jobs.add_parser("dashboard")
@@ -82,11 +74,12 @@ def main(arguments: list[str] | None = None) -> None:
         if args.backfill_duplicates and not args.dry_run:
             print({"flagged": sweep(spark, args.tables)})
         return
-    businesses, stored = load(spark, args.tables, "businesses", schema.BUSINESS), load(spark, args.tables, "leads", schema.LEAD)
+    businesses, stored = (t.read() for t in tables(spark, args.tables))
     if args.job == "export":
         rows = export.joined(stored, businesses).where(export.lead_filter(city=args.city, unsynced=args.only_unsynced))
+        out = args.out or sinks.export_name(args.city)
         sheet = export.sheet_row(export.export_order(rows))
-        print(sinks.audited(spark, f"{args.tables}/sync_runs", uuid.uuid4().hex, "command", lambda: sinks.write_named_csv(sheet, args.out)))
+        print(sinks.audited(spark, f"{args.tables}/sync_runs", uuid.uuid4().hex, "command", lambda: sinks.write_named_csv(sheet, out), out))
     else:
         week = args.week or now.isocalendar().week
         for row in dashboard.layout(dashboard.attributed(stored, businesses), week, f"{now:%Y-%m-%d %H:%M}").collect():  # as many rows as the dimensions have

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import strip, truthy
+from ..sources.tables import cut
 
 # The sheet's header row.
 SHEET_COLUMNS = (
@@ -81,6 +82,27 @@ def page(df: DataFrame, skip: int = 0, limit: int = 50, by: str = "created_at",
     return df.orderBy(F.desc_nulls_first(by), key).offset(skip).limit(limit)
 
 
+def seek(df: DataFrame, after: tuple | None = None, limit: int = 50, by: str = "created_at", key: str = "id") -> DataFrame:
+    """The page that follows the row ``after`` (its ``by`` and ``key``; None: the first page) in the order of ``page``.
+
+    What lies before is filtered by values, which reaches the scan, and not counted off, so late pages cost no more than early ones.
+    """
+    if after is not None:
+        at, ident = after
+        same = F.col(key) > F.lit(ident)
+        if at is None:
+            df = df.where((F.col(by).isNull() & same) | F.col(by).isNotNull())
+        else:
+            df = df.where((F.col(by) < F.lit(at)) | ((F.col(by) == F.lit(at)) & same))
+    return df.orderBy(F.desc_nulls_first(by), key).limit(limit)
+
+
+def cursor(rows: DataFrame, by: str = "created_at", key: str = "id") -> tuple | None:
+    """Where the page after ``rows`` (a page) starts."""
+    last = rows.orderBy(F.asc_nulls_last(by), F.desc(key)).select(by, key).first()
+    return tuple(last) if last else None
+
+
 def export_order(df: DataFrame, key: str = "id") -> DataFrame:
     return df.orderBy(F.asc_nulls_last("created_at"), key)
 
@@ -88,15 +110,16 @@ def export_order(df: DataFrame, key: str = "id") -> DataFrame:
 def number_leads(leads: DataFrame, start: int = 0) -> DataFrame:
     """lead_ref by age, undated leads first, from ``start`` + 1 on.
 
-    Leads are dealt to ranges of age and id and numbered within them; ranges are offset by the counts of those
-    before, so the one window without partitions sees a row a range and not the leads.
+    Leads are dealt to ranges of age and id, and each is written with its range before anything counts: ranges are
+    drawn from samples, so two evaluations need not agree.  Numbers within a range are then offset by the counts
+    of the ranges before, so the one window without partitions sees a row a range and not the leads.
     """
     order = [F.col("created_at").asc_nulls_first(), F.col("id").asc()]
-    spread = leads.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    spread = spread.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    spread = cut(leads.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = spread.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n")).select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return spread.join(starts, F.col("_range") == F.col("_r")).withColumn("lead_ref", (F.col("_before") + F.col("_rank") + start).cast("int")).drop("_range", "_rank", "_r", "_before")
+    return spread.withColumn("_rank", rank).join(starts, F.col("_range") == F.col("_r")).withColumn("lead_ref", (F.col("_before") + F.col("_rank") + start).cast("int")).drop("_range", "_rank", "_r", "_before")
 
 
 def next_ref(leads: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import cells, keys, places, scoring, web
 from ..operators import dashboard, export, leads, pages, resolve
 from ..schema import BUSINESS, BUSINESS_TYPES, COUNTRIES, INTERNS, PRIORITIES, interns
-from ..sources import sheets
+from ..sources import sheets, sinks
 from ..streaming import ingest
 from . import demo
 
@@ -115,15 +116,19 @@ def dashboard_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.as_json(attributed(spark, sf_dir), WEEK)
 
 
-@query("SELECT *, weekofyear(created_at)::INT AS iso_week FROM (SELECT lead.id, business_id, created_at, city FROM lead JOIN biz ON lead.business_id = biz.id WHERE lower(city) = 'france')")
+@query("SELECT *, weekofyear(created_at)::INT AS iso_week FROM (SELECT lead.id, business_id, created_at, city FROM lead JOIN biz ON lead.business_id = biz.id WHERE lower(city) = 'lahore')")
 def leads_of_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = export.joined(demo.leads(spark, sf_dir), demo.biz(spark, sf_dir)).where(export.in_city("france"))
+    rows = export.joined(demo.leads(spark, sf_dir), demo.biz(spark, sf_dir)).where(export.in_city("LAHORE"))
     return rows.select("id", "business_id", "created_at", "city", export.iso_week(F.col("created_at")).alias("iso_week"))
 
 
-@query(f"SELECT city, intern, country, ordinal, place FROM (VALUES {values((c, n, country, i, k) for i, (n, cs, country) in enumerate(INTERNS) for k, c in enumerate(cs))}) v(city, intern, country, ordinal, place)")
+@query(f"""SELECT v.city, intern, v.country, ordinal, place, count(biz.id) AS businesses FROM (VALUES {values((c, n, country, i, k) for i, (n, cs, country) in enumerate(INTERNS) for k, c in enumerate(cs))}) v(city, intern, country, ordinal, place)
+ LEFT JOIN biz ON lower(trim(biz.city)) = lower(v.city) GROUP BY ALL""")
 def intern_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.city_list(interns(spark))
+    """The interns' cities with the number of businesses in each."""
+    held = demo.biz(spark, sf_dir).groupBy(F.lower(F.trim("city")).alias("_city")).agg(F.count("*").alias("n"))
+    cities = dashboard.city_list(interns(spark)).join(held, F.lower("city") == F.col("_city"), "left")
+    return cities.select("city", "intern", "country", "ordinal", "place", F.coalesce("n", F.lit(0)).alias("businesses"))
 
 
 @query("SELECT lead.id, lead.business_id, CASE WHEN biz.id IS NOT NULL THEN biz.name || '/' || biz.city || '/' || CASE WHEN trim(website) <> '' THEN 'true' ELSE 'false' END END AS business FROM lead LEFT JOIN biz ON lead.business_id = biz.id")
@@ -148,6 +153,41 @@ def leads_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.page(rows.select("id", "business_id", "name", "created_at"), 100, 50)
 
 
+SEEK_SQL = "SELECT {0} FROM {1} WHERE {2} ORDER BY {3} DESC NULLS FIRST, id LIMIT 50"
+
+
+@query(SEEK_SQL.format("id, business_id, created_at", "lead", "created_at < TIMESTAMP '1995-06-17' OR (created_at = TIMESTAMP '1995-06-17' AND id > '5')", "created_at"))
+def leads_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of leads after one that is known by its date and id; the filter reaches the scan."""
+    return export.seek(demo.leads(spark, sf_dir).select("id", "business_id", "created_at"), (datetime(1995, 6, 17), "5"))
+
+
+@query(SEEK_SQL.format("id, name, city, reviews_count", "biz", "city ILIKE '%o%' AND (reviews_count < 300 OR (reviews_count = 300 AND id > '3'))", "reviews_count"))
+def businesses_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later page of the businesses of some cities, those with most reviews first."""
+    rows = demo.biz(spark, sf_dir).where(F.col("city").ilike("%o%")).select("id", "name", "city", "reviews_count")
+    return export.seek(rows, (300, "3"), by="reviews_count")
+
+
+@query(SEEK_SQL.format("id, name, place_id", "biz", "place_id IS NOT NULL AND (place_id < 'pid50' OR (place_id = 'pid50' AND id > '2'))", "place_id"))
+def discovered_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later page of the listings that a map search has named."""
+    rows = demo.biz(spark, sf_dir).where("place_id IS NOT NULL").select("id", "name", "place_id")
+    return export.seek(rows, ("pid50", "2"), by="place_id")
+
+
+RUNS_SQL = f"""SELECT {demo.text("o_orderkey")} AS id, 'csv' AS target, CASE WHEN k = 0 THEN 'running' WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'success' END AS status, o_orderdate AS started_at,
+ CASE WHEN k = 1 THEN o_orderdate END AS finished_at, CASE WHEN k = 1 THEN o_custkey ELSE 0 END AS rows_written FROM {{orders}}, (VALUES (0), (1)) v(k) WHERE k = 0 OR o_orderkey % 7 <> 0"""
+
+
+@query(f"""WITH e AS ({demo.duck(RUNS_SQL)}) SELECT id, arg_max(status, finished_at IS NOT NULL) AS status, max(rows_written) AS rows_written, min(started_at) AS started_at FROM e GROUP BY id
+ ORDER BY started_at DESC NULLS FIRST, id LIMIT 100""")
+def latest_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest runs of an audit log of two events a run, one in seven of which has died."""
+    runs = sinks.latest_runs(demo.view(spark, sf_dir, RUNS_SQL))
+    return export.seek(runs, limit=100, by="started_at").select("id", "status", "rows_written", "started_at")
+
+
 @query("SELECT id, row_number() OVER (ORDER BY created_at ASC NULLS FIRST, id)::INT AS lead_ref FROM lead")
 def lead_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.number_leads(demo.leads(spark, sf_dir).drop("lead_ref")).select("id", "lead_ref")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dashboard, export
 from ..schema import SYNC_RUN
+from .tables import cut
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -76,27 +77,39 @@ def write_found_csv(df: DataFrame, path: str) -> int:
 
 
 def export_name(city: str | None = None, at: datetime | None = None) -> str:
+    """The name of a download, by city and minute."""
     at = at or datetime.now(timezone.utc)
-    return f"leads{f'_{city}' if city else ''}_{at:%Y%m%d_%H%M}.csv"
+    return f"leads{f'_{city.lower()}' if city else ''}_{at:%Y%m%d_%H%M}.csv"
 
 
 def audited(spark: SparkSession, audit_path: str, run_id: str, triggered_by: str, job: Callable[[], int], worksheet: str | None = None) -> int:
-    """Run an export and append its audit row; a failure is recorded and raised again."""
-    started = datetime.now(timezone.utc).replace(tzinfo=None)
+    """Run an export between two rows of the audit: "running" before it starts, then how it ended; a failure is recorded and raised again.
 
-    def record(status: str, rows: int, error: str | None) -> None:
-        row = (run_id, "csv", status, triggered_by, worksheet, rows, 0, 0, error, started, datetime.now(timezone.utc).replace(tzinfo=None))
+    The audit is a log that is only added to; a job that is killed leaves its first row, and ``latest_runs`` shows it as running.
+    """
+    now = lambda: datetime.now(timezone.utc).replace(tzinfo=None)
+    started = now()
+
+    def record(status: str, rows: int, error: str | None, finished: datetime | None) -> None:
+        row = (run_id, "csv", status, triggered_by, worksheet, rows, 0, 0, error, started, finished)
         spark.createDataFrame([row], SYNC_RUN).coalesce(1).write.mode("append").parquet(audit_path)
 
+    record("running", 0, None, None)
     try:
         rows = job()
     except Exception as e:
-        record("failed", 0, f"{type(e).__name__}: {e}")
+        record("failed", 0, f"{type(e).__name__}: {e}", now())
         raise
-    record("success", rows, None)
+    record("success", rows, None, now())
     return rows
 
 
+def latest_runs(events: DataFrame) -> DataFrame:
+    """One row a run, as its last event has it; a run without an end is still running, or its job has died."""
+    at = F.struct(F.col("finished_at").isNotNull(), F.col("finished_at"))
+    return events.groupBy(F.col("id").alias("_id")).agg(F.max_by(F.struct(*[F.col(c) for c in events.columns]), at).alias("_run")).select("_run.*")
+
+
 def week_file(kind: str, week: int, city: str | None = None) -> str:
     """The name of a week's file; a rerun of the week overwrites it."""
     part = f"_{city.lower().replace(' ', '_')}" if city else ""
@@ -109,10 +122,15 @@ def export_leads(leads: DataFrame, businesses: DataFrame, folder: str, audit_pat
     The week names the file and filters nothing.  Where writing fails the audit says so and no lead is stamped.
     """
     at, name = datetime.now(timezone.utc).replace(tzinfo=None), week_file("leads", week, city)
-    rows = export.joined(leads, businesses).where(export.lead_filter(city=city, unsynced=unsynced))
-    path = os.path.join(folder, name)
-    written = audited(leads.sparkSession, audit_path, uuid.uuid4().hex, triggered_by, lambda: write_named_csv(export.sheet_row(export.export_order(rows)), path), name)
-    done = rows.select(F.col("id").alias("_done"))
+    path, held = os.path.join(folder, name), []
+
+    def write() -> int:
+        # evaluated once: what is stamped is what is in the file
+        held.append(cut(export.joined(leads, businesses).where(export.lead_filter(city=city, unsynced=unsynced))))
+        return write_named_csv(export.sheet_row(export.export_order(held[0])), path)
+
+    written = audited(leads.sparkSession, audit_path, uuid.uuid4().hex, triggered_by, write, name)
+    done = held[0].select(F.col("id").alias("_done")).distinct()
     stamped = leads.join(done, F.col("id") == F.col("_done"), "left")
     stamped = stamped.withColumn("exported_at", F.when(F.col("_done").isNotNull(), F.lit(at).cast("timestamp_ntz")).otherwise(F.col("exported_at"))).drop("_done")
     return stamped, {"status": "success", "file": path, "rows_written": written, "week_number": week}

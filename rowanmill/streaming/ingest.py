@@ -1,7 +1,6 @@
 """Streams into the same tables: new records arrive as files, each batch is resolved against what is stored.
 
-An addition to the batch jobs.  A batch is upserted once: its output goes to a folder named by the batch,
-which is overwritten if the batch is run again.
+An addition to the batch jobs.
 """
 
 from __future__ import annotations
@@ -11,20 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.resolve import upsert
+from ..sources.tables import Table, changed
 
 
 def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def upsert_stream(spark: SparkSession, stream: DataFrame, seed: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Run all files that are there and stop; version n + 1 of the table is version n with batch n merged in."""
-    seed.write.mode("overwrite").parquet(f"{table}/version=0")
-    kind = seed.schema
+def upsert_stream(spark: SparkSession, stream: DataFrame, seed: DataFrame, table: Table, checkpoint: str) -> StreamingQuery:
+    """Run all files that are there and stop; each batch is one version of ``table``, which rewrites the buckets of its records only.
+
+    A new table starts with ``seed``.  The number of the batch is kept with the version, so a batch that is run again changes nothing.
+    """
+    if not table.number:
+        table.replace(seed)
 
     def merge(batch: DataFrame, n: int) -> None:
-        stored = batch.sparkSession.read.schema(kind).parquet(f"{table}/version={n}")
-        upsert(stored, batch.select(*stored.columns)).select(*stored.columns).write.mode("overwrite").parquet(f"{table}/version={n + 1}")
+        if table.notes.get("batch", -1) < n:
+            stored = table.read()
+            done = upsert(stored, batch.select(*stored.columns)).select(*stored.columns)
+            table.merge(changed(stored, done), {"batch": n})
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rowanmill import schema
 from rowanmill.operators import dashboard, export, leads, pages, resolve
 from rowanmill.sources import sheets, sinks
+from rowanmill.sources.tables import Conflict, Table, changed, cut
 from rowanmill.streaming import ingest
 
 AT = datetime(2024, 1, 1)
@@ -116,7 +117,11 @@ def test_audit(spark, tmp_path):
     with pytest.raises(RuntimeError):
         sinks.audited(spark, str(tmp_path / "runs"), "1", "test", lambda: (_ for _ in ()).throw(RuntimeError("no disk")))
     sinks.audited(spark, str(tmp_path / "runs"), "2", "test", lambda: 5)
-    assert {(r["id"], r["status"], r["rows_written"], r["error"]) for r in spark.read.parquet(str(tmp_path / "runs")).collect()} == {("1", "failed", 0, "no disk"), ("2", "success", 5, None)}
+    with pytest.raises(KeyboardInterrupt):  # as if the job were killed
+        sinks.audited(spark, str(tmp_path / "runs"), "3", "test", lambda: (_ for _ in ()).throw(KeyboardInterrupt()))
+    events = spark.read.parquet(str(tmp_path / "runs"))
+    assert events.where("status = 'running' AND finished_at IS NULL").count() == 3
+    assert {(r["id"], r["status"], r["rows_written"], r["error"]) for r in sinks.latest_runs(events).collect()} == {("1", "failed", 0, "RuntimeError: no disk"), ("2", "success", 5, None), ("3", "running", 0, None)}
 
 
 PAGE = """<html lang="en"><head><title> My Shop </title><meta name="author" content="Ali Ahmed"><meta name=generator content="WordPress 6"></head><body>
@@ -170,8 +175,10 @@ def test_stream_equals_batch(spark, tmp_path):
     old = businesses(spark, {"name": "Shop One Two", "city": "X"})
     new.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = ingest.read_stream(spark, str(tmp_path / "in"), schema.BUSINESS)
-    ingest.upsert_stream(spark, stream, old, str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.schema(schema.BUSINESS).parquet(str(tmp_path / "t/version=1"))
+    table = Table(spark, str(tmp_path / "t"), schema.BUSINESS)
+    ingest.upsert_stream(spark, stream, old, table, str(tmp_path / "cp")).awaitTermination()
+    got = table.read()
+    assert table.notes == {"batch": 0} and table.number == 2
     assert sorted(map(str, got.collect())) == sorted(map(str, resolve.upsert(old, new).select(*old.columns).collect()))
 
 
@@ -275,7 +282,7 @@ def test_weekly_files(spark, tmp_path):
     assert told["rows_written"] == 0
     _, told = sinks.export_leads(stored, shops, folder, audit, 5, "pytest", city="Abu Dhabi")
     assert told["rows_written"] == 1 and sorted(p.name for p in (tmp_path / "out").glob("*.csv")) == ["dashboard_week30.csv", "leads_week05_abu_dhabi.csv", "leads_week30.csv"]
-    runs = spark.read.parquet(audit).collect()
+    runs = sinks.latest_runs(spark.read.parquet(audit)).collect()
     assert sorted((r["worksheet"], r["status"], r["triggered_by"]) for r in runs)[0] == ("dashboard_week30.csv", "success", "pytest") and len(runs) == 4
 
 
@@ -288,7 +295,7 @@ def test_failed_export_is_recorded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "write_named_csv", full)
     with pytest.raises(OSError):
         sinks.export_leads(stored, shops, str(tmp_path), str(tmp_path / "runs"), 30, "pytest")
-    run = spark.read.parquet(str(tmp_path / "runs")).first()
+    run = sinks.latest_runs(spark.read.parquet(str(tmp_path / "runs"))).first()
     assert run["status"] == "failed" and "OSError: disk full" in run["error"] and run["worksheet"] == "leads_week30.csv"
 
 
@@ -315,3 +322,87 @@ def test_older_tables_and_lookups(spark):
     df = spark.createDataFrame([("1", None, " "), ("2", True, "a.co"), ("3", False, None)], "id string, is_duplicate boolean, website string")
     assert {tuple(r)[:2] + (r["website_available"],) for r in export.backfilled(df).collect()} == {("1", False, False), ("2", True, True), ("3", False, False)}
     assert export.lookup(df, id="2", website="a.co").count() == 1
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_numbers_of_wide_leads_over_many_ranges(spark, coalesce):
+    """Each lead keeps its row and gets each number once, however ranges are drawn or put together."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        df = spark.range(200_000).select(F.col("id").cast("string").alias("id"), F.timestamp_seconds(F.col("id") * 7919 % 100_003).cast("timestamp_ntz").alias("created_at"), F.sha2(F.col("id").cast("string"), 512).alias("notes"), F.repeat(F.col("id").cast("string"), 20).alias("more"))
+        got = cut(export.number_leads(df.repartition(16)))
+        assert got.count() == 200_000 and got.select("id").distinct().count() == 200_000
+        assert tuple(got.agg(F.min("lead_ref"), F.max("lead_ref"), F.count_distinct("lead_ref")).first()) == (1, 200_000, 200_000)
+        later = got.alias("a").join(got.alias("b"), F.expr("a.lead_ref + 1 = b.lead_ref"))
+        assert later.where("a.created_at > b.created_at OR (a.created_at = b.created_at AND a.id >= b.id)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_merge_rewrites_the_buckets_of_its_rows_only(spark, tmp_path):
+    kind = "id string, n int"
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("n"))
+    table = Table(spark, str(tmp_path / "t"), kind, buckets=32)
+    assert table.read().count() == 0
+    table.replace(rows)
+    before = dict(table.folders)
+    new = spark.createDataFrame([("3", 1), ("77", None), ("new", 2)], kind)
+    touched = table.merge(new)
+    assert len(touched) <= 3 and {b for b in before if table.folders[b] != before[b]} == touched
+    assert Table(spark, str(tmp_path / "t"), kind).buckets == 32
+    got = {r["id"]: r["n"] for r in Table(spark, str(tmp_path / "t"), kind).read().collect()}
+    assert len(got) == 1001 and (got["3"], got["77"], got["new"], got["4"]) == (1, None, 2, 0)
+    assert table.merge(new.limit(0)) == set() and table.read().count() == 1001
+
+
+def test_killed_job_and_second_writer(spark, tmp_path, monkeypatch):
+    kind = "id string, n int"
+    table = Table(spark, str(tmp_path / "t"), kind, buckets=4)
+    table.replace(spark.createDataFrame([("a", 1), ("b", 2)], kind))
+    first, second = Table(spark, str(tmp_path / "t"), kind), Table(spark, str(tmp_path / "t"), kind)
+    bad = spark.createDataFrame([("a", 5), ("c", 6)], kind).withColumn("n", F.when(F.col("id") == "c", F.raise_error(F.lit("no disk"))).otherwise(F.col("n")).cast("int"))
+    with pytest.raises(Exception, match="no disk"):
+        first.merge(bad)
+    assert sorted(map(tuple, Table(spark, str(tmp_path / "t"), kind).read().collect())) == [("a", 1), ("b", 2)]
+    first.merge(spark.createDataFrame([("a", 7)], kind))
+    with pytest.raises(Conflict):
+        second.merge(spark.createDataFrame([("b", 8)], kind))
+    assert sorted(map(tuple, Table(spark, str(tmp_path / "t"), kind).read().collect())) == [("a", 7), ("b", 2)]
+
+
+def test_changed_rows(spark):
+    kind = "id string, n int"
+    old, new = spark.createDataFrame([("a", None), ("b", 2), ("c", 3)], kind), spark.createDataFrame([("a", None), ("b", 4), ("d", None)], kind)
+    assert sorted(map(str, changed(old, new).collect())) == sorted(map(str, new.where("id <> 'a'").collect()))
+
+
+def test_stamped_leads_are_those_in_the_file(spark, tmp_path):
+    """A filter that changes its mind is asked once."""
+    stored, shops = week_tables(spark)
+    rows = spark.range(300).select(F.concat(F.lit("x"), "id").alias("id"))
+    many = rows.crossJoin(F.broadcast(stored.where("id = 'l1'").drop("id"))).select(*stored.columns).where(F.rand() < 0.5)
+    stamped, told = sinks.export_leads(many, shops, str(tmp_path), str(tmp_path / "runs"), 30, "pytest")
+    assert 0 < told["rows_written"] < 300 and stamped.where("exported_at IS NOT NULL").count() <= told["rows_written"]
+
+
+def test_seek_pages_cover_all_rows_once(spark):
+    rows = [(f"{i:03d}", AT if i % 3 else None if i % 2 else datetime(2025, 1, i % 28 + 1)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id string, created_at timestamp_ntz").repartition(5)
+    seen, after = [], None
+    while (page := cut(export.seek(df, after, 7))).count():
+        seen += [r["id"] for r in page.orderBy(F.desc_nulls_first("created_at"), "id").collect()]
+        after = export.cursor(page)
+    assert seen == [r["id"] for r in df.orderBy(F.desc_nulls_first("created_at"), "id").collect()]
+
+
+def test_download_name():
+    assert sinks.export_name("Bristol", datetime(2026, 1, 2, 3, 4)) == "leads_bristol_20260102_0304.csv" and sinks.export_name(at=AT) == "leads_20240101_0000.csv"
+
+
+def test_classified_and_missing_leads(spark):
+    lead = spark.createDataFrame([(i, "b1", None, "phone", "", None, "not_started", None, "high", None, "no_answer", None, 30, None, AT) for i in ("l1", "l2")], schema.LEAD)
+    answers = spark.createDataFrame([("l1", "Online", "Own riders", "Manual", "HIGH", "n")], "id string, order_method string, delivery_system string, automation_status string, lead_priority string, notes string")
+    got = {r["id"]: (r["order_method_detail"], r["delivery_system"], r["automation_status_detail"], r["priority"], r["notes"]) for r in leads.classify(lead, answers).collect()}
+    assert got == {"l1": ("Online", "Own riders", "Manual", "high", "n"), "l2": ("Unknown", "Unknown", "Unknown", "low", "Gemini unavailable")}
+    bare = leads.missing_leads(businesses(spark, {"id": "b1", "name": "x"}, {"id": "b2", "name": "y"}), lead).collect()
+    assert [(r["business_id"], r["order_method"], r["priority"], r["call_status"]) for r in bare] == [("b2", "unknown", "medium", "not_contacted")]
