@@ -12,9 +12,11 @@ groups than needed are made, so that for nearly all sets some agreeing group has
 named; a set gives signatures without any element only if it is one of the others.
 
 Groups.  What is asked for are components, so links inside one need not be listed.  Each set is first compared
-with the set it shares most signatures with among the least of its buckets.  Buckets that then still hold
-several components compare all with their least set, and what is left after that is compared in blocks of packs of
-sets, the buckets of a small family put together, each pair of packs once whatever the number of buckets it comes from.  All comparisons are exact.
+with the set it shares most signatures with among the least of its buckets.  What is then left of the buckets
+that still hold several components is compared in blocks of packs of sets, the buckets of a small family put together and
+its largest component not against itself; each pair of packs comes once.  A block first gets
+counts of the sets' elements by hash: sets whose counts differ by more than linked sets may differ in elements
+are apart.  Only sets that this leaves with a partner are made from their texts again and compared exactly.
 
 Defined results: a text with fewer words than a shingle is one shingle, one without words (or a null text) has an
 empty set and links with nothing; a text of any length is one set, made in one task; rows with a null doc_id take part, a
@@ -40,9 +42,11 @@ from .resemblance import overlap, shingle_sets
 SHINGLE, PERCENT = 4, 85
 PARTS = 3
 #: Sets that one task holds against a pivot at a time, and in a pack of the last step.
-STAR_ROWS, PACK_ROWS = 1024, 128
+STAR_ROWS, PACK_ROWS, PACK_SHINGLES = 1024, 512, 1 << 20
 #: Sets that meet in one bucket or another are compared as one family up to this size, and by their buckets beyond it.
-FAMILY_ROWS = 2048
+FAMILY_ROWS = 16384
+#: Bins that a set's elements are counted in, one byte each.
+BINS = 512
 SIGNATURE = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64())])
 
 
@@ -142,9 +146,9 @@ def star_links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
 
 
 def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (sig, node, pivot) of buckets that ``found`` (node, root) leaves in several components, with their component."""
+    """The rows (sig, node) of buckets that ``found`` (node, root) leaves in several components, with their component."""
     root = found.withColumnsRenamed({"node": "_node", "root": "_root"})
-    placed = rows.join(root, F.col("node") == F.col("_node"), "left").select("sig", "node", "pivot", F.coalesce("_root", "node").alias("part"))
+    placed = rows.join(root, F.col("node") == F.col("_node"), "left").select("sig", "node", F.coalesce("_root", "node").alias("part"))
     several = placed.groupBy("sig").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low < _high").select("sig")
     return materialize(placed.join(several, "sig"))
 
@@ -162,23 +166,60 @@ def families(rows: DataFrame) -> DataFrame:
     return materialize(placed.select(F.when(F.col("root").isNull(), F.col("sig")).otherwise(F.xxhash64("root")).alias("sig"), "node", "part").distinct())
 
 
-def block_links(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links a, b between sets of several components in a bucket (``rows``: sig, node, part).
+def counts(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, n (size of the set) and bins (its elements counted by hash, up to 255) of ``nodes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for i, j in slices(offsets):
+                sizes, bins = [], []
+                for hashes in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle):
+                    sizes.append(len(hashes))
+                    bins.append(np.bincount((mix(hashes) % np.uint64(BINS)).astype(np.int64), minlength=BINS).clip(max=255).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], names=["node", "n", "bins"])
+
+    return texts.join(nodes, "node").select("node", "text").mapInArrow(run, "node long, n long, bins binary")
+
 
-    Buckets are cut in packs by their nodes' hashes; equal pairs of packs, from whatever buckets, are compared once.
+def block_members(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """block, side, node, part: pairs of packs of a bucket (``rows``: sig, node, part), equal ones from whatever buckets once.
+
+    The largest component of a bucket has packs of its own, which meet those of the others but not each other.
     """
-    sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / PACK_ROWS).cast("int").alias("chunks"))
-    dealt = rows.join(sizes, "sig").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    packs = materialize(dealt.groupBy("sig", "chunks", "chunk").agg(F.sort_array(F.collect_list(F.struct("node", "part"))).alias("pack")))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    x = packs.select("sig", "chunk", F.col("pack").alias("x"), other).where("chunk <= other")
-    y = packs.select("sig", F.col("chunk").alias("other"), F.col("pack").alias("y"), other.alias("chunk")).where("chunk <= other")
-    blocks = x.join(y, ["sig", "chunk", "other"]).select("x", "y").distinct()
-    blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
+    most = rows.groupBy("sig", "part").count().groupBy("sig").agg(F.max_by("part", F.struct("count", "part")).alias("_main"))
+    dealt = rows.join(most, "sig").join(sizes, "node").withColumn("other", F.col("part") != F.col("_main"))
+    needed = lambda of: F.ceil(F.greatest(F.count_if(of) / PACK_ROWS, F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / PACK_SHINGLES)).cast("int")
+    packed = dealt.groupBy("sig").agg(needed(F.col("other")).alias("few"), needed(~F.col("other")).alias("main"))
+    at = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    dealt = dealt.join(packed, "sig").withColumn("chunk", F.when(F.col("other"), at(F.col("few"))).otherwise(F.col("few") + at(F.col("main"))))
+    packs = materialize(dealt.groupBy("sig", "few", "main", "chunk").agg(F.sort_array(F.collect_list(F.struct("node", "part"))).alias("pack")))
+    x = packs.where("chunk < few").select("sig", "chunk", F.col("pack").alias("x"), F.explode(F.sequence("chunk", F.col("few") + F.col("main") - 1)).alias("with"))
+    y = packs.select("sig", F.explode(F.sequence(F.lit(0), F.least("chunk", F.col("few") - 1))).alias("chunk"), F.col("pack").alias("y"), F.col("chunk").alias("with"))
+    blocks = materialize(x.join(y, ["sig", "chunk", "with"]).select("x", "y").distinct().withColumn("block", F.monotonically_increasing_id()))
     members = blocks.select("block", F.explode("x").alias("m"), F.lit(0).alias("side")).unionByName(blocks.where("x <> y").select("block", F.explode("y").alias("m"), F.lit(1).alias("side")))
-    members = members.select("block", "side", F.col("m.node").alias("node"), F.col("m.part").alias("part")).join(texts.select("node", "text"), "node")
-    rows = members.repartition("block").sortWithinPartitions("block")
-    kept = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return members.select("block", "side", F.col("m.node").alias("node"), F.col("m.part").alias("part"))
+
+
+def block_links(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links a, b between sets of several components in a bucket (``rows``: sig, node, part)."""
+    counted = materialize(counts(texts, rows.select("node").distinct(), shingle))
+    told = block_members(rows, counted.select("node", "n")).join(counted, "node").repartition("block").sortWithinPartitions("block")
+    kept = pa.schema([("block", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("part", pa.int64())])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "node", "part", "n", "bins")), strict=True):
+                if row[0] != now:
+                    yield _partnered(held, percent, kept)
+                    now, held = row[0], []
+                held.append(row)
+        yield _partnered(held, percent, kept)
+
+    left = materialize(told.select("block", "side", "node", "part", "n", "bins").mapInArrow(near, "block long, side int, node long, part long"))
+    rows = left.join(texts.select("node", "text"), "node").repartition("block").sortWithinPartitions("block")
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [])
@@ -188,14 +229,28 @@ def block_links(rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -
             for i, j in slices(offsets):
                 for k, hashes in enumerate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle), i):
                     if block[k] != now:
-                        yield _compared(held, percent, kept)
+                        yield _compared(held, percent, pairs)
                         now, held = block[k], ([], [])
                     held[side[k]].append((int(node[k]), int(part[k]), hashes))
-        yield _compared(held, percent, kept)
+        yield _compared(held, percent, pairs)
 
     return materialize(rows.select("block", "side", "node", "part", "text").mapInArrow(run, "a long, b long"))
 
 
+def _partnered(held: list[tuple], percent: int, kept: pa.Schema) -> pa.RecordBatch:
+    """The rows of a block that may link with one of another component, by their counts; a pack against itself has one side only."""
+    x = [r for r in held if r[1] == 0]
+    y = [r for r in held if r[1] == 1] or x
+    out = set()
+    if x:
+        (nx, px, bx), (ny, py, by) = ((np.array([r[4] for r in s]), np.array([r[3] for r in s]), np.frombuffer(b"".join(r[5] for r in s), np.uint8).reshape(-1, BINS).astype(np.int16)) for s in (x, y))
+        for i, r in enumerate(x):
+            apart_ = np.abs(by - bx[i]).sum(axis=1, dtype=np.int64)
+            for j in np.flatnonzero(((100 + percent) * apart_ <= (100 - percent) * (nx[i] + ny)) & (py != px[i])).tolist():
+                out |= {r[:4], y[j][:4]}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sorted(out), strict=True) if out else ([], [], [], []), kept.types, strict=True)], schema=kept)
+
+
 def _compared(held: tuple[list, list], percent: int, kept: pa.Schema) -> pa.RecordBatch:
     """One link for each two components that a block joins; a pack against itself has one side only."""
     x, y = held[0], held[1] or held[0]
@@ -235,11 +290,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     nearest = shared.groupBy("node").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot"))
     found = star_links(materialize(nearest), texts, shingle, percent)
     left = apart(rows, components(found))
-    tried = left.join(left.select(F.col("sig").alias("_sig"), F.col("node").alias("_node"), F.col("part").alias("_part")), (F.col("sig") == F.col("_sig")) & (F.col("pivot") == F.col("_node")))
-    second = materialize(tried.where("part <> _part").select("pivot", "node").distinct().join(nearest, ["pivot", "node"], "left_anti"))
-    found = materialize(found.unionByName(star_links(second, texts, shingle, percent)))
-    left = apart(left.where("node <> pivot").select("sig", "node", "pivot"), components(found))
-    found = found.unionByName(block_links(families(left.select("sig", "node", "part")), texts, shingle, percent))
+    found = found.unionByName(block_links(families(left), texts, shingle, percent))
 
     placed = texts.select("key", "least", "node").join(components(found).withColumnsRenamed({"node": "_node"}), F.col("node") == F.col("_node"), "left")
     placed = materialize(placed.select("key", "least", "node", F.coalesce("root", "node").alias("part")).join(sizes, "node"))
