@@ -214,6 +214,21 @@ def test_similar_names_misses_none(spark):
     assert got == {(a, b) for a in names for b in names if a < b and max(similarity(a, b), similarity(b, a)) >= 0.82}
 
 
+def test_common_words_bring_no_names_together(spark):
+    """Names of one city that share a common word only are not compared, and few pairs reach Python."""
+    rng = random.Random(2)
+    names = sorted({"corner " + " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(2)) for _ in range(200)})
+    names = ["corner", *names, names[3] + " zz", names[5].replace("a", "b", 1)]
+    df = spark.createDataFrame([("X", " ".join(sorted(n.split()))) for n in names], "city string, name_key string")
+    pairs = cut(resolve.name_pairs(df.distinct()))
+    assert pairs.where("NOT contained").count() < 100 and pairs.where("contained").count() < 20  # of 20,000
+    from rowanmill.functions.keys import similarity
+
+    keys = sorted({r["name_key"] for r in df.collect()})
+    got = {(r["n1"], r["n2"]) for r in resolve.similar_names(df).collect()}
+    assert got == {(a, b) for a in keys for b in keys if a < b and max(similarity(a, b), similarity(b, a)) >= 0.82} and got
+
+
 SHEET = [(1, "Corner Shop One", "Bristol", "0117 952 4240", "High"), (2, "Corner One Ltd", "Bristol", None, "Low"), (3, "Other Place", "Leeds", None, None), (4, None, None, None, None), (5, "  ", "Leeds", "", "")]
 
 
