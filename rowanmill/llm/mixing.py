@@ -46,6 +46,11 @@ def mark(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id", "text")
 
 
+def partner(key: Column, x: Column, size: Column) -> Column:
+    """The number that ``key`` pairs with ``x`` among 0..size-1; the remainder comes first, so no key overflows."""
+    return F.pmod(F.pmod(key, size) - x, size)
+
+
 def permuted(index: Column, size: Column, key: Column) -> Column:
     """A bijection of 0..size-1 chosen by ``key``, a long: a swap-or-not shuffle.
 
@@ -54,7 +59,7 @@ def permuted(index: Column, size: Column, key: Column) -> Column:
     """
 
     def round_(x: Column, r: Column) -> Column:
-        other = F.pmod(F.xxhash64(key, r) - x, size)
+        other = partner(F.xxhash64(key, r), x, size)
         return F.when(F.xxhash64(r, key, F.greatest(x, other)) % 2 == 0, x).otherwise(other)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), round_)

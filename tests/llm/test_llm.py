@@ -89,6 +89,13 @@ def test_permutation(spark):
     assert len(seen) == 60 and len({p[0] for p in seen}) > 12
 
 
+def test_partners_of_the_least_and_greatest_keys(spark):
+    """A pairing, whatever the key; the least long minus a number is no long."""
+    for key in (-(1 << 63), -(1 << 63) + 3, (1 << 63) - 1, 0):
+        got = [r[0] for r in spark.range(0, 10, 1, 1).select(mixing.partner(F.lit(key), F.col("id"), F.lit(10).cast("long"))).collect()]
+        assert got == [(key - x) % 10 for x in range(10)]
+
+
 def test_taken_equals_the_plan_word_by_word(spark, sample):
     """Each document's share, counted from the streams, quotas and permutations of the plan."""
     m = mixing.Mix(sample, block_words=64)
