@@ -286,11 +286,12 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     full = materialize(full.where("size > 1 OR n_shingles >= 0").select("sig", "node", "pivot", "n_shingles"))
     sizes, rows = full.where("n_shingles >= 0").select("node", "n_shingles"), full.where("n_shingles < 0").select("sig", "node", "pivot")
 
+    met = materialize(texts.join(rows.select("node").distinct(), "node", "left_semi"))  # later steps read the texts of sets that meet others only
     shared = rows.where("node <> pivot").groupBy("node", "pivot").count()
     nearest = shared.groupBy("node").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot"))
-    found = star_links(materialize(nearest), texts, shingle, percent)
+    found = star_links(materialize(nearest), met, shingle, percent)
     left = apart(rows, components(found))
-    found = found.unionByName(block_links(families(left), texts, shingle, percent))
+    found = found.unionByName(block_links(families(left), met, shingle, percent))
 
     placed = texts.select("key", "least", "node").join(components(found).withColumnsRenamed({"node": "_node"}), F.col("node") == F.col("_node"), "left")
     placed = materialize(placed.select("key", "least", "node", F.coalesce("root", "node").alias("part")).join(sizes, "node"))
