@@ -334,6 +334,16 @@ def swept_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(records(spark, sf_dir), sweep=True).select("id", "name_key", "is_duplicate", "duplicate_of_id")
 
 
+CHAIN_SQL = f"SELECT {demo.text('c_custkey')} AS id, CASE WHEN c_custkey % 40 <> 0 THEN {demo.text('c_custkey - 1')} END AS duplicate_of_id FROM {{customer}}"
+
+
+@query(f"""WITH RECURSIVE c AS ({demo.duck(CHAIN_SQL)}), w(id, here) AS (SELECT id, id FROM c UNION ALL SELECT w.id, duplicate_of_id FROM w JOIN c ON w.here = c.id WHERE duplicate_of_id IS NOT NULL)
+SELECT w.id, here AS survivor FROM w LEFT JOIN c ON w.here = c.id WHERE c.duplicate_of_id IS NULL""")
+def duplicate_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record at the end of each customer's chain of up to 39 duplicates."""
+    return resolve.last_survivors(demo.view(spark, sf_dir, CHAIN_SQL))
+
+
 IMPORT_SQL = "SELECT o_orderkey AS sequence, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE concat('Number ', cast(o_custkey AS varchar(20))) END AS name, 'https://shop' || cast(o_custkey AS varchar(20)) || '.co' AS website FROM {orders}"
 
 

@@ -421,3 +421,15 @@ def test_classified_and_missing_leads(spark):
     assert got == {"l1": ("Online", "Own riders", "Manual", "high", "n"), "l2": ("Unknown", "Unknown", "Unknown", "low", "Gemini unavailable")}
     bare = leads.missing_leads(businesses(spark, {"id": "b1", "name": "x"}, {"id": "b2", "name": "y"}), lead).collect()
     assert [(r["business_id"], r["order_method"], r["priority"], r["call_status"]) for r in bare] == [("b2", "unknown", "medium", "not_contacted")]
+
+
+def test_chains_of_duplicates(spark):
+    """A long chain, one that ends at an id that is gone, and a circle."""
+    rows = [(str(i), str(i - 1) if i else None) for i in range(100)] + [("x", "gone"), ("y", "x"), ("z", None)]
+    kind = "id string, duplicate_of_id string"
+    got = {r["id"]: r["survivor"] for r in resolve.last_survivors(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {str(i): "0" for i in range(100)} | {"x": "gone", "y": "gone", "z": "z"}
+    for circle in (2, 3, 4):
+        bad = [(str(i), str((i + 1) % circle)) for i in range(circle)]
+        with pytest.raises(ValueError, match="circle"):
+            resolve.last_survivors(spark.createDataFrame([*bad, ("t", "0")], kind))
