@@ -87,50 +87,78 @@ def by_intern(rows: DataFrame, week: int, team_target: int = WEEKLY_TARGET) -> D
     return dim.select("ordinal", "intern", F.array_join("cities", " + ").alias("cities"), n.alias("leads_this_week"), F.lit(target).alias("target_per_week"), (n >= target).alias("on_track"), F.greatest(target - n, F.lit(0)).alias("shortfall")).orderBy("ordinal")
 
 
+def _percent(n: Column, team_target: int) -> Column:
+    return F.bround(n / team_target * 100, 1) if team_target > 0 else F.lit(0.0)
+
+
 def headline(rows: DataFrame, week: int, team_target: int = WEEKLY_TARGET) -> DataFrame:
     """One row: the week's total against the target; the percentage is rounded half to even."""
     total = rows.agg(_this_week(week).alias("total_leads_this_week"))
     n = F.col("total_leads_this_week")
-    percent = F.bround(n / team_target * 100, 1) if team_target > 0 else F.lit(0.0)
-    return total.select(F.lit(week).alias("week_number"), n, F.lit(team_target).alias("weekly_target"), percent.alias("percent_of_target"), F.greatest(team_target - n, F.lit(0)).alias("leads_still_needed"))
+    return total.select(F.lit(week).alias("week_number"), n, F.lit(team_target).alias("weekly_target"), _percent(n, team_target).alias("percent_of_target"), F.greatest(team_target - n, F.lit(0)).alias("leads_still_needed"))
+
+
+# Which of country, business_type and intern a row of ``all_counts`` has, as grouping_id() tells it.
+BY_COUNTRY, BY_TYPE, BY_INTERN, IN_ALL = 3, 5, 6, 7
+
+
+def all_counts(rows: DataFrame, week: int) -> DataFrame:
+    """table, name, ordinal, cities, leads_this_week, total_leads of every table of the dashboard in one pass over ``rows``.
+
+    Leads are counted by their three attributes first, so that grouping sets repeat those few counts and not the leads.
+    Tracked values are added with counts of 0; others have no ordinal, and untracked interns are left to the sum of all.
+    """
+    spark, names = rows.sparkSession, ("country", "business_type", "intern")
+    cells = rows.groupBy(*names).agg(_this_week(week).alias("w"), F.count("*").alias("t"))
+    sets = cells.groupingSets([[F.col(n)] for n in names] + [[]], *names)
+    found = sets.agg(F.grouping_id().cast("int").alias("table"), F.sum("w").alias("w"), F.sum("t").alias("t"))
+    name = F.when(F.col("table") == BY_COUNTRY, F.col("country")).when(F.col("table") == BY_TYPE, F.col("business_type")).when(F.col("table") == BY_INTERN, F.col("intern")).otherwise("")
+    found = found.select("table", name.alias("name"), F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("cities"), "w", "t")
+    tracked = [(BY_COUNTRY, n, i, None, 0, 0) for i, n in enumerate(COUNTRIES)] + [(BY_TYPE, n, i, None, 0, 0) for i, n in enumerate(BUSINESS_TYPES)]
+    tracked += [(BY_INTERN, n, i, " + ".join(c), 0, 0) for i, (n, c, _) in enumerate(INTERNS)] + [(IN_ALL, "", 0, None, 0, 0)]
+    both = found.unionByName(spark.createDataFrame(tracked, "table int, name string, ordinal int, cities string, w long, t long"))
+    sums = both.where(F.col("name").isNotNull()).groupBy("table", "name").agg(F.max("ordinal").alias("ordinal"), F.max("cities").alias("cities"), F.sum("w").alias("leads_this_week"), F.sum("t").alias("total_leads"))
+    last = F.when(F.col("table") == BY_COUNTRY, len(COUNTRIES)).when(F.col("table") == BY_TYPE, len(BUSINESS_TYPES))
+    return sums.withColumn("ordinal", F.coalesce("ordinal", last)).where(F.col("ordinal").isNotNull())
 
 
 def layout(rows: DataFrame, week: int, generated: str, team_target: int = WEEKLY_TARGET) -> DataFrame:
     """The dashboard as sheet rows: ordinal and cells, with titles and blank rows between the sections."""
-    spark = rows.sparkSession
     text = lambda c: F.col(c).cast("string")
-
-    def fixed(section: int, *lines: list[str]) -> DataFrame:
-        return spark.createDataFrame([(section, i, "", line) for i, line in enumerate(lines)], "section int, ordinal int, name string, cells array<string>")
-
-    def part(section: int, df: DataFrame, name: str, cells: list[Column]) -> DataFrame:
-        return df.select(F.lit(section).alias("section"), F.col("ordinal"), F.col(name).alias("name"), F.array(*cells).alias("cells"))
-
-    head = headline(rows, week, team_target).withColumn("ordinal", F.lit(0))
-    percent = F.concat(F.regexp_replace(text("percent_of_target"), r"\.0$", ""), F.lit("%"))
-    track = F.when(F.col("on_track"), "Yes").otherwise("No")
-    parts = [
-        fixed(0, ["Weekly Lead Generation Dashboard"], [f"Week {week} — generated {generated} UTC"], [], ["This Week's Total Leads", "Weekly Target", "% of Target Reached", "Leads Still Needed"]),
-        part(1, head.withColumn("name", F.lit("")), "name", [text("total_leads_this_week"), text("weekly_target"), percent, text("leads_still_needed")]),
-        fixed(2, [], ["Leads by Country (this week)"], ["Country", "Leads This Week", "Total Leads (all time)"]),
-        part(3, by_country(rows, week), "country", [F.col("country"), text("leads_this_week"), text("total_leads")]),
-        fixed(4, [], ["Leads by Intern (this week)"], ["Intern", "Cities", "Leads This Week", "Target/Week", "On Track?"]),
-        part(5, by_intern(rows, week, team_target), "intern", [F.col("intern"), F.col("cities"), text("leads_this_week"), text("target_per_week"), track]),
-        fixed(6, [], ["Leads by Business Type (all time)"], ["Business Type", "Total Leads"]),
-        part(7, by_business_type(rows), "business_type", [F.col("business_type"), text("total_leads")]),
-    ]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.orderBy("section", "ordinal", "name").select("section", "ordinal", "name", "cells")
+    lines = {
+        0: (["Weekly Lead Generation Dashboard"], [f"Week {week} — generated {generated} UTC"], [], ["This Week's Total Leads", "Weekly Target", "% of Target Reached", "Leads Still Needed"]),
+        2: ([], ["Leads by Country (this week)"], ["Country", "Leads This Week", "Total Leads (all time)"]),
+        4: ([], ["Leads by Intern (this week)"], ["Intern", "Cities", "Leads This Week", "Target/Week", "On Track?"]),
+        6: ([], ["Leads by Business Type (all time)"], ["Business Type", "Total Leads"]),
+    }
+    fixed = rows.sparkSession.createDataFrame([(s, i, "", line) for s, part in lines.items() for i, line in enumerate(part)], "section int, ordinal int, name string, cells array<string>")
+    n, target = F.col("leads_this_week"), intern_target(team_target)
+    percent = F.concat(F.regexp_replace(_percent(n, team_target).cast("string"), r"\.0$", ""), F.lit("%"))
+    cells = {
+        IN_ALL: (F.lit(1), F.array(text("leads_this_week"), F.lit(str(team_target)), percent, F.greatest(team_target - n, F.lit(0)).cast("string"))),
+        BY_COUNTRY: (F.lit(3), F.array("name", text("leads_this_week"), text("total_leads"))),
+        BY_INTERN: (F.lit(5), F.array("name", "cities", text("leads_this_week"), F.lit(str(target)), F.when(n >= target, "Yes").otherwise("No"))),
+        BY_TYPE: (F.lit(7), F.array("name", text("total_leads"))),
+    }
+    of = lambda k: F.coalesce(*[F.when(F.col("table") == table, part[k]) for table, part in cells.items()])
+    body = all_counts(rows, week).select(of(0).alias("section"), "ordinal", "name", of(1).alias("cells"))
+    return fixed.unionByName(body).orderBy("section", "ordinal", "name")
 
 
 def as_json(rows: DataFrame, week: int, team_target: int = WEEKLY_TARGET) -> DataFrame:
     """The dashboard as one row with a nested JSON text; the lists are as short as the dimensions."""
-    lists = {"by_country": by_country(rows, week), "by_intern": by_intern(rows, week, team_target), "by_business_type": by_business_type(rows)}
-    out = headline(rows, week, team_target).select("week_number", F.struct("total_leads_this_week", "weekly_target", "percent_of_target", "leads_still_needed").alias("headline"))
-    for name, df in lists.items():
-        key = df.columns[1]
-        item = F.struct(F.col("ordinal"), F.col(key).alias("_k"), F.struct(*[c for c in df.columns if c != "ordinal"]).alias("v"))
-        out = out.crossJoin(F.broadcast(df.agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(name))))
-    return out.select(F.to_json(F.struct("*")).alias("dashboard"))
+    n, target = F.col("leads_this_week"), intern_target(team_target)
+    shown = {
+        "by_country": (BY_COUNTRY, [F.col("name").alias("country"), n, F.col("total_leads")]),
+        "by_intern": (BY_INTERN, [F.col("name").alias("intern"), F.col("cities"), n, F.lit(target).alias("target_per_week"), (n >= target).alias("on_track"), F.greatest(target - n, F.lit(0)).alias("shortfall")]),
+        "by_business_type": (BY_TYPE, [F.col("name").alias("business_type"), F.col("total_leads")]),
+    }
+
+    def listed(table: int, fields: list[Column]) -> Column:
+        item = F.struct("ordinal", F.col("name").alias("_k"), F.struct(*fields).alias("v"))
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("table") == table, item))), lambda x: x["v"])
+
+    total = F.max(F.when(F.col("table") == IN_ALL, n))
+    head = F.struct(total.alias("total_leads_this_week"), F.lit(team_target).alias("weekly_target"), _percent(total, team_target).alias("percent_of_target"), F.greatest(team_target - total, F.lit(0)).alias("leads_still_needed"))
+    whole = all_counts(rows, week).agg(head.alias("headline"), *[listed(*part).alias(name) for name, part in shown.items()])
+    return whole.select(F.to_json(F.struct(F.lit(week).alias("week_number"), "headline", *shown)).alias("dashboard"))

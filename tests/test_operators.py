@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import date, datetime
 
@@ -84,6 +85,22 @@ def test_dashboard_zero_fill_and_order(spark):
     assert (empty["total_leads_this_week"], empty["leads_still_needed"], empty["percent_of_target"]) == (0, 100, 0.0)
 
 
+def test_dashboard_reads_and_joins_once(spark):
+    shops = businesses(spark, {"id": "a", "country": "uk", "business_type": "Bakery", "city": "Lahore"}, {"id": "b", "country": "Spain", "assigned_to": "Guest"}, {"id": "c", "is_duplicate": True})
+    leads_ = spark.createDataFrame([("a", 12), ("a", None), ("b", 12), ("c", 12)], "business_id string, week_number int")
+    rows = dashboard.attributed(leads_, shops)
+    for made in (dashboard.layout(rows, 12, "now"), dashboard.as_json(rows, 12)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Inner") == 1 and plan.count("Join LeftOuter") == 1
+    told = json.loads(dashboard.as_json(rows, 12).first()["dashboard"])
+    assert told["headline"]["total_leads_this_week"] == 2 and sum(r["leads_this_week"] for r in told["by_intern"]) == 1
+    assert [tuple(r.values()) for r in told["by_country"]] == [tuple(r)[1:] for r in dashboard.by_country(rows, 12).collect()]
+    assert [tuple(r.values()) for r in told["by_business_type"]] == [tuple(r)[1:] for r in dashboard.by_business_type(rows).collect()]
+    assert [tuple(r.values()) for r in told["by_intern"]] == [tuple(r)[1:] for r in dashboard.by_intern(rows, 12).collect()]
+    none = json.loads(dashboard.as_json(rows.limit(0), 12).first()["dashboard"])
+    assert none["headline"]["leads_still_needed"] == 100 and len(none["by_country"]) == len(schema.COUNTRIES)
+
+
 def test_sheet_row(spark):
     lead = spark.createDataFrame([("l", "b", None, "phone", "", None, "not_started", None, "high", None, "no_answer", date(2026, 8, 3), 30, None, AT)], schema.LEAD)
     shop = businesses(spark, {"id": "b", "name": " A, \"B\" ", "facebook_url": " f ", "whatsapp_number": "9", "rating": 5.0, "website": " "})
