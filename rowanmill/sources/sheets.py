@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, places
@@ -25,7 +25,8 @@ TEXT_FIELDS = ("name", "business_type", "country", "city", "address", "email", "
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """All cells as text under ``c0, c1, ...`` with the headers in column order as the frame's ``headers``.
 
-    Names are positional because headers may repeat.  Empty cells are empty texts, so blank rows still count.
+    Names are positional because headers may repeat.  Empty cells are empty texts, so blank rows still count.  A CSV
+    file of more than one split is read by as many tasks (``split_records``), in its order.
     """
     kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     if kind in ("xlsx", "xlsm"):
@@ -33,16 +34,79 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     if kind != "csv":
         raise ValueError(f"not a sheet that can be read: {path}")
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+    system = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(fs):
         raise FileNotFoundError(path)
     options = {"multiLine": True, "escape": '"', "enforceSchema": True, "emptyValue": "", "nullValue": "\0", "inferSchema": False}
     first = spark.read.options(**options, header=False).csv(path).limit(1).collect()
     headers = [(h or "").removeprefix("﻿") for h in first[0]] if first else []
     schema = ", ".join(f"c{i} string" for i in range(len(headers)))
-    frame = spark.read.options(**options, header=True).schema(schema).csv(path) if headers else spark.createDataFrame([], "c0 string")
+    if not headers:
+        return _named(spark.createDataFrame([], "c0 string"), headers)
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    line = spark.read.option("lineSep", "\n").text(path).first()[0]
+    if system.getFileStatus(fs).getLen() > split and "\r" not in line.removesuffix("\r"):  # lines that end in \r alone are left to one task
+        frame = split_records(spark, path, "\r\n" if line.endswith("\r") else "\n").select(F.from_csv("record", schema, {k: str(v) for k, v in options.items() if k != "enforceSchema"}).alias("r")).select("r.*")
+    else:
+        frame = spark.read.options(**options, header=True).schema(schema).csv(path)
     return _named(frame.na.fill(""), headers)
 
 
+def _open_after(line: Column, inside: bool) -> Column:
+    """Whether a quoted cell is open at the end of the line, if one is (``inside``) at its start: a quote opens a cell at its beginning only, and closes it unless doubled."""
+
+    def step(state: Column, cell: Column) -> Column:
+        quoted = state | cell.startswith('"')
+        rest = F.when(state, cell).otherwise(F.substring(cell, 2, 1 << 30))
+        return quoted & ~F.replace(rest, F.lit('""'), F.lit("")).contains('"')
+
+    return F.when(line.contains('"'), F.aggregate(F.split(line, ",", -1), F.lit(inside), step)).otherwise(F.lit(inside))
+
+
+def split_records(spark: SparkSession, path: str, line_end: str) -> DataFrame:
+    """record: the records of a CSV file after the first, which may hold line breaks in quoted cells, in order and without empty lines.
+
+    Whether a line starts within a quoted cell depends on all that stands before it.  But a line is a function of
+    that one bit: it keeps it, flips it or sets it.  So a split tells what it makes of either state, one row a
+    split; a running composition of these rows gives the state at each split's start, and with it every line's.
+    The lines of a split are one window, as large as a split may be.  A quote that is never closed makes one record of
+    all that follows, as for any reader.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_at")).withColumnRenamed("file_block_start", "block")
+    clear, inside = _open_after(F.col("value"), False), _open_after(F.col("value"), True)
+    lines = lines.withColumns({"_clear": clear, "_inside": inside})
+    lines = lines.withColumns({"_flips": (F.col("_clear") & ~F.col("_inside")).cast("long"), "_sets": F.when(F.col("_clear") == F.col("_inside"), F.col("_clear"))})
+    order = Window.partitionBy("block").orderBy("_at")
+    lines = lines.withColumns({"n": F.row_number().over(order), "_f": F.sum("_flips").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    # what was set last, less the flips until then: with the flips since, it is the state after a line
+    base = F.last(F.when(F.col("_sets").isNotNull(), F.col("_sets").cast("long") + F.col("_f")), ignorenulls=True)
+    lines = lines.withColumn("_base", base.over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumns({c: F.lag(s).over(order) for c, s in (("_f0", "_f"), ("_base0", "_base"))})
+
+    ends = lines.groupBy("block").agg(F.max_by("_f", "n").alias("f"), F.max_by("_base", "n").alias("base"))
+    # the same composition over splits, one small row each
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("flips", F.sum("f").over(upto)).withColumn("fixed", F.col("base") + F.col("flips") - F.col("f"))
+    state = F.coalesce(F.last("fixed", ignorenulls=True).over(before), F.lit(0)) + F.coalesce(F.sum("f").over(before), F.lit(0))
+    starts = ends.select(F.col("block").alias("_b"), (state % 2).alias("_given"))
+
+    told = lines.join(starts, F.col("block") == F.col("_b"))
+    told = told.withColumn("_starts", (F.coalesce("_base0", "_given") + F.coalesce("_f0", F.lit(0))) % 2 == 0)
+    told = told.withColumn("_own", F.last(F.when(F.col("_starts"), F.struct("block", "n")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # a split's first lines may belong to a record of a split before
+    last = told.groupBy("block").agg(F.max(F.when(F.col("_starts"), F.struct("block", "n"))).alias("o"))
+    last = last.select(F.col("block").alias("_b2"), F.max("o").over(before).alias("_carried"))
+    whole = told.join(last, F.col("block") == F.col("_b2")).groupBy(F.coalesce("_own", "_carried").alias("start"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "value"))), lambda x: x["value"]), "\n")
+    records = whole.agg(text.alias("record"))
+    if line_end == "\r\n":
+        records = records.withColumn("record", F.replace(F.regexp_replace("record", r"\r\z", ""), F.lit("\r\n"), F.lit("\n")))  # as one task reads them
+    records = records.where(F.col("record") != "")
+    head = records.agg(F.min("start").alias("_head"))
+    return records.join(F.broadcast(head), F.col("start") > F.col("_head")).orderBy("start").select("record")  # head is one row
+
+
 def _named(frame: DataFrame, headers: list[str]) -> DataFrame:
     return frame.select([F.col(f"c{i}").alias(f"c{i}", metadata={"header": h}) for i, h in enumerate(headers)] or [F.col("c0")])
 

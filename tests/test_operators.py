@@ -130,6 +130,29 @@ def test_sheet_reading(spark, tmp_path):
         sheets.read_sheet(spark, str(tmp_path / "none.csv"))
 
 
+@pytest.mark.parametrize("seed,end,split", [(1, "\n", 40), (2, "\r\n", 30), (3, "\n", 200)])
+def test_split_sheet_equals_one_task(spark, tmp_path, seed, end, split):
+    rng = random.Random(seed)
+    cells = ["", "x", "two words", "é", 'in "quotes"', "a,b", f"line{end}break", "\n", '"', '""', "end,\n,", "x" * 90]
+    rows = [[rng.choice(cells) for _ in range(3)] for _ in range(60)]
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if c and (set(c) & set('",\r\n') or rng.random() < 0.2) else c
+    made = [",".join(map(quoted, r)) for r in rows]
+    made[10:10] = ["", 'stray "quote,b,c', "only one", "1,2,3,4"]
+    (tmp_path / "s.csv").write_bytes(end.join(['a,"b', 'c",d', *made, ""]).encode("utf-8-sig"))
+    path = str(tmp_path / "s.csv")
+    one = [tuple(r) for r in sheets.read_sheet(spark, path).collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        sheet = sheets.read_sheet(spark, path)
+        assert spark.read.text(path).rdd.getNumPartitions() > 3
+        got = [tuple(r) for r in sheet.collect()]
+        placed = sheet.withColumn("at", F.monotonically_increasing_id()).orderBy("at").drop("at").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == one and [tuple(r) for r in placed] == one and len(one) > 55
+    assert [f.metadata["header"] for f in sheet.schema] == ["a", "b\nc", "d"]
+
+
 def test_audit(spark, tmp_path):
     with pytest.raises(RuntimeError):
         sinks.audited(spark, str(tmp_path / "runs"), "1", "test", lambda: (_ for _ in ()).throw(RuntimeError("no disk")))
