@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import strip, truthy
+from ..functions.web import unfenced
 from ..schema import interns
 from ..sources import sheets
 from . import resolve
@@ -39,6 +40,17 @@ def update(leads: DataFrame, patches: DataFrame) -> DataFrame:
     return rows.select("id", *[value(c).alias(c) for c in leads.columns if c != "id"])
 
 
+def answers(replies: DataFrame) -> DataFrame:
+    """id and the classified fields of a model's ``replies`` (id, reply): JSON objects, fenced or not, with a text for every field.
+
+    Any other reply is no answer, so that ``classify`` gives the fallback.  Of several answers for a lead one counts, the least.
+    """
+    told = replies.select("id", F.try_parse_json(unfenced(F.col("reply"))).alias("v"))
+    part = {k: F.try_variant_get("v", f"$.{k}", "variant") for k in FALLBACK}
+    texts = told.select("id", *[F.when(F.schema_of_variant(v) == "STRING", v.cast("string")).alias(k) for k, v in part.items()]).na.drop(subset=list(FALLBACK))
+    return texts.groupBy("id").agg(F.min(F.struct(*FALLBACK)).alias("a")).select("id", "a.*")
+
+
 def classify(leads: DataFrame, answers: DataFrame) -> DataFrame:
     """Overwrite the classified fields; where there is no answer the fixed fallback stands."""
     a = answers.select(F.col("id").alias("_id"), *[F.col(k).alias(f"a_{k}") for k in FALLBACK])

@@ -460,6 +460,21 @@ def lead_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.leads(spark, sf_dir).select("id", "priority", scoring.priority_class(F.col("priority")).alias("css"), F.coalesce(F.nullif("order_method_detail", F.lit("")), "order_method").alias("shown"))
 
 
+REPLY_SQL = f"""SELECT {demo.text("o_orderkey")} AS id, CASE o_orderkey % 5 WHEN 0 THEN 'no answer' WHEN 1 THEN NULL WHEN 2 THEN concat('```json', chr(10), body, chr(10), '```') WHEN 3 THEN replace(body, '"notes": "', '"notes": 1, "x": "') ELSE body END AS reply
+FROM (SELECT o_orderkey, concat('{{{{"order_method": "', o_orderstatus, '", "delivery_system": "Own riders", "automation_status": "Manual", "lead_priority": "', substring(o_orderpriority, 3), '", "notes": "order ', {demo.text("o_orderkey")}, '"}}}}') AS body FROM {{orders}}) b"""
+
+
+@query(f"""SELECT lead.id, coalesce(a.order_method, 'Unknown') AS order_method_detail, coalesce(a.delivery_system, 'Unknown') AS delivery_system, coalesce(a.automation_status, 'Unknown') AS automation_status_detail,
+ lower(coalesce(a.lead_priority, 'Low')) AS priority, coalesce(a.notes, 'Gemini unavailable') AS notes
+FROM lead LEFT JOIN (SELECT id, {", ".join(f"j ->> '{k}' AS {k}" for k in leads.FALLBACK)}
+ FROM (SELECT id, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM (SELECT id, regexp_replace(reply, '^```json\n|\n```$', '', 'g') AS t FROM ({demo.duck(REPLY_SQL)})))
+ WHERE json_type(j, '$.notes') = 'VARCHAR') a ON lead.id = a.id""")
+def classified_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leads after a model's replies, of which some are fenced, some no JSON and some of another shape."""
+    done = leads.classify(demo.leads(spark, sf_dir), leads.answers(demo.view(spark, sf_dir, REPLY_SQL)))
+    return done.select("id", "order_method_detail", "delivery_system", "automation_status_detail", "priority", "notes")
+
+
 @query("SELECT bool_or(automation_status = 'in_progress' OR automation_status_detail IN ('Queued', 'Processing')) AS pending FROM lead")
 def any_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     pending = (F.col("automation_status") == "in_progress") | F.coalesce(F.col("automation_status_detail").isin("Queued", "Processing"), F.lit(False))

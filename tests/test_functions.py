@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rowanmill.functions import cells, keys, places, plain, scoring, web
+from rowanmill.functions import cells, dom, keys, places, plain, scoring, web
 from rowanmill.operators import dashboard
 
 
@@ -90,3 +90,39 @@ def test_social_cell(spark):
 def test_priority(spark):
     df = spark.createDataFrame([("w", "e", "p", None), ("w", "", None, ""), (None, None, None, None), ("w", None, "p", "f")], "w string, e string, p string, f string")
     assert [r[0] for r in df.select(scoring.priority(F.col("w"), F.col("e"), F.col("p"), F.col("f"))).collect()] == ["high", "medium", "low", "high"]
+
+
+def test_names_of_structured_data(spark):
+    blocks = [
+        '{"founder": "Ann Lee", "owner": {"name": "Bo Ray"}, "employee": [{"name": "Cy Dee"}, "Not An Object", {"name": null}]}',
+        ' [{"ceo": {"name": "Eve Fox"}}, 3, {"author": 5, "director": {"name": ["List Name"]}}] ',
+        "{no json", "", "null", '{"name": "Un Owned"}', '{"owner": ""}', '"founder"',
+    ]
+    df = spark.createDataFrame([(blocks,), ([],), (["{broken"],)], "data array<string>").select(dom.data_names(F.col("data")).alias("n"))
+    assert [r["n"] for r in df.collect()] == [["Ann Lee", "Bo Ray", "Cy Dee", "Eve Fox"], [], []]
+
+
+@pytest.mark.parametrize(
+    "markup,items,links,blocks",
+    [
+        ("<p itemprop=telephone>0117 952 4240<p>12 High Street", ["0117 952 4240"], [], ["0117 952 4240", "12 High Street"]),
+        ("<ul><li itemprop=name>A Shop<li>B</ul>C", ["A Shop"], [], []),
+        ("<table><tr><td itemprop=address>1 Old Road<td>x<tr><td>y</table>z", ["1 Old Road"], [], []),
+        ("<div><a href=/c>Contact</div>Text", [], ["Contact"], []),
+        ("<a href=/c>Contact<a name=n>here</a>", [], ["Contact"], []),
+        ("<div itemprop=name>A</b> Shop</span> Ltd</div>!", ["A Shop Ltd"], [], ["A Shop Ltd"]),
+        ("<span itemprop=name>A<div>B</span>C</div>D</span>E", ["ABCD"], [], ["BC"]),
+        ("<dl><dt itemprop=name>A<dd itemprop=telephone>123</dl>4", ["A", "123"], [], []),
+        ("<div>7 Long Lane", [], [], ["7 Long Lane"]),
+    ],
+)
+def test_tags_left_open(markup, items, links, blocks):
+    page = dom.Page(markup)
+    assert ([t for _, _, t in page.items], [t for _, t in page.links], page.blocks) == (items, links, blocks)
+    closed = dom.Page(f"<html><body>{markup}</body></html>")
+    assert (closed.items, closed.links, closed.blocks, closed.text) == (page.items, page.links, page.blocks, page.text)
+
+
+def test_form_that_is_left_open():
+    page = dom.Page("<div><form><input name=a></div><input name=b><form><input name=c></form>")
+    assert [n for _, n in page.inputs] == ["a"] and page.forms == 2

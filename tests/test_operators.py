@@ -463,6 +463,13 @@ def test_classified_and_missing_leads(spark):
     assert [(r["business_id"], r["order_method"], r["priority"], r["call_status"]) for r in bare] == [("b2", "unknown", "medium", "not_contacted")]
 
 
+def test_replies_of_a_model(spark):
+    whole = {k: "v" for k in leads.FALLBACK}
+    replies = {"a": json.dumps(whole), "b": "```json\n" + json.dumps(whole | {"notes": 'say "x"'}) + "\n```", "c": "sorry", "d": None, "e": json.dumps([whole]), "f": json.dumps(whole | {"notes": None}), "g": json.dumps(whole | {"notes": 5}), "h": ""}
+    got = leads.answers(spark.createDataFrame([*replies.items(), ("a", json.dumps(whole | {"notes": "w"}))], "id string, reply string")).collect()
+    assert sorted((r["id"], r["notes"]) for r in got) == [("a", "v"), ("b", 'say "x"')]
+
+
 def test_chains_of_duplicates(spark):
     """A long chain, one that ends at an id that is gone, and a circle."""
     rows = [(str(i), str(i - 1) if i else None) for i in range(100)] + [("x", "gone"), ("y", "x"), ("z", None)]
