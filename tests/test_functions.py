@@ -2,8 +2,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+import plain
 
-from rowanmill.functions import cells, dom, keys, places, plain, scoring, web
+from rowanmill.functions import cells, dom, keys, places, scoring, web
 from rowanmill.operators import dashboard
 
 

@@ -1,7 +1,9 @@
 import json
 import random
+import time
 from datetime import date, datetime
 
+import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,10 +225,14 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def sequential(rows, sweep):
-    """The fold over all records at once, in order of age."""
+    """The fold over all whole records at once, in order of age."""
     rows = [dict(r) for r in sorted(rows, key=lambda r: (r["created_at"], r["id"]))]
-    resolve._fold(rows, sweep)
-    return {r["id"]: r["duplicate_of_id"] for r in rows}
+    plain.fold(rows, sweep)
+    return {r["id"]: r for r in rows}
+
+
+def told(r):
+    return (r["is_duplicate"], r["duplicate_of_id"], r["name_key"], r["phone_key"], r["domain_key"], *[r[c] for c in resolve.FILLED])
 
 
 @pytest.mark.parametrize("sweep", [False, True])
@@ -236,12 +242,57 @@ def test_fold_of_components_equals_one_fold(spark, sweep, seed):
     words = ["blue", "corner", "shop", "garden", "gardens", "old", "mill", "ltd", "hong", "wah", "bq", "baqer", "bager", "mohebi", "ab", "abc"]
     some = lambda *x: rng.choice([None, *x])
     rows = [
-        {"name": some(*[" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(6)]), "city": some("A", "B", "C"), "phone": some("0117 952 4240", "0117 952 4241", "0345 026 7789"),
-         "website": some("a.co", "www.b.co/x"), "place_id": some("p", "q", "", None), "email": some("x@y.z", " ")}
+        {"name": some(*[" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(6)]), "city": some("A", "B", "C", ""), "phone": some("0117 952 4240", "0117 952 4241", "0345 026 7789", " ", "12"),
+         "website": some("a.co", "www.b.co/x", "N/A", "\u00a0"), "place_id": some("p", "q", "", " ", None), "email": some("x@y.z", " "), "rating": some(4.5), "reviews_count": some(3, 4), "is_duplicate": rng.random() < 0.1}
         for _ in range(60)
     ]
     df = businesses(spark, *rows)
-    assert flags(resolve.resolve(df, sweep)) == sequential([r.asDict() for r in df.collect()], sweep)
+    want = sequential([r.asDict() for r in df.collect()], sweep)
+    got = {r["id"]: r for r in resolve.resolve(df, sweep).collect()}
+    assert got.keys() == want.keys() and {i: told(r) for i, r in got.items()} == {i: told(want[i]) for i in got}
+    assert all(r["website_available"] == bool(r["website"] and r["website"].strip()) for r in got.values())
+
+
+@pytest.mark.parametrize("sweep", [False, True])
+@pytest.mark.parametrize("seed", range(40))
+def test_survivors_by_key_decide_as_whole_records_do(sweep, seed):
+    """One component after the other, with many small keys, against the fold over whole records."""
+    rng = random.Random(seed)
+    some = lambda *x: rng.choice([None, *x])
+    names = ["blue mill", "blue mills", "blu mill", "red mill", "red mills", "old corner", "old corners", "corner"]
+    rows = [
+        {c: None for c in resolve.FILLED} | {"id": f"{i:03}", "created_at": i, "is_duplicate": False, "duplicate_of_id": None, "name": some(*names), "city": some("A", "B", ""), "phone": some("0117 952 4240", "0117 952 4241", "0345 026 7789", " ", "12"),
+         "website": some("a.co", "b.co", "n/a", ""), "place_id": some("p", "q", "r", "", " ")}
+        for i in range(60)
+    ]
+    want = {i: r["duplicate_of_id"] for i, r in sequential(rows, sweep).items()}
+    similar = {}
+    for city in (None, "A", "B", ""):
+        for a in names:
+            for b in names:
+                x, y = plain.name_key(a), plain.name_key(b)
+                if x != y and max(plain.similarity(x, y), plain.similarity(y, x)) >= 0.82:
+                    similar.setdefault((city, x), []).append(y)
+    kept, got = resolve.Survivors(similar, sweep), {}
+    for r in rows:
+        key = plain.phone_key(r["phone"])
+        row = {"id": r["id"], "city": r["city"], "place_id": r["place_id"], "name_key": plain.name_key(r["name"]), "phone_key": None if plain.is_shared_line(key) else key, "domain_key": plain.domain_key(r["website"])}
+        got[r["id"]] = kept.take(row | {"has_phone": bool((r["phone"] or "").strip()), "has_domain": bool((r["website"] or "").strip())})
+    assert got == want and len(set(got.values())) > 2
+
+
+def test_chain_of_similar_names_takes_time_with_its_length():
+    """100,000 names, each similar to its neighbours only, and 100,000 records of one place and one domain."""
+    near = {("X", f"n{i}"): [f"n{j}" for j in (i - 1, i + 1) if 0 <= j < 100_000] for i in range(100_000)}
+    kept = resolve.Survivors(near, False)
+    kept.ratio = lambda a, b: 1.0
+    row = {"city": "X", "place_id": None, "phone_key": None, "domain_key": None, "has_phone": False, "has_domain": False}
+    began = time.monotonic()
+    got = [kept.take(row | {"id": str(i), "name_key": f"n{i}"}) for i in range(100_000)]
+    assert got == [None if i % 2 == 0 else str(i - 1) for i in range(100_000)]
+    kept = resolve.Survivors({}, False)
+    got = [kept.take(row | {"id": str(i), "name_key": f"m{i}", "place_id": f"p{i}", "domain_key": "chain.co", "has_domain": True}) for i in range(100_000)]
+    assert set(got) == {None} and time.monotonic() - began < 30
 
 
 def test_similar_names_misses_none(spark):
