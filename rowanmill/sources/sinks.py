@@ -2,78 +2,132 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import json
 import os
+import shutil
 import textwrap
 import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
+from functools import partial
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dashboard, export
 from ..schema import SYNC_RUN
 from .tables import cut
 
+#: Bytes that a copying task holds.
+COPIED = 1 << 20
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of part files: header, CRLF, quotes where needed and doubled inside."""
     df.write.mode("overwrite").options(header=True, escape='"', emptyValue="", lineSep="\r\n").csv(path)
 
 
-def csv_lines(df: DataFrame) -> Iterator[str]:
-    """The same text line by line; partitions come to the driver one at a time."""
-    yield _line(df.columns)
-    for row in df.toLocalIterator():
-        yield _line(["" if v is None else v for v in row])
-
-
 def _line(values: list) -> str:
     out = io.StringIO()
     csv.writer(out).writerow(values)
     return out.getvalue()
 
 
-def write_named_csv(df: DataFrame, path: str) -> int:
-    """One file with a byte-order mark, as spreadsheet programs expect; returns its rows without the header.
+def _as_lines(df: DataFrame, made: Callable[[pa.RecordBatch], list[str]]) -> DataFrame:
+    """One string ``value`` a row, in the order and the partitions of ``df``; times are those of the session's zone."""
+    kinds = [kind for _, kind in df.dtypes]
+    numbered = df.toDF(*[f"_{k}" for k in range(len(kinds))])  # names may hold dots or come twice
+    naive = numbered.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else F.col(c) for c, kind in zip(numbered.columns, kinds, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(made(batch), pa.string())], names=["value"])
+
+    return naive.mapInArrow(run, "value string")
+
+
+def _csv_rows(batch: pa.RecordBatch) -> list[str]:
+    return [_line(["" if v is None else v for v in row]).removesuffix("\r\n") for row in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+
+
+def _json_rows(batch: pa.RecordBatch, names: list[str]) -> list[str]:
+    rows = zip(*[c.to_pylist(maps_as_pydicts="strict") for c in batch.columns], strict=True)
+    return [textwrap.indent(json.dumps(dict(zip(names, row, strict=True)), indent=2, ensure_ascii=False, default=str), "  ") for row in rows]
+
 
-    Meant for sheets that people open: it streams through the driver, a partition at a time.
+def _put(batches: Iterator[pa.RecordBatch], draft: str) -> Iterator[pa.RecordBatch]:
+    """Copy parts to their places in ``draft``; a task that runs twice writes the same bytes to the same place."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            with open(row["name"], "rb") as part, open(draft, "r+b") as whole:
+                whole.seek(row["at"])
+                shutil.copyfileobj(part, whole, COPIED)
+        yield batch.select(["at"])
+
+
+def write_one_file(lines: DataFrame, path: str, head: bytes, between: str, tail: bytes | None = None) -> int:
+    """One file of ``head`` and the lines (``value``) in their order, each with ``between`` behind it; returns their number.
+
+    Tasks write parts in order, the sums of the parts' sizes say where each begins, and tasks copy them there, so no
+    row comes to the driver.  With ``tail`` that stands in place of what would follow the last line.  The file is put
+    in place when it is whole; no rows and no ``head`` make none.  ``path`` lies in a folder that driver and executors
+    share as a file system; where parts are missing or short, this fails and an older file stays.
     """
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    rows = -1
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        for line in csv_lines(df):
-            f.write(line)
-            rows += 1
-    return rows
+    path = os.path.abspath(path)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    parts, draft, seen = f"{path}.{uuid.uuid4().hex}.parts", f"{path}.{uuid.uuid4().hex}.draft", Observation()
+    try:
+        counted = lines.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"))
+        counted.write.option("lineSep", between).text(f"file://{parts}")
+        rows, gap = seen.get["rows"], len(between.encode())
+        names = sorted((n for n in os.listdir(parts) if n.startswith("part-")), key=lambda n: int(n.split("-")[1]))
+        sizes = [os.path.getsize(os.path.join(parts, n)) for n in names]
+        if sum(sizes) != seen.get["bytes"] + rows * gap:
+            raise OSError(f"{parts} doesn't hold all rows; is it a folder that driver and executors share?")
+        if not rows and not head:
+            return 0
+        with open(draft, "wb") as whole:
+            whole.write(head)
+            whole.truncate(len(head) + sum(sizes))
+        places = [(os.path.join(parts, n), at) for n, size, at in zip(names, sizes, accumulate(sizes, initial=len(head)), strict=False) if size]  # one a part
+        if places:
+            placed = lines.sparkSession.createDataFrame(places, "name string, at long").repartition(len(places), "at")
+            placed.mapInArrow(partial(_put, draft=draft), "at long").agg(F.count("*")).collect()
+        if tail is not None:
+            with open(draft, "r+b") as whole:
+                whole.truncate(len(head) + sum(sizes) - (gap if rows else 0))
+                whole.seek(0, os.SEEK_END)
+                whole.write(tail)
+        os.replace(draft, path)
+        return rows
+    finally:
+        shutil.rmtree(parts, ignore_errors=True)
+        if os.path.exists(draft):
+            os.remove(draft)
+
+
+def write_named_csv(df: DataFrame, path: str) -> int:
+    """One file with a byte-order mark, as spreadsheet programs expect; returns its rows without the header."""
+    return write_one_file(_as_lines(df, _csv_rows), path, codecs.BOM_UTF8 + _line(df.columns).encode(), "\r\n")
 
 
 def write_json_array(df: DataFrame, path: str) -> int:
-    """All rows as one indented JSON array in a named file, non-ASCII kept; rows come to the driver a partition at a time."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    rows = 0
-    with open(path, "w", encoding="utf-8") as f:
-        for row in df.toLocalIterator():
-            f.write("[\n" if rows == 0 else ",\n")
-            f.write(textwrap.indent(json.dumps(row.asDict(recursive=True), indent=2, ensure_ascii=False, default=str), "  "))
-            rows += 1
-        f.write("\n]" if rows else "[]")
-    return rows
+    """All rows as one indented JSON array in a named file, non-ASCII kept."""
+    if df.isEmpty():
+        return write_one_file(df.select(F.lit("").alias("value")), path, b"[]", "\n")
+    return write_one_file(_as_lines(df, partial(_json_rows, names=df.columns)), path, b"[\n", ",\n", b"\n]")
 
 
 def write_found_csv(df: DataFrame, path: str) -> int:
     """Results of a search as one CSV file without a byte-order mark; nothing is written when there are none."""
     if df.isEmpty():
         return 0
-    rows = -1
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        for line in csv_lines(df):
-            f.write(line)
-            rows += 1
-    return rows
+    return write_one_file(_as_lines(df, _csv_rows), path, _line(df.columns).encode(), "\r\n")
 
 
 def export_name(city: str | None = None, at: datetime | None = None) -> str:

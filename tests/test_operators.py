@@ -1,3 +1,5 @@
+import csv
+import io
 import json
 import random
 import time
@@ -531,3 +533,25 @@ def test_chains_of_duplicates(spark):
         bad = [(str(i), str((i + 1) % circle)) for i in range(circle)]
         with pytest.raises(ValueError, match="circle"):
             resolve.last_survivors(spark.createDataFrame([*bad, ("t", "0")], kind))
+
+
+def test_one_file_from_many_parts(spark, tmp_path):
+    """Byte for byte what a plain loop over the ordered rows writes, and an older file stays where writing fails."""
+    rng = random.Random(6)
+    some = lambda: rng.choice([None, "", " ", "a,b", 'say "hi"', "line\nbreak", "cr\r\nlf", "été", "\U0001f600", "x" * 300])
+    rows = [(i, some(), some(), rng.choice([None, 1.5, 2.0]), rng.choice([None, AT.date()]), rng.choice([None, AT])) for i in range(2000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "n long, a string, `b.c` string, d double, day date, at timestamp_ntz").repartition(9)
+    ordered = df.repartitionByRange(7, "n").sortWithinPartitions("n")
+    assert ordered.rdd.getNumPartitions() > 1
+    out = io.StringIO()
+    csv.writer(out).writerows([df.columns, *[["" if v is None else v for v in r] for r in sorted(rows)]])
+    path = tmp_path / "x.csv"
+    assert sinks.write_named_csv(ordered, str(path)) == 2000 and path.read_bytes() == b"\xef\xbb\xbf" + out.getvalue().encode()
+    assert sinks.write_found_csv(ordered, str(tmp_path / "y.csv")) == 2000 and (tmp_path / "y.csv").read_bytes() == out.getvalue().encode()
+    whole = json.dumps([dict(zip(df.columns, r, strict=True)) for r in sorted(rows)], indent=2, ensure_ascii=False, default=str)
+    assert sinks.write_json_array(ordered, str(tmp_path / "z.json")) == 2000 and (tmp_path / "z.json").read_text(encoding="utf-8") == whole
+    with pytest.raises(Exception, match="bad row"):
+        sinks.write_named_csv(ordered.withColumn("n", F.when(F.col("n") == 1500, F.raise_error(F.lit("bad row"))).otherwise(F.col("n"))), str(path))
+    assert path.read_bytes() == b"\xef\xbb\xbf" + out.getvalue().encode() and sorted(p.name for p in tmp_path.iterdir()) == ["x.csv", "y.csv", "z.json"]
+    assert sinks.write_named_csv(df.limit(0), str(path)) == 0 and path.read_bytes() == b"\xef\xbb\xbfn,a,b.c,d,day,at\r\n"
