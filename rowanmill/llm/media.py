@@ -12,8 +12,8 @@ differences around it (their mean plus ``sigmas`` deviations, and ``least`` at t
 Defined results: a null text is the empty text; a payload is padded with spaces to a positive multiple
 of 192 bytes, a long one is a long video, written and read by one task; equal texts give equal media; of equal
 histogram differences the first may start a shot; media that is null or no AVI file gives a row without payload and
-clips, whose ``status`` says so ("null", "foreign"); a file cut off before its index gives the whole frames that are
-there ("truncated"); frames with other tables give no payload ("refused"); an empty table gives an empty result;
+clips, whose ``status`` says so ("null", "foreign"); a file cut off before its index or inside it, or whose index does
+not name as many frames as the header, gives the whole frames that are there ("truncated"); frames with other tables give no payload ("refused"); an empty table gives an empty result;
 columns other than doc_id and text are not read.
 """
 
@@ -110,21 +110,23 @@ class Avi:
         self.data = view = memoryview(data)
         if bytes(view[:4]) != b"RIFF" or bytes(view[8:12]) != b"AVI ":
             raise ValueError("not an AVI file")
-        self.fps, movi, self.index = float(FPS), 0, np.zeros((0, 4), np.uint32)
+        self.fps, movi, frames, self.index = float(FPS), 0, -1, np.zeros((0, 4), np.uint32)
         for name, at, size in _chunks(view, 12, len(view)):
             kind = bytes(view[at : at + 4]) if name == b"LIST" else b""
             if kind == b"hdrl":
-                found = {n: a for n, a, _ in _chunks(view, at + 4, at + size)}
-                self.fps = 1e6 / int.from_bytes(view[found[b"avih"] : found[b"avih"] + 4], "little")
+                found = {n: a for n, a, m in _chunks(view, at + 4, min(at + size, len(view))) if a + m <= len(view)}
+                if b"avih" in found:
+                    self.fps = 1e6 / (int.from_bytes(view[found[b"avih"] : found[b"avih"] + 4], "little") or 1e6 / FPS)
+                    frames = int.from_bytes(view[found[b"avih"] + 16 : found[b"avih"] + 20], "little")
             elif kind == b"movi":
                 movi = at
-            elif name == b"idx1":
+            elif name == b"idx1" and at + size <= len(view) and size % 16 == 0:
                 self.index = np.frombuffer(view[at : at + size], "<u4").reshape(-1, 4)
-        self.whole = bool(len(self.index)) and movi > 0
+        self.whole = movi > 0 and len(self.index) == frames > 0
         if self.whole:
             self.at = (self.index[:, 2].astype(np.int64) + movi + 8).tolist()
             self.sizes = self.index[:, 3].tolist()
-        else:  # no index: walk the frames that are there
+        else:  # no index, or not all of it: walk the frames that are there
             found = [(at, size) for name, at, size in _chunks(view, movi + 4, len(view)) if name == b"00dc" and at + size <= len(view)] if movi else []
             self.at, self.sizes = [a for a, _ in found], [n for _, n in found]
 
