@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -148,7 +148,7 @@ class Template:
         pairs = align(words[low:high], self.words)
         return (len(pairs), pairs[0][0] - pairs[-1][0] - 1, low + pairs[0][0]) if len(pairs) >= self.need else None
 
-    def best(self, words: list[str], places: list[int], high: int) -> tuple[int, int, int] | None:
+    def best(self, words: list[str], places: Iterable[int], high: int) -> tuple[int, int, int] | None:
         """The most words matched, then the shortest and first notice, among those from the first that is found to one length later."""
         n, best, stop = len(self.words), None, high
         for k in places:
@@ -167,17 +167,22 @@ class Template:
 
     def notices(self, words: list[str], low: int, high: int) -> list[tuple[int, int, int]]:
         """First word, last (exclusive) and matched words of all notices in a passage, in order."""
-        out, todo = [], [(low, high)]
+        out: list[tuple[int, int, int]] = []
+        todo: list[tuple[int, int, list[int] | None]] = [(low, high, None)]
         while todo:
-            low, high = todo.pop()
-            if high - low < self.need or sum((Counter(w for w in words[low:high] if w in self.want) & self.want).values()) < self.need:
+            low, high, places = todo.pop()
+            if high - low < self.need:
                 continue
-            places = [k for k, n in enumerate(self.bounds(words, low, high), low) if n >= self.need and words[k] in self.want]
-            found = self.best(words, places, high) or self.aligned(words, low, high)
+            if places is None:  # behind a notice the bounds are those from before it, since they look ahead only
+                if sum((Counter(w for w in words[low:high] if w in self.want) & self.want).values()) < self.need:
+                    continue
+                places = [k for k, n in enumerate(self.bounds(words, low, high), low) if n >= self.need and words[k] in self.want]
+            ahead = (places[i] for i in range(bisect_left(places, low), len(places)))
+            found = self.best(words, ahead, high) or self.aligned(words, low, high)
             if found:
                 first, end = found[2], found[2] - found[1]
                 out.append((first, end, found[0]))
-                todo += [(low, first), (end, high)]
+                todo += [(low, first, None), (end, high, places)]
         return sorted(out)
 
 
