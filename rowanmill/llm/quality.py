@@ -48,37 +48,40 @@ RULES = (
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` with the counts and ratios of its texts."""
-    text, words = text_of(), F.col("_words")
-    df = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    """``docs`` with the counts and ratios of its texts; what lies between has names that no column of ``docs`` begins with."""
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    text, words = text_of(), F.col(f"{own}words")
+    df = docs.withColumn(f"{own}words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     n = F.size(words)
     places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     window = lambda i: F.array(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
     # windows as longs of hash and place, sorted: equal windows are neighbours
     key = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(-1 - PLACES)).bitwiseOR(i.cast("long"))
-    df = df.withColumn("_keys", F.array_sort(F.transform(places, key)))
-    keys = F.col("_keys")
+    df = df.withColumn(f"{own}keys", F.array_sort(F.transform(places, key)))
+    keys = F.col(f"{own}keys")
     run = lambda x: F.shiftright(x, PLACE_BITS)
     place = lambda x: x.bitwiseAND(F.lit(PLACES)).cast("int")
-    df = df.withColumn("_found", F.filter(keys, lambda x, k: (run(x) == run(F.get(keys, k - 1))) | (run(x) == run(F.get(keys, k + 1)))))
-    found = F.col("_found")
+    df = df.withColumn(f"{own}found", F.filter(keys, lambda x, k: (run(x) == run(F.get(keys, k - 1))) | (run(x) == run(F.get(keys, k + 1)))))
+    found = F.col(f"{own}found")
     mixed = F.exists(F.transform(found, lambda x, k: (run(x) == run(F.get(found, k - 1))) & (window(place(x)) != window(place(F.get(found, k - 1))))), lambda x: x)
     # where two different windows share a hash, or places don't fit, sort the windows themselves
     exact = F.array_sort(F.transform(places, lambda i: F.struct(window(i).alias("w"), i.alias("i"))))
-    df = df.withColumn("_exact", F.when((n > PLACES) | F.coalesce(mixed, F.lit(False)), exact))
-    e = F.col("_exact")
+    df = df.withColumn(f"{own}exact", F.when((n > PLACES) | F.coalesce(mixed, F.lit(False)), exact))
+    e = F.col(f"{own}exact")
     twice = F.filter(e, lambda x, k: (x["w"] == F.get(e, k - 1)["w"]) | (x["w"] == F.get(e, k + 1)["w"]))
-    df = df.withColumn("_repeated", F.array_sort(F.when(e.isNotNull(), F.transform(twice, lambda x: x["i"])).otherwise(F.transform(found, place))))
-    r = F.col("_repeated")
+    df = df.withColumn(f"{own}repeated", F.array_sort(F.when(e.isNotNull(), F.transform(twice, lambda x: x["i"])).otherwise(F.transform(found, place))))
+    r = F.col(f"{own}repeated")
     covered = F.aggregate(F.transform(r, lambda p, k: F.least(F.lit(3), F.coalesce(p - F.get(r, k - 1), F.lit(3)))), F.lit(0), lambda a, x: a + x)
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    df = df.withColumns({"_lines": lines, "n_words": n.cast("long"), "word_chars": F.length(F.array_join(words, "")).cast("long")})
+    df = df.withColumns({f"{own}lines": lines, "n_words": n.cast("long"), "word_chars": F.length(F.array_join(words, "")).cast("long")})
     df = df.withColumns(
         {
             "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_dup_lines": (F.size(f"{own}lines") - F.size(F.array_distinct(f"{own}lines"))).cast("long"),
             "n_repeat_words": covered.cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
+            "n_lines": F.size(f"{own}lines").cast("long"),
             "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(sorted(set(STOP_WORDS))))).cast("long"),
         }
     )
@@ -91,7 +94,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "stop_word_ratio": share("n_stop_words", "n_words"),
             "dup_line_ratio": share("n_dup_lines", "n_lines"),
         }
-    ).drop("_words", "_keys", "_found", "_exact", "_repeated", "_lines")
+    ).drop(*[f"{own}{c}" for c in ("words", "keys", "found", "exact", "repeated", "lines")])
 
 
 def compiled(rules: tuple[Rule, ...]) -> Column:

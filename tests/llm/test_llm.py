@@ -372,6 +372,39 @@ def test_media_that_is_no_whole_file(spark):
     assert got[6]["payload_bytes"] == 0 and got[2]["clips"] == got[3]["clips"] == got[6]["clips"] == []
 
 
+def test_media_cut_at_any_byte():
+    """No cut is taken for a whole file, and every frame that is there whole is given."""
+    data = np.random.default_rng(1).integers(0, 256, 192 * 5, dtype=np.uint8).tobytes()
+    avi = media.write_avi(data)
+    ends = [a + n for a, n in zip(media.Avi(avi).at, media.Avi(avi).sizes, strict=True)]
+    assert media.Avi(avi).whole
+    for cut in range(12, len(avi)):
+        got = media.Avi(avi[:cut])
+        n = sum(e <= cut for e in ends)
+        assert not got.whole and got.fps == 25.0 and len(got.at) == n
+        assert n == 0 or got.samples().tobytes() == data[: 192 * n]
+    fewer = avi.replace(struct.pack("<4I", 1_000_000 // 25, 0, 0, 0x10) + struct.pack("<I", 5), struct.pack("<4I", 1_000_000 // 25, 0, 0, 0x10) + struct.pack("<I", 6))
+    assert fewer != avi and not media.Avi(fewer).whole and media.Avi(fewer).samples().tobytes() == data
+
+
+def test_many_notices_take_time_with_their_number():
+    import time
+
+    name, text = next(x for x in licenses.TEMPLATES if len(licenses.tokens(x[1])) < 30)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    n, began = len(licenses.tokens(text)), time.monotonic()
+    got = [f for f in scanner.scan((text + "\n") * 4000, 0.8) if f[0] == name]
+    assert [(a, b) for _, a, b, _, _ in got] == [(k * n, (k + 1) * n) for k in range(4000)] and time.monotonic() - began < 30
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    names = ["_words", "_keys", "_found", "_lines", "_exact", "_repeated", "__words"]
+    docs = spark.createDataFrame([(1, "a b a b " * 40)], "doc_id long, text string").withColumns({c: F.lit("mine") for c in names})
+    got, plain = quality.judge(docs).first().asDict(), quality.judge(docs.select("doc_id", "text")).first().asDict()
+    assert all(got[c] == "mine" for c in names) and {c: got[c] for c in plain} == plain
+    assert quality.keep(docs, ()).columns == docs.columns
+
+
 def test_shots():
     steps = np.array([0.02] * 20 + [0.6] + [0.02] * 20)
     assert media.shot_starts(steps) == [0, 21] and media.shot_starts(np.zeros(0)) == [0]
