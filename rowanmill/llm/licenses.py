@@ -173,11 +173,14 @@ class Template:
             low, high, places = todo.pop()
             if high - low < self.need:
                 continue
-            if places is None:  # behind a notice the bounds are those from before it, since they look ahead only
+            # behind a notice the bounds are those from before it, since they look ahead only
+            start = bisect_left(places, low) if places is not None else 0
+            if places is None or start == len(places):
                 if sum((Counter(w for w in words[low:high] if w in self.want) & self.want).values()) < self.need:
                     continue
+            if places is None:
                 places = [k for k, n in enumerate(self.bounds(words, low, high), low) if n >= self.need and words[k] in self.want]
-            ahead = (places[i] for i in range(bisect_left(places, low), len(places)))
+            ahead = (places[i] for i in range(start, len(places)))
             found = self.best(words, ahead, high) or self.aligned(words, low, high)
             if found:
                 first, end = found[2], found[2] - found[1]
