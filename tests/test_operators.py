@@ -297,6 +297,18 @@ def test_chain_of_similar_names_takes_time_with_its_length():
     assert set(got) == {None} and time.monotonic() - began < 30
 
 
+def test_names_without_a_city_are_not_compared_by_an_import(spark, monkeypatch):
+    """In the order of arrival such names match nothing; a sweep compares them."""
+    seen, real = [], resolve.name_pairs
+    monkeypatch.setattr(resolve, "name_pairs", lambda names: seen.append(names.count()) or real(names))
+    rows = [(i, f"Number {i // 2}", "" if i % 4 < 2 else None, f"shop{i // 2}.co") for i in range(60)]
+    typed = spark.createDataFrame(rows, "sequence long, name string, city string, website string")
+    found, _ = leads.import_rows(businesses(spark).limit(0), typed, "b1")
+    assert tuple(leads.import_counts(typed, found).first()) == (30, 30, 0) and seen == [0]
+    swept = resolve.resolve(businesses(spark, {"name": "Number 12345"}, {"name": "Number 12346"}), sweep=True)
+    assert flags(swept) == {"0": None, "1": "0"} and seen[1:] == [2]
+
+
 def test_similar_names_misses_none(spark):
     rng = random.Random(9)
     names = sorted({" ".join(sorted("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 3)))) for _ in range(250)})
