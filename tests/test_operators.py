@@ -297,6 +297,27 @@ def test_chain_of_similar_names_takes_time_with_its_length():
     assert set(got) == {None} and time.monotonic() - began < 30
 
 
+def test_exact_pairs_come_once_and_are_not_shuffled(spark, monkeypatch):
+    """Pairs that several rules find come under the first; records of a key are dealt to parts and none is lost."""
+    monkeypatch.setattr(resolve, "_copies", lambda n: F.when(n > 3, 8).otherwise(1), raising=False)
+    rng = random.Random(6)
+    some = lambda *x: rng.choice([None, *x])
+    rows = [{"name": some("blue mill", "red mill", "mill"), "city": some("A", "B", ""), "website": some("a.co", "b.co"), "place_id": some("p", "q", ""), "is_duplicate": rng.random() < 0.1} for _ in range(60)]
+    keyed = resolve.with_keys(businesses(spark, *rows))
+    live = [r for r in keyed.collect() if not r["is_duplicate"]]
+    want = []
+    for a in live:
+        for b in live:
+            apart = a["place_id"] and b["place_id"] and a["place_id"] != b["place_id"]
+            same = lambda k, a=a, b=b: a[k] and a[k] == b[k]
+            rule = "place_id" if same("place_id") else None if apart or a["city"] != b["city"] else "domain" if same("domain_key") else "name" if same("name_key") and a["city"] else None
+            if a["id"] < b["id"] and rule:
+                want.append((a["id"], b["id"], rule))
+    pairs = resolve.exact_pairs(keyed)
+    assert sorted(map(tuple, pairs.collect())) == sorted(want) and len({w[2] for w in want}) == 3
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
 def test_names_without_a_city_are_not_compared_by_an_import(spark, monkeypatch):
     """In the order of arrival such names match nothing; a sweep compares them."""
     seen, real = [], resolve.name_pairs
