@@ -318,6 +318,21 @@ def test_exact_pairs_come_once_and_are_not_shuffled(spark, monkeypatch):
     assert pairs._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
 
 
+def test_phone_pairs_join_records_last(spark, monkeypatch):
+    """Names are compared before records meet, so no pairs of records are shuffled; none is lost."""
+    monkeypatch.setattr(resolve, "_copies", lambda n: F.when(n > 2, 8).otherwise(1), raising=False)
+    rng = random.Random(7)
+    some = lambda *x: rng.choice([None, *x])
+    rows = [{"name": some("blue mill", "blue mills", "red mill", "zq"), "city": some("A", "B"), "phone": some("0117 952 4240", "0117 952 4241", "0345 026 7789")} for _ in range(60)]
+    keyed = resolve.with_keys(businesses(spark, *rows))
+    live = [r for r in keyed.collect() if r["phone_key"] and not plain.is_shared_line(r["phone_key"])]
+    scored = [(a["id"], b["id"], plain.similarity(b["name_key"], a["name_key"])) for a in live for b in live if a["id"] < b["id"] and (a["phone_key"], a["city"]) == (b["phone_key"], b["city"])]
+    pairs = resolve.phone_pairs(keyed)
+    assert sorted(map(tuple, pairs.collect())) == sorted(x for x in scored if x[2] >= 0.45) and len(scored) > len([x for x in scored if x[2] >= 0.45]) > 5
+    joins = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert "left_id" in joins[0] and "right_id" in joins[0]
+
+
 def test_names_without_a_city_are_not_compared_by_an_import(spark, monkeypatch):
     """In the order of arrival such names match nothing; a sweep compares them."""
     seen, real = [], resolve.name_pairs
