@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import dom, scoring, web
 from ..functions.cells import strip, truthy
@@ -15,17 +17,38 @@ from ..functions.cells import strip, truthy
 SHOWN = ("facebook", "instagram", "linkedin", "twitter", "youtube", "tiktok", "whatsapp")
 
 
+#: Pages, and characters of their markup, that are parsed before their parts are handed on.
+PAGES, CHARACTERS = 64, 1 << 20
+
+
+def _few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in stretches of ``PAGES`` and, beyond a first one, ``CHARACTERS`` at most."""
+    begin, held = 0, 0
+    for k, size in enumerate(pc.utf8_length(batch.column("html")).to_pylist()):
+        if k > begin and (k - begin == PAGES or held + (size or 0) > CHARACTERS):
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size or 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` (site, page_ordinal, url, html) with all that is told of each page: one parse in Python, the rules as Columns, and the pattern detectors."""
+    """``pages`` (site, page_ordinal, url, html) with all that is told of each page: one parse in Python, the rules as Columns, and the pattern detectors.
+
+    Python holds the parts of a few pages at a time, whatever the size of Spark's batches.
+    """
     schema = f"{', '.join(f'`{n}` {t}' for n, t in pages.dtypes)}, {dom.RAW}"
-    fields = [x.name for x in T.StructType.fromDDL(dom.RAW)]
+    fields = to_arrow_schema(T.StructType.fromDDL(dom.RAW))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [dom.raw(source, url) for source, url in zip(frame["html"], frame["url"], strict=True)]
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=fields)], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _few(batch):
+                rows = [dom.raw(source, url) for source, url in zip(part.column("html").to_pylist(), part.column("url").to_pylist(), strict=True)]
+                told = [pa.array([r[f.name] for r in rows], f.type) for f in fields]
+                yield pa.RecordBatch.from_arrays([*part.columns, *told], [*part.schema.names, *fields.names])
 
-    parsed = pages.mapInPandas(run, schema)
+    parsed = pages.mapInArrow(run, schema)
     return detect(parsed.select(*[F.col(f"`{c}`") for c in pages.columns], *[v.alias(n) for n, v in dom.contacts().items()]))
 
 

@@ -6,6 +6,7 @@ import time
 from datetime import date, datetime
 
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,16 @@ def test_page_parts(spark):
     assert all(p["emails"] == p["phones"] == [] and p["social_links"] == {} and p["owner_manager_name"] is None and not p["contact_form"] for p in blank)
 
 
+def test_pages_are_parsed_a_few_at_a_time():
+    """Stretches have few pages and little markup, also of long pages, nulls and a batch that is itself a slice."""
+    for sizes in ([10] * 300, [pages.CHARACTERS] * 3 + [None, 5], [pages.CHARACTERS + 1], [], [None] * 70):
+        texts = [None if n is None else "x" * n for n in sizes]
+        batch = pa.RecordBatch.from_arrays([pa.array(["before", *texts], pa.string()), pa.array(range(len(texts) + 1))], names=["html", "k"]).slice(1)
+        parts = [p.to_pylist() for p in pages._few(batch)]
+        assert [r for p in parts for r in p] == batch.to_pylist() and all(0 < len(p) <= 64 for p in parts)
+        assert all(len(p) == 1 or sum(len(r["html"] or "") for r in p) <= pages.CHARACTERS for p in parts)
+
+
 def test_sites(spark):
     rows = spark.createDataFrame([("s.co", 1, "https://s.co", PAGE), ("s.co", 2, "https://s.co/contact", "<p>zomato a.b@shop.co</p>")], "site string, page_ordinal int, url string, html string")
     sites = pages.combine(pages.extract(rows))
