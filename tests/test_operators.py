@@ -344,6 +344,15 @@ def test_phone_pairs_join_records_last(spark, monkeypatch):
     assert "left_id" in joins[0] and "right_id" in joins[0]
 
 
+def test_keys_are_made_once_for_all_steps(spark):
+    """What decides on duplicates reads keys that are there, and no text of a record."""
+    keyed = resolve.with_keys(businesses(spark, {"name": "One Two", "city": "X", "phone": "0345 026 7789"}, {"name": "Ten Six", "city": "X", "phone": "0345 026 7789"}, {"name": "Two One Ltd", "city": "X"}))
+    decided = resolve.decisions(keyed, False, ("created_at",))
+    plan = decided._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_replace" not in plan and "rlike" not in plan
+    assert [tuple(r) for r in decided.collect()] == [("2", "0")]
+
+
 def test_names_without_a_city_are_not_compared_by_an_import(spark, monkeypatch):
     """In the order of arrival such names match nothing; a sweep compares them."""
     seen, real = [], resolve.name_pairs
