@@ -353,6 +353,38 @@ def test_keys_are_made_once_for_all_steps(spark):
     assert [tuple(r) for r in decided.collect()] == [("2", "0")]
 
 
+def test_records_of_one_name_are_linked_once_and_decided_once(spark):
+    """Links grow with the different names and keys, and what reads the decisions makes none anew."""
+    rows = [{"name": f"Name {i % 3}", "city": "X", "website": f"s{i % 2}.co"} for i in range(60)]
+    live = resolve.with_nodes(resolve.with_keys(businesses(spark, *rows)), False)
+    close = spark.createDataFrame([], "city string, n1 string, n2 string")
+    assert live.select("node").distinct().count() == 3 and resolve.possible_links(live, close).count() <= 3
+    done = resolve.resolve(businesses(spark, *rows))
+    assert "MapInArrow" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert flags(done) == {str(i): "0" if i else None for i in range(60)}
+
+
+@pytest.mark.parametrize("sweep", [False, True])
+def test_equal_keys_are_not_matched_anew(monkeypatch, sweep):
+    """Of many records with few different keys some are matched only, and all are decided as if each were."""
+    rng = random.Random(5)
+    some = lambda *x: rng.choice([None, *x])
+    rows = []
+    for i in range(4000):
+        phone, domain = some("1"), some("a.co")
+        rows.append({"block": i // 2000, "similar_to": None, "id": f"{i:04}", "city": rng.choice("AB"), "place_id": some("p", " "), "name_key": rng.choice(["blue mill", "red mill", "corner"]) if i % 50 else None, "phone_key": phone, "domain_key": domain, "has_phone": bool(phone) or rng.random() < 0.5, "has_domain": bool(domain)})
+    want = []
+    for block in (0, 1):
+        kept = resolve.Survivors({}, sweep)
+        want += [(r["id"], found) for r in rows if r["block"] == block and (found := kept.take(dict(r))) is not None]
+    matched, real = [], resolve.Survivors.match
+    monkeypatch.setattr(resolve.Survivors, "match", lambda self, new: matched.append(new) or real(self, new))
+    kinds = pa.schema([(c, pa.int64() if c == "block" else pa.bool_() if c.startswith("has_") else pa.string()) for c in rows[0]])
+    batches = [pa.RecordBatch.from_pylist(rows[k : k + 700], kinds) for k in range(0, 4000, 700)]
+    got = [(r["id"], r["survivor"]) for b in resolve._decide(iter(batches), sweep) for r in b.to_pylist()]
+    assert got == want and len(matched) < 3000
+
+
 def test_names_without_a_city_are_not_compared_by_an_import(spark, monkeypatch):
     """In the order of arrival such names match nothing; a sweep compares them."""
     seen, real = [], resolve.name_pairs
