@@ -364,6 +364,15 @@ def test_records_of_one_name_are_linked_once_and_decided_once(spark):
     assert flags(done) == {str(i): "0" if i else None for i in range(60)}
 
 
+@pytest.mark.parametrize("sweep", [False, True])
+def test_a_place_in_two_cities_lends_its_phones(spark, sweep):
+    """A survivor has the phone of a record of its place in another city, and a later record of its own city meets it there."""
+    rows = [{"name": "blue mill", "city": "A", "place_id": "p"}, {"name": "red hall", "city": "B", "place_id": "p", "phone": "0117 952 4240"}, {"name": "blue milton", "city": "A", "phone": "0117 952 4240"}]
+    df = businesses(spark, *rows)
+    want = {i: r["duplicate_of_id"] for i, r in sequential([r.asDict() for r in df.collect()], sweep).items()}
+    assert flags(resolve.resolve(df, sweep)) == want == {"0": None, "1": "0", "2": "0"}
+
+
 @pytest.mark.parametrize("sweep", [False, True])
 def test_equal_keys_are_not_matched_anew(monkeypatch, sweep):
     """Of many records with few different keys some are matched only, and all are decided as if each were."""
