@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +33,19 @@ def _few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
+def _told(few: pa.RecordBatch, fields: pa.Schema) -> pa.RecordBatch:
+    """``few`` pages with the parts of each; what Python made of them is gone when they are handed on."""
+    rows = [dom.raw(source, url) for source, url in zip(few.column("html").to_pylist(), few.column("url").to_pylist(), strict=True)]
+    return pa.RecordBatch.from_arrays([*few.columns, *[pa.array([r[f.name] for r in rows], f.type) for f in fields]], [*few.schema.names, *fields.names])
+
+
+def _parsed(batches: Iterable[pa.RecordBatch], fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """All pages of ``batches``, a few at a time, each stretch handed on before the next is parsed."""
+    for batch in batches:
+        for few in _few(batch):
+            yield _told(few, fields)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (site, page_ordinal, url, html) with all that is told of each page: one parse in Python, the rules as Columns, and the pattern detectors.
 
@@ -42,11 +55,7 @@ def extract(pages: DataFrame) -> DataFrame:
     fields = to_arrow_schema(T.StructType.fromDDL(dom.RAW))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _few(batch):
-                rows = [dom.raw(source, url) for source, url in zip(part.column("html").to_pylist(), part.column("url").to_pylist(), strict=True)]
-                told = [pa.array([r[f.name] for r in rows], f.type) for f in fields]
-                yield pa.RecordBatch.from_arrays([*part.columns, *told], [*part.schema.names, *fields.names])
+        return _parsed(batches, fields)
 
     parsed = pages.mapInArrow(run, schema)
     return detect(parsed.select(*[F.col(f"`{c}`") for c in pages.columns], *[v.alias(n) for n, v in dom.contacts().items()]))

@@ -3,14 +3,18 @@ import io
 import json
 import random
 import time
+import tracemalloc
 from datetime import date, datetime
 
 import plain
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rowanmill import schema
+from rowanmill.functions import dom
 from rowanmill.operators import dashboard, export, leads, pages, resolve
 from rowanmill.sources import sheets, sinks
 from rowanmill.sources.tables import Conflict, Table, changed, cut
@@ -214,6 +218,34 @@ def test_pages_are_parsed_a_few_at_a_time():
         assert all(len(p) == 1 or sum(len(r["html"] or "") for r in p) <= pages.CHARACTERS for p in parts)
 
 
+def parsing(n: int) -> tuple[int, int, int]:
+    """Pages handed on, most that were parsed and not yet handed on, and the most bytes of Python while a batch of ``n`` pages is parsed."""
+    batch = pa.RecordBatch.from_pydict({"url": ["https://s.co"] * n, "html": ["<a href=/x>a</a><p>text</p>" * 40] * n})
+    fields, raw, parsed, handed, ahead = to_arrow_schema(T.StructType.fromDDL(dom.RAW)), dom.raw, 0, 0, 0
+
+    def counted(*page):
+        nonlocal parsed, ahead
+        parsed += 1
+        ahead = max(ahead, parsed - handed)
+        return raw(*page)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(dom, "raw", counted)
+        tracemalloc.start()
+        for part in pages._parsed([batch], fields):
+            handed += part.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    return handed, ahead, peak
+
+
+def test_memory_of_the_parse_does_not_grow_with_the_batch(spark):
+    """A stretch is handed on before the next is parsed, and nothing of it is kept in Python: 15 stretches take what one takes."""
+    parsing(64)
+    (_, _, one), (handed, ahead, many) = parsing(64), parsing(960)
+    assert handed == 960 and ahead <= pages.PAGES and many < 1.3 * one
+
+
 def test_sites(spark):
     rows = spark.createDataFrame([("s.co", 1, "https://s.co", PAGE), ("s.co", 2, "https://s.co/contact", "<p>zomato a.b@shop.co</p>")], "site string, page_ordinal int, url string, html string")
     sites = pages.combine(pages.extract(rows))
