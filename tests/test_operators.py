@@ -5,10 +5,12 @@ import random
 import time
 import tracemalloc
 from datetime import date, datetime
+from functools import reduce
 
 import plain
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -361,6 +363,29 @@ def test_exact_pairs_come_once_and_are_not_shuffled(spark, monkeypatch):
     assert pairs._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
 
 
+def test_records_meet_packs_of_their_key(spark, monkeypatch):
+    """Keys are made once, a row of the join stands for a pack, many pairs of little input are work for several tasks; packs lose no pair and add none."""
+    monkeypatch.setattr(resolve, "PACK", 5, raising=False)
+    rng = random.Random(8)
+    some = lambda *x: rng.choice([None, *x])
+    rows = [{"id": str(i), "name": some("blue mill", "red mill", "mill"), "city": some("A", "A", "=", ""), "website": some("a.co", "b.co"), "place_id": some("p", "q", "", None, None), "is_duplicate": rng.random() < 0.1} for i in range(240)]
+    keyed = resolve.with_keys(reduce(DataFrame.unionByName, [businesses(spark, *rows[k : k + 60]) for k in range(0, 240, 60)]))
+    live = [r for r in keyed.collect() if not r["is_duplicate"]]
+    want = []
+    for a in live:
+        for b in live:
+            same = lambda k, a=a, b=b: a[k] and a[k] == b[k]
+            apart = a["place_id"] and b["place_id"] or a["city"] != b["city"]
+            rule = "place_id" if same("place_id") else None if apart else "domain" if same("domain_key") else "name" if same("name_key") and a["city"] else None
+            if a["id"] < b["id"] and rule:
+                want.append((a["id"], b["id"], rule))
+    pairs = resolve.exact_pairs(keyed)
+    assert sorted(map(tuple, pairs.collect())) == sorted(want) and len({w[2] for w in want}) == 3
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.index("Generate explode(others") < plan.index("Join")
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 12  # three rules, four threads
+
+
 def test_phone_pairs_join_records_last(spark, monkeypatch):
     """Names are compared before records meet, so no pairs of records are shuffled; none is lost."""
     monkeypatch.setattr(resolve, "_copies", lambda n: F.when(n > 2, 8).otherwise(1), raising=False)
